@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, mixing, quality, reshard
+from . import ann, bpe, license_scan, mixing, quality, reshard, simhash, substring, suffix_merge
 from .common import table
 
 
@@ -24,19 +24,51 @@ def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixing_query(table(spark, sf_dir, "documents"))
 
 
+def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_merge.removal_digest(table(spark, sf_dir, "documents"))
+
+
 def op7_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"), tokenizer_path(), digest=True)
 
 
+def op8_additive_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"))
+
+
 def op9_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reshard.reshard_query(table(spark, sf_dir, "documents"))
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.remove_repeats(table(spark, sf_dir, "documents"), digest=True)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_rules, op2_source_mixing, op4_token_counts, op7_bpe_roundtrip, op9_resharding)
+    f.__name__: f
+    for f in (
+        op1_quality_rules,
+        op2_source_mixing,
+        op3_simhash_dedup,
+        op4_token_counts,
+        op5_license_scan,
+        op6_suffix_dedup,
+        op7_bpe_roundtrip,
+        op8_additive_ann,
+        op9_resharding,
+        op10_substring_dedup,
+    )
 }
 SQL: dict[str, str] = {"op1_quality_rules": quality.SQL, "op2_source_mixing": mixing.SQL}
