@@ -1,8 +1,66 @@
-"""From raw documents to encoded training data."""
+"""From raw documents to encoded training data, in five stages.
 
-STAGES = []
+Every stage takes all that its predecessor kept, is written as Parquet in the shared folder and read again. Stages
+that change a text set n_chars to its new length; all but the last return the columns of ``documents``.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lectorium.llm import bpe, mixing, quality, simhash, suffix_merge
+from lectorium.llm.common import ensure_checkpoint_dir, table
+from lectorium.llm.queries import tokenizer_path
+
+
+def _with_text(df: DataFrame, columns: list[str], text: str) -> DataFrame:
+    changed = {"text": F.col(text).alias("text"), "n_chars": F.length(text).cast("long").alias("n_chars")}
+    return df.select(*[changed.get(c, F.col(f"`{c}`")) for c in columns])
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Failing lines go; documents that fail the base rules or lose too much text go whole."""
+    return _with_text(quality.clean_lines(docs).where("kept"), docs.columns, "cleaned_text")
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of every group of linked fingerprints the document with the smallest id stays."""
+    return simhash.keep_first(docs)
+
+
+def repeated_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Byte strings of 400 or more that stand elsewhere too are cut out; a document may end up empty."""
+    return _with_text(suffix_merge.remove_repeats(docs), docs.columns, "text")
+
+
+def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as often as its source's repetition rate draws, in a global order."""
+    return mixing.mix(docs).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every copy, with the text that they decode to."""
+    return bpe.encode_decode(docs, tokenizer_path())
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("SimHash near-dedup", near_duplicates),
+    ("suffix-array dedup", repeated_substrings),
+    ("mixing sources to target weights", source_mixing),
+    ("BPE encoding and decoding", token_ids),
+]
+
+#: SQL has no fingerprints, suffix arrays or BPE; tests/llm/test_pipeline.py holds each stage against a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, folder = table(spark, sf_dir, "documents"), f"{ensure_checkpoint_dir(spark)}/pipeline-{uuid.uuid4()}"
+    for i, (_, stage) in enumerate(STAGES[:-1]):
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{i}")
+        docs = spark.read.parquet(f"{folder}/{i}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -21,6 +21,7 @@ import struct
 from collections.abc import Iterator
 from functools import cached_property
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -31,6 +32,8 @@ SPACE = r"\t-\r \u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PRE_TOKEN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 #: Pre-tokens that a worker remembers, and the length up to which it does.
 REMEMBERED, REMEMBERED_CHARS = 200_000, 64
+#: Rows that a task encodes before it hands them on.
+OUTPUT_ROWS = 256
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -192,10 +195,6 @@ def decoder(tables: Tables):
     return decode
 
 
-def _tables_for(docs: DataFrame, path: str):
-    return docs.sparkSession.sparkContext.broadcast(Tables(path))
-
-
 def count_tokens(docs: DataFrame, path: str, limit: int = 1024) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit for every row of ``docs`` (columns doc_id and text)."""
     tables = Tables(path)
@@ -217,23 +216,23 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 1024) -> DataFrame:
 
 def encode_decode(docs: DataFrame, path: str, digest: bool = False) -> DataFrame:
     """doc_id, n_tokens and, for every row, ids and decoded_text; with ``digest`` their SHA-256 instead."""
-    shared = _tables_for(docs, path)
+    shared = docs.sparkSession.sparkContext.broadcast(Tables(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = shared.value
         encode, decode = encoder(tables), decoder(tables)
-        for b in batches:
-            counts, first, second = [], [], []
-            for t in b.column("text"):
-                packed = encode(t.as_py() or "")
-                decoded = decode(packed)
-                counts.append(len(packed) // 4)
-                first.append(hashlib.sha256(packed).hexdigest() if digest else list(memoryview(packed).cast("I")))
-                second.append(hashlib.sha256(decoded.encode()).hexdigest() if digest else decoded)
-            yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(counts, pa.int64()), pa.array(first, pa.string() if digest else pa.list_(pa.int32())), pa.array(second, pa.string())],
-                ["doc_id", "n_tokens", "ids_sha256" if digest else "ids", "decoded_sha256" if digest else "decoded_text"],
-            )
+        for whole in batches:
+            for b in (whole.slice(i, OUTPUT_ROWS) for i in range(0, whole.num_rows, OUTPUT_ROWS)):
+                packed = [encode(t.as_py() or "") for t in b.column("text")]
+                decoded = map(decode, packed)
+                counts = pa.array([len(p) // 4 for p in packed], pa.int64())
+                if digest:
+                    cells = [[hashlib.sha256(p).hexdigest() for p in packed], [hashlib.sha256(d.encode()).hexdigest() for d in decoded]]
+                    yield pa.RecordBatch.from_arrays([b.column("doc_id"), counts, *map(pa.array, cells)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                else:
+                    ends = np.cumsum([0] + [len(p) // 4 for p in packed], dtype=np.int32)
+                    ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(packed), np.int32)))
+                    yield pa.RecordBatch.from_arrays([b.column("doc_id"), counts, ids, pa.array(decoded, pa.string())], ["doc_id", "n_tokens", "ids", "decoded_text"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     tail = "ids_sha256 string, decoded_sha256 string" if digest else "ids array<int>, decoded_text string"

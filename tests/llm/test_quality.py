@@ -1,4 +1,5 @@
 import re
+from collections import Counter
 
 from lectorium.llm import quality
 
@@ -9,7 +10,8 @@ def brute(text):
     text = text or ""
     words = [w for w in re.split(GAP, text) if w]
     grams = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
-    covered = {i + s for i, g in enumerate(grams) if grams.count(g) > 1 for s in range(3)}
+    times = Counter(grams)
+    covered = {i + s for i, g in enumerate(grams) if times[g] > 1 for s in range(3)}
     lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
     return {
         "n_words": len(words), "word_chars": sum(map(len, words)), "n_symbols": len(re.findall(r"[#*$%&|<>]", text)),
