@@ -1,0 +1,7 @@
+"""Registered queries, by area. Importing this package fills the registry."""
+
+import importlib
+
+AREAS = ["matching", "ledger", "listings"]
+for _area in AREAS:
+    importlib.import_module(f"{__name__}.{_area}")
