@@ -40,4 +40,7 @@ def with_views(sql: str) -> str:
     body = sql.strip()
     if not heads:
         return body
-    return f"WITH {heads},\n{body[5:]}" if body.upper().startswith("WITH ") else f"WITH {heads}\n{body}"
+    for start in ("WITH RECURSIVE ", "WITH "):
+        if body.upper().startswith(start):
+            return f"{start}{heads},\n{body[len(start):]}"
+    return f"WITH {heads}\n{body}"
