@@ -23,7 +23,7 @@ def _with_text(df: DataFrame, columns: list[str], text: str) -> DataFrame:
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Failing lines go; documents that fail the base rules or lose too much text go whole."""
-    return _with_text(quality.clean_lines(docs).where("kept"), docs.columns, "cleaned_text")
+    return _with_text(quality.kept_documents(docs), docs.columns, "cleaned_text")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -124,6 +124,18 @@ def clean_lines(df: DataFrame, text: str = "text", rules: LineRules = LineRules(
     return step.withColumn("base_failed", base).withColumn("kept", ~base & ~lost)
 
 
+def kept_documents(df: DataFrame) -> DataFrame:
+    """The rows of ``df`` that are kept, with all their columns and ``cleaned_text`` besides.
+
+    The verdict selects rows through an explode of none or one element: a filter on it would be pushed below the steps
+    that it is made of, and these would then be computed again for every element of an array.
+    """
+    judged = clean_lines(df)
+    rest = [F.col(f"`{c}`") for c in df.columns if c != "cleaned_text"]
+    one = F.when(F.col("kept"), F.array("cleaned_text")).otherwise(F.array().cast("array<string>"))
+    return judged.select(*rest, F.explode(one).alias("cleaned_text"))
+
+
 DIGEST = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
           "n_lines", "n_failed_lines", "lost_chars"]
 
