@@ -2,6 +2,6 @@
 
 import importlib
 
-AREAS = ["matching", "ledger", "listings", "retrieval"]
+AREAS = ["matching", "ledger", "listings", "retrieval", "cleanup"]
 for _area in AREAS:
     importlib.import_module(f"{__name__}.{_area}")
