@@ -2,6 +2,6 @@
 
 import importlib
 
-AREAS = ["matching", "ledger", "listings", "retrieval", "cleanup", "editing"]
+AREAS = ["matching", "ledger", "listings", "retrieval", "cleanup", "editing", "transfer", "streams"]
 for _area in AREAS:
     importlib.import_module(f"{__name__}.{_area}")
