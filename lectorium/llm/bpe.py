@@ -26,6 +26,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from .common import texts_in
+
 #: White space as the tokenizer's pattern means it (fixed by the format).
 SPACE = r"\t-\r \u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: The pre-token pattern that byte-level vocabularies of this format are built with (fixed by the format).
@@ -211,7 +213,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 1024) -> DataFrame:
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean")
+    return texts_in(docs, "doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean")
 
 
 def encode_decode(docs: DataFrame, path: str, digest: bool = False) -> DataFrame:
@@ -236,4 +238,4 @@ def encode_decode(docs: DataFrame, path: str, digest: bool = False) -> DataFrame
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     tail = "ids_sha256 string, decoded_sha256 string" if digest else "ids array<int>, decoded_text string"
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, {tail}")
+    return texts_in(docs, "doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, {tail}")

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 #: Space, tab, line feed, vertical tab, form feed, carriage return: what separates words everywhere in this package.
 WORD_GAP = r"[\x20\x09-\x0D]"
 WORD_CHAR = r"[^\x20\x09-\x0D]"
+#: Texts that go to a Python worker at a time.
+BATCH_TEXTS = 1_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,3 +47,15 @@ def text_key(text: Column) -> list[Column]:
     """128 bits that stand for a text: two seeded 64-bit hashes, so thin tables need not carry the text."""
     text = F.coalesce(text, F.lit(""))
     return [F.xxhash64(text).alias("k1"), F.xxhash64(F.lit("second key"), text).alias("k2")]
+
+
+def texts_in(docs: DataFrame, *columns: Column | str) -> DataFrame:
+    """Columns of a table of texts on their way to Python workers, in batches of a few megabytes.
+
+    The default of 10,000 rows a batch makes a worker hold tens of megabytes of text several times over; a smaller
+    number that the user has set stays.
+    """
+    conf, name = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= BATCH_TEXTS:
+        conf.set(name, str(BATCH_TEXTS))
+    return docs.select(*columns)

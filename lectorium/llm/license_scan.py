@@ -24,6 +24,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 
+from .common import texts_in
+
 #: Public license notices as they stand in files.
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
@@ -179,4 +181,4 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, s: Scan = Sca
             yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(at, pa.int64())), *cells], ["doc_id", "template", "coverage", "matched_words", "span_start", "span_end"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, template string, coverage double, matched_words long, span_start long, span_end long")
+    return texts_in(docs, "doc_id", "text").mapInArrow(run, f"doc_id {kind}, template string, coverage double, matched_words long, span_start long, span_end long")

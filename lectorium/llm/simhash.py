@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, texts_in
 
 SEED, BITS, DISTANCE, SHARED_BYTES = 42, 64, 2, 6
 #: Members up to which a posting is paired up.
@@ -54,7 +54,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), prints], ["doc_id", "fp"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fp long")
+    return texts_in(docs, "doc_id", "text").mapInArrow(run, f"doc_id {kind}, fp long")
 
 
 def _postings(nodes: DataFrame) -> DataFrame:
