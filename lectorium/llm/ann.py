@@ -37,6 +37,7 @@ class Quantiser:
     beam: int = 4
     block: int = 2_048
     query_block: int = 512
+    lanes: int = 8  # tasks for each block of queries
     share: float = 0.12  # of a block that is ranked exactly
     least: int = 64
     seed: int = 11
@@ -148,32 +149,44 @@ def search(table: DataFrame, every: int = 20, k: int = 20, q: Quantiser = Quanti
                     yield pa.RecordBatch.from_arrays([pa.array([ids[part].tobytes()], pa.binary()), pa.array([x[part].tobytes()], pa.binary())], ["q_ids", "q_vectors"])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = sent.value
+        words, key, best = sent.value, None, None
         for b in batches:
             for row in b.to_pylist():
-                ids, q_ids = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["q_ids"], np.int64)
+                if key != (row["q_block"], row["lane"]):
+                    if key is not None:
+                        yield told(*best)
+                    key, q_ids = (row["q_block"], row["lane"]), np.frombuffer(row["q_ids"], np.int64)
+                    y = np.frombuffer(row["q_vectors"], np.float64).reshape(-1, dim)
+                    tables = [y.astype(np.float32) @ book.T for book in words]
+                    best = (q_ids, np.zeros((len(y), 0), np.int64), np.zeros((len(y), 0)))
+                ids = np.frombuffer(row["ids"], np.int64)
                 codes = np.frombuffer(row["codes"], np.uint8).reshape(len(words), -1)
                 x = np.frombuffer(row["vectors"], np.float64).reshape(-1, dim)
-                y = np.frombuffer(row["q_vectors"], np.float64).reshape(-1, dim)
-                guess = np.zeros((len(y), len(ids)), np.float32)
-                for book, code in zip(words, codes, strict=True):
-                    guess += (y.astype(np.float32) @ book.T)[:, code]  # looked up
+                guess = sum(t[:, c] for t, c in zip(tables, codes, strict=True))  # looked up
                 many = min(len(ids), max(q.least, k + 1, int(q.share * len(ids))))
-                out = []
-                picked = np.argpartition(-guess, many - 1, axis=1)[:, :many]
-                for i, near in enumerate(picked):
-                    near = near[ids[near] != q_ids[i]]
-                    exact = x[near] @ y[i]
-                    best = np.lexsort((ids[near], -exact))[:k]
-                    out.append((np.full(len(best), q_ids[i]), ids[near][best], exact[best]))
-                cells = [np.concatenate(c) for c in zip(*out, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cells], ["query_id", "vec_id", "score"])
+                near = np.argpartition(-guess, many - 1, axis=1)[:, :many]
+                exact = np.stack([x[n] @ v for n, v in zip(near, y, strict=True)])
+                exact[ids[near] == q_ids[:, None]] = -np.inf
+                best = (q_ids, *top(np.concatenate([best[1], ids[near]], axis=1), np.concatenate([best[2], exact], axis=1)))
+        if key is not None:
+            yield told(*best)
+
+    def top(ids: np.ndarray, scores: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        first = np.lexsort((ids, -scores), axis=1)[:, :k]
+        return np.take_along_axis(ids, first, 1), np.take_along_axis(scores, first, 1)
+
+    def told(q_ids: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> pa.RecordBatch:
+        real = scores > -np.inf
+        cells = [np.broadcast_to(q_ids[:, None], ids.shape)[real], ids[real], scores[real]]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in cells], ["query_id", "vec_id", "score"])
 
     asked = cut(index.select("ids", "vectors").mapInArrow(queries, "q_ids binary, q_vectors binary").withColumn("q_block", F.monotonically_increasing_id()))
-    # a stated query set against all rows: every pair of blocks, dealt out by itself
-    pairs = index.select("block").crossJoin(asked.select("q_block"))
+    # a stated query set against all rows: the blocks of rows are dealt to a fixed number of lanes for each block of
+    # queries, and each lane keeps only the best so far
+    lane = F.pmod(F.xxhash64("block"), F.lit(q.lanes)).alias("lane")
+    pairs = index.select("block", lane).crossJoin(asked.select("q_block"))
     tasks = pairs.join(asked, "q_block").join(index.select("block", "ids", "codes", "vectors"), "block")
-    tasks = tasks.repartition(F.xxhash64("block", "q_block"))
-    found = tasks.select("ids", "codes", "vectors", "q_ids", "q_vectors").mapInArrow(score, schema)
+    tasks = tasks.repartition("q_block", "lane").sortWithinPartitions("q_block", "lane", "block")
+    found = tasks.select("q_block", "lane", "ids", "codes", "vectors", "q_ids", "q_vectors").mapInArrow(score, schema)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
