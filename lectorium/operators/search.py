@@ -121,7 +121,7 @@ def hit_time(segments: DataFrame, needle: str) -> DataFrame:
 
 def search_summaries(summaries: DataFrame, needle: str, limit: int = 30) -> DataFrame:
     """Lectures whose newest summary holds the needle, accents and case aside, newest first."""
-    newest = summaries.groupBy("transcript_id").agg(F.max_by(F.struct("id", "title", "created_at"), F.struct("id", "title")).alias("s")).select("transcript_id", "s.*")
+    newest = summaries.groupBy("transcript_id").agg(F.max_by(F.struct("id", "title", "created_at"), F.struct("id", "title", "created_at")).alias("s")).select("transcript_id", "s.*")
     at = F.instr(fold(F.col("title")), needle)
     hit = newest.where(at > 0).withColumn("snippet", F.substring(F.regexp_replace("title", "[#*`>]", ""), F.greatest(at - 80, F.lit(1)), F.lit(200)))
     return hit.orderBy(F.desc("created_at"), F.desc("id")).limit(limit).select("transcript_id", "id", "snippet")

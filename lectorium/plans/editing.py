@@ -256,10 +256,10 @@ def owned(v):
 
 
 @query("replace_generated_cards", f"""WITH o AS ({OWNED}) SELECT transcript_id, pos, front, edited FROM o WHERE edited OR transcript_id % 2 = 1
-UNION ALL SELECT transcript_id, pos + 100, upper(front), false FROM o WHERE transcript_id % 2 = 0""")
+UNION ALL SELECT transcript_id, pos + 100, concat('new ', front), false FROM o WHERE transcript_id % 2 = 0""")
 def _(v):
     cards = owned(v).drop("project_id")
-    return u.replace_generated_cards(cards, cards.where("transcript_id % 2 = 0").selectExpr("transcript_id", "pos + 100 as pos", "upper(front) as front", "false as edited"))
+    return u.replace_generated_cards(cards, cards.where("transcript_id % 2 = 0").selectExpr("transcript_id", "pos + 100 as pos", "concat('new ', front) as front", "false as edited"))
 
 
 @query("existing_fronts", f"WITH o AS ({OWNED}) SELECT DISTINCT l.transcript_id, o.front FROM o JOIN (SELECT project_id, transcript_id FROM lectures WHERE transcript_id % 7 = 0) l ON l.project_id = o.project_id WHERE o.transcript_id <> l.transcript_id OR edited")

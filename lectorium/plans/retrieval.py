@@ -141,7 +141,7 @@ def _(v):
     return op.hit_time(v["segments"], "tion")
 
 
-FOUND = f"""s AS (SELECT transcript_id, arg_max({{'id': id, 'title': title, 'created_at': created_at}}, (id, title)) AS s FROM summaries GROUP BY 1),
+FOUND = f"""s AS (SELECT transcript_id, arg_max({{'id': id, 'title': title, 'created_at': created_at}}, (id, title, created_at)) AS s FROM summaries GROUP BY 1),
 hit AS (SELECT transcript_id, s.id AS id, s.title AS title, s.created_at AS created_at, strpos({FOLD.replace('text', 's.title')}, 'lecture 1') AS place FROM s)"""
 
 
