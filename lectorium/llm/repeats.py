@@ -11,8 +11,8 @@ The frame of the two substring operators. No window is listed for all texts; ins
 4. classes that share an anchor but differ meet in the operator's ``engine``, which compares their text exactly;
    anchors with more classes than the engine takes are settled window by window with partial aggregation.
 
-Texts are keyed by 128 hashed bits and handled once, with their number of copies; rows get their results by key, so
-repeated rows, repeated ids and null ids need no special treatment.
+Texts are keyed by 128 hashed bits; rows get their results by key, so repeated rows, repeated ids and null ids need no
+special treatment.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_key
+from .common import cut, text_key, texts_in
 
 #: Units of a text hashed at a time, and bits for a place within them.
 CHUNK, PLACE_BITS = 1 << 20, 24
@@ -138,11 +138,14 @@ def coder(w: Window) -> Callable[[str], np.ndarray]:
     return of_words
 
 
-def distinct_texts(docs: DataFrame, w: Window) -> DataFrame:
-    """k1, k2, text, copies of every text that is long enough for one window."""
+def keyed_texts(docs: DataFrame, w: Window) -> DataFrame:
+    """k1, k2, text of every row that is long enough for one window."""
     least = w.length if w.unit == "byte" else 2 * w.length - 1
-    long_enough = docs.where(F.octet_length("text") >= least)
-    return long_enough.select(*text_key(F.col("text")), "text").groupBy("k1", "k2").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"))
+    return texts_in(docs.where(F.octet_length("text") >= least), *text_key(F.col("text")), "text")
+
+
+def distinct_texts(docs: DataFrame, w: Window) -> DataFrame:
+    return keyed_texts(docs, w).groupBy("k1", "k2").agg(F.first("text").alias("text"))
 
 
 def anchors(texts: DataFrame, w: Window) -> DataFrame:
@@ -152,10 +155,10 @@ def anchors(texts: DataFrame, w: Window) -> DataFrame:
             parts = [find_anchors(code(t.as_py()), w) for t in b.column("text")]
             counts = np.array([len(p[0]) for p in parts], np.int64)
             at, gram, context = (np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, np.int64) for i in range(3))
-            each = [pa.array(np.repeat(b.column(c).to_numpy(), counts)) for c in ("k1", "k2", "copies")]
-            yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(context), *each[:2], pa.array(at.astype(np.int32)), each[2]], ["gram", "context", "k1", "k2", "at", "copies"])
+            keys = [pa.array(np.repeat(b.column(c).to_numpy(), counts)) for c in ("k1", "k2")]
+            yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(context), *keys, pa.array(at.astype(np.int32))], ["gram", "context", "k1", "k2", "at"])
 
-    return texts.mapInArrow(run, "gram long, context long, k1 long, k2 long, at int, copies long")
+    return texts.mapInArrow(run, "gram long, context long, k1 long, k2 long, at int")
 
 
 def _contexts(texts: DataFrame, members: DataFrame, w: Window) -> DataFrame:
@@ -215,36 +218,41 @@ def _run_engine(contexts: DataFrame, w: Window, engine: Engine, batch_rows: int)
 
 
 def _window_by_window(contexts: DataFrame, w: Window) -> DataFrame:
-    """For anchors with very many classes: count the hashes of the windows themselves, by their offset from the anchor
-    (a text where the anchor stands twice holds a window in two contexts, at different offsets)."""
+    """For anchors with very many classes: count the hashes of the windows themselves, by anchor and by their offset
+    from it (a text where the anchor stands twice holds a window in two contexts, at different offsets)."""
+    values = np.array([xxhash.xxh64_intdigest(bytes([b]), 7) for b in range(256)], np.uint64)
+    names = ["h", "lone", "k1", "k2", "start"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code = coder(w)
+        words = coder(w)
         for b in batches:
-            for i in range(b.num_rows):
-                row = {c: b.column(c)[i].as_py() for c in b.schema.names}
-                units = row["units"].decode("utf-8", "surrogateescape")
-                codes = code(units) if w.unit == "word" else code_bytes(row["units"])
+            for row in b.to_pylist():
+                raw = row["units"]
+                codes = words(raw.decode()) if w.unit == "word" else values[np.frombuffer(raw, np.uint8)]
                 n = len(codes) - w.length + 1
                 if n > 0:
-                    h = _mixed(RangeHash(codes).sliding(w.length)).view(np.int64)
-                    start = np.arange(n, dtype=np.int32) + (row["at"] - row["left"])
-                    full = lambda v, t=np.int64, n=n: pa.array(np.full(n, v, t))
-                    yield pa.RecordBatch.from_arrays([full(row["gram"]), pa.array(h), full(row["lone"], np.bool_), full(row["k1"]), full(row["k2"]), pa.array(start), pa.array(start - np.int32(row["at"]))], ["gram", "h", "lone", "k1", "k2", "start", "offset"])
-
-    values = np.array([xxhash.xxh64_intdigest(bytes([b]), 7) for b in range(256)], np.uint64)
-    code_bytes = lambda raw: values[np.frombuffer(raw, np.uint8)]
-    windows = contexts.mapInArrow(run, "gram long, h long, lone boolean, k1 long, k2 long, start int, offset int")
-    counts = windows.groupBy("gram", "offset", "h").agg(F.sum(F.when(F.col("lone"), 1).otherwise(2)).alias("n")).where("n > 1")
-    return windows.where("lone").join(counts, ["gram", "offset", "h"]).select("k1", "k2", "start", (F.col("start") + w.length).alias("end"))
-
-
-def repeated_spans(texts: DataFrame, w: Window, engine: Engine, batch_rows: int) -> DataFrame:
-    """k1, k2, spans: ranges that together hold every repeated window (they may overlap or pass the text's ends)."""
-    found = anchors(texts, w)
-    common = found.groupBy("gram").agg(F.sum("copies").alias("n")).where("n > 1").select("gram")
-    met = found.join(common, "gram")
-    classes = met.groupBy("gram", "context").agg(F.sum("copies").alias("n"), F.min(F.struct("k1", "k2", "at")).alias("m"))
+                    offset = np.arange(n, dtype=np.int64) - row["left"]
+                    place = _mixed(offset.view(np.uint64) * np.uint64(_BASE) + np.uint64(row["gram"] & (1 << 64) - 1))
+                    h = _mixed(RangeHash(codes).sliding(w.length) + place).view(np.int64)
+                    same = [pa.array(np.full(n, row[c])) for c in names[1:4]]
+                    yield pa.RecordBatch.from_arrays([pa.array(h), *same, pa.array((offset + row["at"]).astype(np.int32))], names)
+
+    windows = contexts.mapInArrow(run, "h long, lone boolean, k1 long, k2 long, start int")
+    counts = windows.groupBy("h").agg(F.sum(F.when(F.col("lone"), 1).otherwise(2)).alias("n")).where("n > 1").select("h")
+    return windows.where("lone").join(counts, "h").select("k1", "k2", "start", (F.col("start") + w.length).alias("end"))
+
+
+def repeated_spans(docs: DataFrame, texts: DataFrame, w: Window, engine: Engine, batch_rows: int) -> DataFrame:
+    """k1, k2, spans: ranges that together hold every repeated window (they may overlap or pass the text's ends).
+
+    Anchors are found where the rows lie, copies included, before any text moves; those that occur twice are written
+    once, since several joins below start from them. ``texts`` (distinct) is shuffled once and used by the contexts
+    and by the caller.
+    """
+    found = anchors(keyed_texts(docs, w), w)
+    common = found.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram")
+    met = cut(found.join(common, "gram"))
+    classes = met.groupBy("gram", "context").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("k1", "k2", "at")).alias("m"))
     whole = met.join(classes.where("n > 1").select("gram", "context"), ["gram", "context"])
     whole = whole.select("k1", "k2", (F.col("at") - w.left).alias("start"), (F.col("at") + w.length).alias("end"))
     sizes = classes.groupBy("gram").agg(F.count(F.lit(1)).alias("size")).where("size > 1")

@@ -128,9 +128,10 @@ def engine(rows: list[tuple], w: Window) -> list[tuple[int, int, int, int]]:
     return out
 
 
-def cut_words(texts: DataFrame, w: Window, digest: bool) -> DataFrame:
+def cut_words(docs: DataFrame, w: Window, digest: bool) -> DataFrame:
     """k1, k2 and what is left of every text that loses something."""
-    spans = repeated_spans(texts, w, engine, BATCH_ROWS)
+    texts = distinct_texts(docs, w)
+    spans = repeated_spans(docs, texts, w, engine, BATCH_ROWS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -162,7 +163,7 @@ def remove_repeats(docs: DataFrame, w: Window = WORDS, digest: bool = False) ->
     thin = docs.select("doc_id", *text_key(F.col("text")), words.alias("words")).select(
         "doc_id", "k1", "k2", F.size("words").cast("long").alias("n_words"), (F.sha2(joined, 256) if digest else joined).alias("whole")
     )
-    cuts = cut_words(distinct_texts(docs, w), w, digest)
+    cuts = cut_words(docs, w, digest)
     return thin.join(cuts, ["k1", "k2"], "left").select(
         "doc_id", "n_words", F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("kept", "whole").alias(name)
     )

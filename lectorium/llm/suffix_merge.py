@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import text_key
 from .repeats import Window, distinct_texts, merged, repeated_spans
 
-BYTES = Window(unit="byte", length=400, gram=32, engine_rows=20_000)
+BYTES = Window(unit="byte", length=400, gram=32, engine_rows=50_000)  # a task's matrix: 150 MB at most
 BATCH_ROWS = 6_000
 
 
@@ -91,9 +91,10 @@ def engine(rows: list[tuple], w: Window) -> list[tuple[int, int, int, int]]:
     return out
 
 
-def cut_bytes(texts: DataFrame, w: Window, digest: bool) -> DataFrame:
+def cut_bytes(docs: DataFrame, w: Window, digest: bool) -> DataFrame:
     """k1, k2 and what is left of every text that loses something."""
-    spans = repeated_spans(texts, w, engine, BATCH_ROWS)
+    texts = distinct_texts(docs, w)
+    spans = repeated_spans(docs, texts, w, engine, BATCH_ROWS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -124,7 +125,7 @@ def remove_repeats(docs: DataFrame, w: Window = BYTES) -> DataFrame:
     empty and stays null; an empty table stays empty; clashing columns k1, k2, kept are replaced.
     """
     rest = [c for c in docs.columns if c not in ("k1", "k2", "kept", "n_removed", "n_spans")]
-    cuts = cut_bytes(distinct_texts(docs, w), w, digest=False)
+    cuts = cut_bytes(docs, w, digest=False)
     joined = docs.select(*[F.col(f"`{c}`") for c in rest], *text_key(F.col("text"))).join(cuts, ["k1", "k2"], "left")
     return joined.select(
         *[F.coalesce("kept", "text").alias("text") if c == "text" else F.col(f"`{c}`") for c in rest],
@@ -137,7 +138,7 @@ def removal_digest(docs: DataFrame, w: Window = BYTES) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every row."""
     text = F.coalesce(F.col("text"), F.lit(""))
     thin = docs.select("doc_id", *text_key(F.col("text")), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("whole"))
-    cuts = cut_bytes(distinct_texts(docs, w), w, digest=True)
+    cuts = cut_bytes(docs, w, digest=True)
     return thin.join(cuts, ["k1", "k2"], "left").select(
         "doc_id",
         "n_bytes",
