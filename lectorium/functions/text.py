@@ -13,6 +13,11 @@ WORD = r"[\p{L}\p{N}]+"
 #: Typographic marks and their plain forms, in order.
 TYPOGRAPHIC, TYPED = "‘’‚“”„–—‑", "'''\"\"\"---"
 
+#: Keys under which a model returns a whole document, in order.
+DOCUMENT_KEYS = ["markdown", "documento", "document", "notes", "appunti", "text", "testo"]
+#: Languages by code.
+LANGUAGES = {"it": "Italian", "en": "English", "fr": "French", "de": "German", "es": "Spanish", "pt": "Portuguese", "nl": "Dutch", "ru": "Russian", "zh": "Chinese", "ja": "Japanese", "ar": "Arabic"}
+
 
 def tokenize(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN), F.lit(0))
@@ -101,3 +106,44 @@ def fmt_ts(seconds: Column) -> Column:
     h, m = F.floor(s / 3600).cast("long"), F.floor(s / 60).cast("long") % 60
     short = F.concat_ws(":", two(m), two(s % 60))
     return F.when(h > 0, F.concat_ws(":", two(h), short)).otherwise(short)
+
+
+def unwrap_json(text: Column) -> Column:
+    """The document inside a JSON object: the first of the known keys that holds more than 40 characters."""
+    bare = F.trim(text)
+    found = [F.trim(F.get_json_object(bare, f"$.{k}")) for k in DOCUMENT_KEYS]
+    return F.when(bare.startswith("{"), F.coalesce(*[F.when(F.length(v) > 40, v) for v in found], bare)).otherwise(bare)
+
+
+def overview(markdown: Column, limit: int = 400) -> Column:
+    """The first paragraph after the title and before any other heading, without bold and code marks."""
+    after = F.regexp_extract(markdown, r"(?ms)^[ \t]*# [^\n]*\n(.*)\z", 1)
+    paragraph = F.regexp_extract(after, r"(?s)\A(?:[ \t]*\n)*(?![ \t]*#)(.*?)(?:\n[ \t]*\n|\n[ \t]*#|\z)", 1)
+    return F.substring(F.regexp_replace(normalize_ws(paragraph), "[*`]", ""), 1, limit)
+
+
+def sections(markdown: Column) -> Column:
+    """(title, body) of every second-level heading."""
+    parts = F.slice(F.split(F.concat(F.lit("\n"), markdown), "\n## "), 2, 1_000_000)
+    return F.transform(parts, lambda p: F.struct(F.trim(F.regexp_extract(p, r"\A([^\n]*)", 1)).alias("title"), F.trim(F.regexp_extract(p, r"(?s)\A[^\n]*\n(.*)\z", 1)).alias("body")))
+
+
+def language_name(code: Column) -> Column:
+    """The English name of a language code, or a phrase that stands for it."""
+    known = F.create_map(*[F.lit(x) for kv in LANGUAGES.items() for x in kv])
+    base = F.lower(F.substring_index(code, "-", 1))
+    phrase = F.concat(F.lit("the same language as the transcript"), F.when(code != "", F.concat(F.lit(" ("), code, F.lit(")"))).otherwise(""))
+    return F.coalesce(F.try_element_at(known, base), phrase, F.lit("the same language as the transcript"))
+
+
+def job_speed(position: Column, start: Column, elapsed: Column) -> Column:
+    """Media seconds per second, null before anything is done."""
+    return F.when(position > start, (position - start) / F.greatest(elapsed, F.lit(0.001)))
+
+
+def job_progress(position: Column, total: Column) -> Column:
+    return F.round(F.least(F.lit(1.0), F.coalesce(F.try_divide(position, total), F.lit(0.0))), 4)
+
+
+def job_eta(position: Column, total: Column, speed: Column) -> Column:
+    return F.when((speed > 0) & (total > 0) & (position < total), (total - position) / speed)

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions.text import TOKEN
 
-#: What marks a page as mathematical (our choice of signs).
-MATH = r"[∑∫√≤≥≠≈∞∂∇±×÷∈∀∃→⇒αβγδεθλμπρστφψω]|\\(frac|sum|int|sqrt|begin)"
+#: Signs, and forms of typed formulas, that mark a page as mathematical.
+MATH_SIGNS = "αβγδεζηθικλμνξπρστυφχψωΣΠΔΩΛΘΦΨΛ≤≥≠≈±∓×÷→←↔⇒∑∏∫∮√∞∂∇²³⁰¹⁴⁵⁶⁷⁸⁹₀₁₂₃₄₅₆₇₈₉"
+MATH_FORMS = r"[A-Za-z0-9)\]}]\s*[\^_]\s*[A-Za-z0-9{(]|\\frac|\\sum|\\alpha|\\theta"
+MATH = f"[{MATH_SIGNS}]|{MATH_FORMS}"
 TERM = r"^(?:[A-Z]{2,}[A-Za-z0-9]*|[A-Z][a-z]+(?:-[A-Z][a-z]+)+|[A-Z][a-z]{2,}[A-Z][A-Za-z]*)$"
 HYPHENATED, PIECE = r"[\p{L}\p{N}_]+(?:-[\p{L}\p{N}_]+)*", r"[\p{L}\p{N}_]+"
 ROMAN = "^[IVXL]+$"

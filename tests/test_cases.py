@@ -196,3 +196,22 @@ def test_phrases(spark):
     q = spark.createDataFrame([(1, "piu VELOCE")], "query_id int, text string")
     got = s.phrase_search(s.build_postings(docs), q).collect()
     assert [(r.doc_id, r.tf, r.place) for r in got] == [(1, 2, 0)]
+
+
+def test_more_scalars(spark):
+    long = "x" * 50
+    md = "# T\n\nfirst **para**\nline `two`\n\nnext\n## A\nbody a\n## B\n"
+    row = spark.range(1).select(
+        t.unwrap_json(F.lit('{"a":1,"notes":"%s","text":"no"}' % long)).alias("a"), t.unwrap_json(F.lit('{"notes":"short"}')).alias("b"), t.unwrap_json(F.lit("{bad")).alias("c"),
+        t.overview(F.lit(md)).alias("d"), t.overview(F.lit("# T\n## next\nx")).alias("e"), t.language_name(F.lit("it-IT")).alias("f"), t.language_name(F.lit("xx")).alias("g"),
+        t.language_name(F.lit(None).cast("string")).alias("h"), F.to_json(t.sections(F.lit(md))).alias("i"), t.job_speed(F.lit(30.0), F.lit(10.0), F.lit(2.0)).alias("j"),
+        t.job_progress(F.lit(5.0), F.lit(0.0)).alias("k"), t.job_eta(F.lit(30.0), F.lit(90.0), F.lit(10.0)).alias("l"),
+    ).first()
+    same = "the same language as the transcript"
+    assert tuple(row) == (long, '{"notes":"short"}', "{bad", "first para line two", "", "Italian", f"{same} (xx)", same, '[{"title":"A","body":"body a"},{"title":"B","body":""}]', 10.0, 0.0, 6.0)
+
+
+@pytest.mark.parametrize(("text", "clipped", "images", "want"), [("", False, 0, True), ("plain words here", False, 0, False), ("plain", True, 0, True), ("x^2", False, 0, True), ("α", False, 0, True),
+                                                                 ("a\nb\nc\nd\ne\nlong line here", False, 0, True), ("short", False, 1, True), ("w " * 200, False, 1, False)])
+def test_review(spark, text, clipped, images, want):
+    assert spark.range(1).select(cleanup.page_needs_review(F.lit(text), F.lit(clipped), F.lit(images)).alias("r")).first().r is want
