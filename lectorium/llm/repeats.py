@@ -246,20 +246,21 @@ def repeated_spans(docs: DataFrame, texts: DataFrame, w: Window, engine: Engine,
     """k1, k2, spans: ranges that together hold every repeated window (they may overlap or pass the text's ends).
 
     Anchors are found where the rows lie, copies included, before any text moves; those that occur twice are written
-    once, since several joins below start from them. ``texts`` (distinct) is shuffled once and used by the contexts
+    once, since several joins below start from them. So are the counts that they are joined with: a join can split a hot
+    key only if no aggregation by that key stands right below it. ``texts`` (distinct) is shuffled once and used by the contexts
     and by the caller.
     """
     found = anchors(keyed_texts(docs, w), w)
-    common = found.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram")
+    common = cut(found.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram"))
     met = cut(found.join(common, "gram"))
-    classes = met.groupBy("gram", "context").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("k1", "k2", "at")).alias("m"))
+    classes = cut(met.groupBy("gram", "context").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("k1", "k2", "at")).alias("m")))
     whole = met.join(classes.where("n > 1").select("gram", "context"), ["gram", "context"])
     whole = whole.select("k1", "k2", (F.col("at") - w.left).alias("start"), (F.col("at") + w.length).alias("end"))
-    sizes = classes.groupBy("gram").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    sizes = cut(classes.groupBy("gram").agg(F.count(F.lit(1)).alias("size")).where("size > 1"))
     mixed = classes.join(sizes, "gram").select("gram", (F.col("n") == 1).alias("lone"), "m.*", "size")
-    contexts = _contexts(texts, mixed, w)
-    settled = _run_engine(contexts.where(F.col("size") <= w.engine_rows), w, engine, batch_rows)
-    crowded = _window_by_window(contexts.where(F.col("size") > w.engine_rows), w)
+    # chosen before the texts are looked at, so that each way looks only at its own
+    settled = _run_engine(_contexts(texts, mixed.where(F.col("size") <= w.engine_rows), w), w, engine, batch_rows)
+    crowded = _window_by_window(_contexts(texts, mixed.where(F.col("size") > w.engine_rows), w), w)
     every = whole.union(settled).union(crowded)
     return every.groupBy("k1", "k2").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
 
