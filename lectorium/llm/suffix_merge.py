@@ -122,15 +122,16 @@ def remove_repeats(docs: DataFrame, w: Window = BYTES) -> DataFrame:
     """``docs`` with the repeated strings cut out of ``text``; adds n_removed and n_spans.
 
     A cut may split a character of several bytes; what is left of it is dropped from the text. A null text is
-    empty and stays null; an empty table stays empty; clashing columns k1, k2, kept are replaced.
+    empty and stays null; an empty table stays empty; n_removed and n_spans of the input are replaced.
     """
-    rest = [c for c in docs.columns if c not in ("k1", "k2", "kept", "n_removed", "n_spans")]
-    cuts = cut_bytes(docs, w, digest=False)
-    joined = docs.select(*[F.col(f"`{c}`") for c in rest], *text_key(F.col("text"))).join(cuts, ["k1", "k2"], "left")
+    rest = [c for c in docs.columns if c not in ("n_removed", "n_spans")]
+    cuts = cut_bytes(docs, w, digest=False).toDF("__k1", "__k2", "__removed", "__spans", "__kept")
+    keys = [k.alias(n) for k, n in zip(text_key(F.col("text")), ("__k1", "__k2"), strict=True)]
+    joined = docs.select(*[F.col(f"`{c}`") for c in rest], *keys).join(cuts, ["__k1", "__k2"], "left")
     return joined.select(
-        *[F.coalesce("kept", "text").alias("text") if c == "text" else F.col(f"`{c}`") for c in rest],
-        F.coalesce("n_removed", F.lit(0)).alias("n_removed"),
-        F.coalesce("n_spans", F.lit(0)).alias("n_spans"),
+        *[F.coalesce("__kept", "text").alias("text") if c == "text" else F.col(f"`{c}`") for c in rest],
+        F.coalesce("__removed", F.lit(0)).alias("n_removed"),
+        F.coalesce("__spans", F.lit(0)).alias("n_spans"),
     )
 
 

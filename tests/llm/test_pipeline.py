@@ -101,3 +101,17 @@ def test_encoding_stage(outputs):
 def test_run_gives_the_same_rows(spark, sf, outputs):
     key = lambda r: (r.doc_id, r.n_tokens)
     assert sorted(map(key, corpus_pipeline.run(spark, sf).collect())) == sorted(map(key, outputs[5].collect()))
+
+
+def test_stages_take_odd_rows_and_columns(spark, sf, documents):
+    body = "\n".join(" ".join(f"w{i * 31 + j}" for j in range(14)) + "." for i in range(20))
+    items = [(1, body), (1, body), (None, body + " More words."), (2, None), (3, ""), (None, None), (4, body.upper()), (5, "long " * 100_000)]
+    docs = documents(items).selectExpr("*", "1 as kept", "'x' as copy", "2 as k1", "3 as n_spans", "4 as fp", "5 as `odd name`")
+    for stage in [f for _, f in corpus_pipeline.STAGES[:-1]]:
+        for table in (docs, docs.where("false")):
+            out = stage(spark, table, sf)
+            assert out.columns == docs.columns
+            assert out.count() <= 3 * len(items)
+        docs = stage(spark, docs, sf) if stage is corpus_pipeline.quality_rules else docs
+    last = corpus_pipeline.STAGES[-1][1](spark, docs, sf)
+    assert last.count() == docs.count()

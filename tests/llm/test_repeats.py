@@ -92,6 +92,7 @@ def test_rows_columns_and_empty_tables(documents):
     rows = suffix_merge.remove_repeats(docs, BYTES).collect()
     assert sorted((r.n_removed, r.text) for r in rows if r.text is not None) == [(0, "unlike anything else here"), (60, ""), (60, "")]
     assert [r.n_removed for r in rows if r.text is None] == [0]
+    assert {(r.k1, r.kept) for r in rows} == {(1, 2)}
     assert len(substring.remove_repeats(docs, WORDS).collect()) == 4
 
 
