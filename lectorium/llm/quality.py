@@ -57,7 +57,8 @@ def line_fails(line: Column, rules: LineRules) -> Column:
         | (F.regexp_count(line, F.lit(SYMBOLS)) * rules.chars_per_symbol > length)
         | (F.regexp_count(line, F.lit(SHOUTS)) * rules.chars_per_symbol > length)
     )
-    phrases = (line.rlike(NAVIGATION) | line.rlike(BOILERPLATE)) & ~at_least_words(line, rules.phrase_words)
+    # the bound on words comes first: it looks at the start of a long line only
+    phrases = ~at_least_words(line, rules.phrase_words) & (line.rlike(NAVIGATION) | line.rlike(BOILERPLATE))
     return ~blank & (punctuation | phrases)
 
 
@@ -98,13 +99,14 @@ def clean_lines(df: DataFrame, text: str = "text", rules: LineRules = LineRules(
         "*",
         windows.alias("__windows"),
         F.filter(lines, lambda x: x.rlike(WORD_CHAR)).alias("__full"),
-        F.filter(lines, lambda x: line_fails(x, rules)).alias("__failed"),
+        F.transform(lines, lambda x: F.struct(x.alias("line"), line_fails(x, rules).alias("bad"))).alias("__judged"),
     )
     ordered = F.sort_array(
         F.transform("__windows", lambda x: F.struct(F.xxhash64(x["w"]).alias("h"), x["w"].alias("w"), x["p"].alias("p")))
     )
     step = step.select("*", ordered.alias("__ordered"))
-    failed = F.col("__failed")
+    chosen = lambda bad: F.transform(F.filter("__judged", lambda x: x["bad"] == bad), lambda x: x["line"])
+    failed = chosen(True)
     step = step.select(
         *rest,
         F.size(words).cast("long").alias("n_words"),
@@ -115,7 +117,7 @@ def clean_lines(df: DataFrame, text: str = "text", rules: LineRules = LineRules(
         F.size("__full").cast("long").alias("n_lines"),
         F.size(failed).cast("long").alias("n_failed_lines"),
         F.length(F.regexp_replace(F.array_join(failed, " "), WORD_GAP + "+", "")).cast("long").alias("lost_chars"),
-        F.array_join(F.filter(lines, lambda x: ~line_fails(x, rules)), "\n").alias("cleaned_text"),
+        F.array_join(chosen(False), "\n").alias("cleaned_text"),
     )
     base = (F.col("n_words") < rules.min_words) | (
         100 * F.col("n_repeat_words") > rules.max_repeat_percent * F.col("n_words")
