@@ -27,8 +27,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of every group of linked fingerprints the document with the smallest id stays."""
-    return simhash.keep_first(docs)
+    """Of every group of linked texts the document with the smallest id stays; 5-word shingles, similarity of 0.8 or more."""
+    return simhash.keep_first(docs, width=5, distance=simhash.FARTHEST, similarity=0.8)
 
 
 def repeated_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

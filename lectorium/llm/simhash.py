@@ -9,6 +9,13 @@ members go through the words one bit away instead. Fingerprints that share such
 fingerprints share one, so a star around the smallest member of each word (65 members at most) links the same
 components at linear cost.
 
+With a ``similarity`` (``similar_links``) texts link when their fingerprints differ in ``distance`` bits at most, up to
+seven, and the sets of their shingles have that Jaccard similarity. Of four 16-bit blocks one then differs in one bit
+at most, so a text is posted under its blocks and under each with one of its ones cleared. As closeness alone no longer
+links, crowds are thinned, not starred: texts are first held against leaders of runs of ``POSTING`` near fingerprints,
+and what these links join is one group; then every pair of different groups that meets in a posting is held against
+the rule, so the components are those of all pairs.
+
 Defined results: null, empty and blank texts have fingerprint zero and link like any other. Rows with equal texts
 share a fingerprint, so copies are never paired. A null id takes part but is never the smallest; a component of
 null ids only has a null id. Other columns are not read. An empty table gives an empty result.
@@ -17,6 +24,7 @@ null ids only has a null id. Other columns are not read. An empty table gives an
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import repeat
 
 import numpy as np
@@ -25,22 +33,31 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, texts_in
+from .common import cut, text_key, texts_in
 
-SEED, BITS, DISTANCE, SHARED_BYTES = 42, 64, 2, 6
+SEED, BITS, WIDTH, DISTANCE, SHARED_BYTES = 42, 64, 3, 2, 6
+#: Largest distance at which one 16-bit block in four surely differs in one bit at most (and one byte in eight in none).
+FARTHEST = 7
 #: Members up to which a posting is paired up.
 POSTING = 64
 #: Shingles hashed at a time: bounds the memory of very long texts.
 CHUNK = 1 << 15
+#: Comparisons of fingerprints made at a time.
+TILE = 1 << 20
 
 
-def fingerprint(text: str | None) -> int:
-    """As a signed 64-bit integer."""
+def shingle_hashes(text: str | None, width: int = WIDTH) -> np.ndarray:
+    """A hash of every run of ``width`` words; of the whole text if it has fewer."""
     words = (text or "").encode().lower().split()  # bytes: only A-Z change, only the six ASCII spaces separate
-    if not words:
+    shingles = map(b" ".join, zip(*(words[i:] for i in range(width)))) if len(words) >= width else [b" ".join(words)] if words else []
+    return np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), np.uint64)
+
+
+def fingerprint(text: str | None, width: int = WIDTH) -> int:
+    """As a signed 64-bit integer."""
+    h = shingle_hashes(text, width)
+    if not len(h):
         return 0
-    shingles = map(b" ".join, zip(words, words[1:], words[2:])) if len(words) > 2 else [b" ".join(words)]
-    h = np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), np.uint64)
     ones = np.zeros(BITS, np.int64)
     for i in range(0, len(h), CHUNK):
         ones += np.unpackbits(h[i : i + CHUNK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
@@ -57,6 +74,12 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return texts_in(docs, "doc_id", "text").mapInArrow(run, f"doc_id {kind}, fp long")
 
 
+def similarity_of(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of two sorted sets of shingle hashes; 1 if both are empty."""
+    shared = len(np.intersect1d(a, b, assume_unique=True))
+    return shared / (len(a) + len(b) - shared) if len(a) or len(b) else 1.0
+
+
 def _postings(nodes: DataFrame) -> DataFrame:
     block = lambda i: F.shiftrightunsigned("fp", 16 * i).bitwiseAND(F.lit(0xFFFF))
     pairs = [(i, j) for i in range(4) for j in range(i)]
@@ -133,9 +156,127 @@ def near_duplicates(docs: DataFrame, posting: int = POSTING) -> DataFrame:
     return prints.join(placed, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_first(docs: DataFrame) -> DataFrame:
-    """The row of the smallest id of every component, with all its columns; one row of an id that repeats."""
-    chosen = near_duplicates(docs).select(F.col("component_id").alias("__id")).distinct()
+def _block_members(nodes: DataFrame, probes: bool) -> DataFrame:
+    """Per 16-bit block and value the texts that have it; with ``probes`` also those that have it once a one is cleared."""
+    keys = []
+    for i in range(BITS // 16):
+        block = F.shiftrightunsigned("fp", 16 * i).bitwiseAND(F.lit(0xFFFF)).cast("int")
+        own = block.bitwiseOR(F.lit(i << 16))
+        keys.append(F.struct(own.alias("key"), F.lit(True).alias("exact")))
+        if probes:
+            keys += [F.when(block.bitwiseAND(F.lit(1 << j)) != 0, F.struct(own.bitwiseXOR(F.lit(1 << j)).alias("key"), F.lit(False).alias("exact"))) for j in range(16)]
+    posts = nodes.select("v", "fp", "root", F.explode(F.array(*keys)).alias("k")).where("k is not null")
+    return posts.groupBy("k.key").agg(F.collect_list(F.struct("v", "fp", "root", F.col("k.exact").alias("exact"))).alias("m"))
+
+
+def _led(key: int, v: np.ndarray, fp: np.ndarray, root: np.ndarray, exact: np.ndarray, distance: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of each member with the leader of its run of neighbours; every block sorts the members another way."""
+    turn = np.uint64(16 * ((key >> 16) + 1) % BITS)
+    order = np.argsort((fp << turn) | (fp >> (np.uint64(BITS) - turn)) if turn else fp, kind="stable")
+    v, fp = v[order], fp[order]
+    head = np.arange(len(v)) // size * size
+    near = (np.bitwise_count(fp ^ fp[head]) <= distance) & (v != v[head])
+    return v[head][near], v[near]
+
+
+def _met(key: int, v: np.ndarray, fp: np.ndarray, root: np.ndarray, exact: np.ndarray, distance: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of an exact member and any member within the distance whose groups differ."""
+    if not exact.any() or (root == root[0]).all():
+        return v[:0], v[:0]
+    left, right = [], []
+    order = np.flatnonzero(exact)[np.argsort(root[exact], kind="stable")]
+    if len(order) * len(v) <= size:
+        tiles = [(order, np.arange(len(v)))]
+    else:  # a crowd: most members share a group, which is never held against itself
+        tiles = [(own, np.flatnonzero(root != root[own[0]])) for own in np.split(order, np.flatnonzero(np.diff(root[order])) + 1)]
+    for own, others in tiles:
+        step = max(1, size // max(1, len(others)))
+        for i in range(0, len(own), step):
+            part = own[i : i + step]
+            x, y = np.nonzero((np.bitwise_count(fp[part][:, None] ^ fp[others]) <= distance) & (root[part][:, None] != root[others]))
+            left.append(v[part[x]])
+            right.append(v[others[y]])
+    return np.concatenate(left), np.concatenate(right)
+
+
+def _close(nodes: DataFrame, distance: int, probes: bool, size: int) -> DataFrame:
+    """Pairs (a, b) of texts ``v`` whose fingerprints are close, without those of one group ``root``."""
+    pair = _met if probes else _led
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ends, keys, members = b.column("m").offsets.to_numpy(), b.column("key").to_numpy(), b.column("m").values
+            v, fp, root = (members.field(n).to_numpy() for n in ("v", "fp", "root"))
+            exact = members.field("exact").to_numpy(zero_copy_only=False)
+            for n, key in enumerate(keys):
+                if ends[n + 1] - ends[n] > 1:
+                    at = slice(ends[n], ends[n + 1])
+                    x, y = pair(int(key), v[at], fp[at].view(np.uint64), root[at], exact[at], distance, size)
+                    for i in range(0, len(x), TILE):
+                        lo, hi = np.minimum(x[i : i + TILE], y[i : i + TILE]), np.maximum(x[i : i + TILE], y[i : i + TILE])
+                        yield pa.RecordBatch.from_arrays([pa.array(lo), pa.array(hi)], ["a", "b"])
+
+    return texts_in(_block_members(nodes, probes), "key", "m").mapInArrow(run, "a long, b long").distinct()
+
+
+def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, similarity: float) -> DataFrame:
+    """The pairs whose texts have the similarity. Texts travel for the pairs' members only, once each and then per pair."""
+    pairs = cut(pairs)
+    members = pairs.select(F.col("a").alias("v")).union(pairs.select("b")).distinct()
+    wanted = nodes.join(members, "v", "left_semi").select("v", "k1", "k2")
+    texts = docs.select(*text_key(F.col("text")), "text").join(wanted, ["k1", "k2"]).dropDuplicates(["v"])
+    texts = cut(texts.select("v", F.coalesce("text", F.lit("")).alias("text")))
+    both = pairs.join(texts.select(F.col("v").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("v").alias("b"), F.col("text").alias("y")), "b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = lru_cache(64)(lambda t: np.unique(shingle_hashes(t, width)))
+        for b in batches:
+            good = [similarity_of(known(x.as_py()), known(y.as_py())) >= similarity for x, y in zip(b.column("x"), b.column("y"), strict=True)]
+            yield b.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    return cut(texts_in(both, "a", "b", "x", "y").mapInArrow(run, "a long, b long"))
+
+
+def _grouped(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    return nodes.join(components(edges), "v", "left").withColumn("root", F.coalesce("root", "v"))
+
+
+def similar_links(docs: DataFrame, nodes: DataFrame, width: int, distance: int, similarity: float, posting: int = POSTING, tile: int = TILE) -> DataFrame:
+    """Links (a, b) of the distinct texts ``nodes`` (v, k1, k2, fp) whose closure is that of all similar pairs."""
+    led = _verified(_close(nodes.withColumn("root", F.col("v")), distance, probes=False, size=posting), nodes, docs, width, similarity)
+    met = _verified(_close(cut(_grouped(nodes, led)), distance, probes=True, size=tile), nodes, docs, width, similarity)
+    return led.union(met)
+
+
+def similar_groups(docs: DataFrame, width: int, distance: int, similarity: float, posting: int = POSTING, tile: int = TILE) -> DataFrame:
+    """k1, k2, fp, root for every distinct text: texts of one component have one root."""
+    if not 0 <= distance <= FARTHEST:
+        raise ValueError(f"distance must be 0 to {FARTHEST}")
+    keyed = docs.select("text", *text_key(F.col("text")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            prints = pa.array([fingerprint(t.as_py(), width) for t in b.column("text")], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column("k1"), b.column("k2"), prints], ["k1", "k2", "fp"])
+
+    prints = texts_in(keyed, "k1", "k2", "text").mapInArrow(run, "k1 long, k2 long, fp long")
+    nodes = cut(prints.groupBy("k1", "k2").agg(F.first("fp").alias("fp")).withColumn("v", F.monotonically_increasing_id()))
+    return _grouped(nodes, cut(similar_links(docs, nodes, width, distance, similarity, posting, tile))).select("k1", "k2", "fp", "root")
+
+
+def keep_first(docs: DataFrame, width: int = WIDTH, distance: int = DISTANCE, similarity: float | None = None) -> DataFrame:
+    """The row of the smallest id of every component, with all its columns; one row of an id that repeats.
+
+    Without a similarity the links are those of ``near_duplicates``, whose width and distance are fixed.
+    """
+    if similarity is None:
+        if (width, distance) != (WIDTH, DISTANCE):
+            raise ValueError("another width or distance needs a similarity")
+        chosen = near_duplicates(docs).select(F.col("component_id").alias("__id")).distinct()
+    else:
+        groups = similar_groups(docs, width, distance, similarity)
+        ids = docs.select("doc_id", *text_key(F.col("text"))).join(groups, ["k1", "k2"])
+        chosen = ids.groupBy("root").agg(F.min("doc_id").alias("__id")).select("__id").distinct()
     kept = docs.join(chosen, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
     order = Window.partitionBy("doc_id").orderBy("text")
     return kept.withColumn("__n", F.row_number().over(order)).where("__n = 1").drop("__n")

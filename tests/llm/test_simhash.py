@@ -5,6 +5,7 @@ import pytest
 import xxhash
 
 from lectorium.llm import simhash
+from lectorium.llm.common import text_key
 
 
 def fp(text):
@@ -73,3 +74,58 @@ def test_rows_ids_and_columns(documents):
     assert set(kept.columns) == set(docs.columns)
     assert sorted(r.doc_id for r in kept.collect()) == ([2, 4, 7] if linked else [2, 4, 7, 9])
     assert simhash.near_duplicates(documents([])).count() == 0
+
+
+def similar(a, b):
+    sets = []
+    for t in (a, b):
+        w = t.lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)} or {tuple(w)} - {()})
+    union = sets[0] | sets[1]
+    return not union or len(sets[0] & sets[1]) / len(union) >= 0.8
+
+
+@pytest.mark.parametrize(("posting", "tile"), [(64, 1 << 20), (4, 16)])
+def test_similar_texts_equal_all_pairs(documents, posting, tile):
+    rng = random.Random(5)
+    word = lambda: f"w{rng.randrange(5000)}"
+    texts = ["", " ", "One two", "one TWO", "three"]
+    for size, n in [(30, 4), (120, 40), (200, 6), (300, 6), (90, 1), (90, 1)]:  # a crowd among small groups
+        base = [word() for _ in range(size)]
+        for k in range(n):
+            near = list(base)
+            for _ in range(k % 7):
+                near[rng.randrange(size)] = word()
+            texts.append(" ".join(near))
+    prints = [simhash.fingerprint(t, 5) for t in texts]
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if ((prints[i] ^ prints[j]) & (2**64 - 1)).bit_count() <= 7 and similar(texts[i], texts[j]):
+                root[max(find(i), find(j))] = min(find(i), find(j))
+    docs, groups = documents(texts), {}
+    roots = {(r.k1, r.k2): r.root for r in simhash.similar_groups(docs, 5, 7, 0.8, posting, tile).collect()}
+    for i, r in enumerate(docs.select(*text_key(docs.text)).collect()):
+        groups.setdefault(roots[r.k1, r.k2], set()).add(find(i))
+    want = sorted({find(i) for i in range(len(texts))})
+    assert all(len(g) == 1 for g in groups.values()) and len(groups) == len(want)
+    assert sorted(r.doc_id for r in simhash.keep_first(docs, 5, 7, 0.8).collect()) == want
+    assert simhash.keep_first(documents([]), 5, 7, 0.8).count() == 0
+
+
+def test_pipeline_stage_drops_a_copy_that_is_three_bits_away(spark, documents):
+    from corpus_pipeline import near_duplicates
+
+    rng = random.Random(3)
+    while True:
+        words = [f"w{rng.randrange(9000)}" for _ in range(300)]
+        text, near = " ".join(words), " ".join(words[:150] + ["changed"] + words[151:])
+        if (fp(text) ^ fp(near)).bit_count() > 2 and ((simhash.fingerprint(text, 5) ^ simhash.fingerprint(near, 5)) & (2**64 - 1)).bit_count() <= 7:
+            break
+    assert [r.doc_id for r in near_duplicates(spark, documents([text, near]), "").collect()] == [0]
