@@ -145,6 +145,13 @@ def components(edges: DataFrame) -> DataFrame:
             return state
 
 
+def _linked_groups(docs: DataFrame) -> DataFrame:
+    """k1, k2, fp, root for every distinct text by the links of ``near_duplicates``."""
+    prints = cut(_text_prints(docs, WIDTH))
+    roots = components(links(prints.select("fp").distinct())).withColumnRenamed("v", "fp")
+    return prints.join(roots, "fp", "left").select("k1", "k2", "fp", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, posting: int = POSTING) -> DataFrame:
     """doc_id, fingerprint, component_id for every row of ``docs`` (columns doc_id and text)."""
     prints = cut(fingerprints(docs))
@@ -248,10 +255,8 @@ def similar_links(docs: DataFrame, nodes: DataFrame, width: int, distance: int,
     return led.union(met)
 
 
-def similar_groups(docs: DataFrame, width: int, distance: int, similarity: float, posting: int = POSTING, tile: int = TILE) -> DataFrame:
-    """k1, k2, fp, root for every distinct text: texts of one component have one root."""
-    if not 0 <= distance <= FARTHEST:
-        raise ValueError(f"distance must be 0 to {FARTHEST}")
+def _text_prints(docs: DataFrame, width: int) -> DataFrame:
+    """k1, k2, fp for every distinct text."""
     keyed = docs.select("text", *text_key(F.col("text")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,23 +265,35 @@ def similar_groups(docs: DataFrame, width: int, distance: int, similarity: float
             yield pa.RecordBatch.from_arrays([b.column("k1"), b.column("k2"), prints], ["k1", "k2", "fp"])
 
     prints = texts_in(keyed, "k1", "k2", "text").mapInArrow(run, "k1 long, k2 long, fp long")
-    nodes = cut(prints.groupBy("k1", "k2").agg(F.first("fp").alias("fp")).withColumn("v", F.monotonically_increasing_id()))
+    return prints.groupBy("k1", "k2").agg(F.first("fp").alias("fp"))
+
+
+def similar_groups(docs: DataFrame, width: int, distance: int, similarity: float, posting: int = POSTING, tile: int = TILE) -> DataFrame:
+    """k1, k2, fp, root for every distinct text: texts of one component have one root."""
+    if not 0 <= distance <= FARTHEST:
+        raise ValueError(f"distance must be 0 to {FARTHEST}")
+    nodes = cut(_text_prints(docs, width).withColumn("v", F.monotonically_increasing_id()))
     return _grouped(nodes, cut(similar_links(docs, nodes, width, distance, similarity, posting, tile))).select("k1", "k2", "fp", "root")
 
 
 def keep_first(docs: DataFrame, width: int = WIDTH, distance: int = DISTANCE, similarity: float | None = None) -> DataFrame:
-    """The row of the smallest id of every component, with all its columns; one row of an id that repeats.
+    """One row of every component with all its columns: the smallest id's, nulls last, then by fingerprint and text hash.
 
-    Without a similarity the links are those of ``near_duplicates``, whose width and distance are fixed.
+    Every row stands in the component of its own text, whatever other rows have its id. Without a similarity the
+    links are those of ``near_duplicates``, whose width and distance are fixed.
     """
-    if similarity is None:
-        if (width, distance) != (WIDTH, DISTANCE):
-            raise ValueError("another width or distance needs a similarity")
-        chosen = near_duplicates(docs).select(F.col("component_id").alias("__id")).distinct()
-    else:
+    if similarity is not None:
         groups = similar_groups(docs, width, distance, similarity)
-        ids = docs.select("doc_id", *text_key(F.col("text"))).join(groups, ["k1", "k2"])
-        chosen = ids.groupBy("root").agg(F.min("doc_id").alias("__id")).select("__id").distinct()
-    kept = docs.join(chosen, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
-    order = Window.partitionBy("doc_id").orderBy("text")
-    return kept.withColumn("__n", F.row_number().over(order)).where("__n = 1").drop("__n")
+    elif (width, distance) == (WIDTH, DISTANCE):
+        groups = _linked_groups(docs)
+    else:
+        raise ValueError("another width or distance needs a similarity")
+    keys = [k.alias(f"__{n}") for k, n in zip(text_key(F.col("text")), ("k1", "k2"), strict=True)]
+    placed = docs.select("doc_id", *keys).join(groups.select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), "fp", "root"), ["__k1", "__k2"])
+    rank = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id"), "fp", "__k1", "__k2")
+    first = placed.groupBy("root").agg(F.min(rank).alias("__first")).select("__first.id", "__first.__k1", "__first.__k2")
+    # "__" marks the stage's own columns: those of the table stay whatever their names
+    chosen = first.select(F.col("id").alias("__id"), F.col("__k1").alias("__c1"), F.col("__k2").alias("__c2"))
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__k1") == F.col("__c1")) & (F.col("__k2") == F.col("__c2"))
+    kept = docs.select("*", *keys).join(chosen, same, "left_semi")
+    return kept.dropDuplicates(["doc_id", "__k1", "__k2"]).drop("__k1", "__k2")

@@ -129,3 +129,11 @@ def test_pipeline_stage_drops_a_copy_that_is_three_bits_away(spark, documents):
         if (fp(text) ^ fp(near)).bit_count() > 2 and ((simhash.fingerprint(text, 5) ^ simhash.fingerprint(near, 5)) & (2**64 - 1)).bit_count() <= 7:
             break
     assert [r.doc_id for r in near_duplicates(spark, documents([text, near]), "").collect()] == [0]
+
+
+@pytest.mark.parametrize("rule", [(), (5, 7, 0.8)])
+def test_rows_stay_by_their_own_component(documents, rule):
+    a, b, c, d, e = (" ".join(f"{x}{i}" for i in range(60)) for x in "abcde")
+    docs = documents([(1, a), (1, b), (None, c), (None, d), (None, d), (2, e), (3, e), (3, b)])
+    kept = sorted((r.doc_id is None, r.doc_id or 0, r.text) for r in simhash.keep_first(docs, *rule).collect())
+    assert kept == [(False, 1, a), (False, 1, b), (False, 2, e), (True, 0, c), (True, 0, d)]
