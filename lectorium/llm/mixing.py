@@ -1,7 +1,8 @@
 """Mixing sources to target weights by Poisson replication (DataFrame functions only).
 
 Every document is repeated k times, where k inverts a Poisson distribution whose mean is the repetition rate of
-its source, at a uniform number hashed from the seed and the document's id. The copies are then dealt to
+its source, at a uniform number hashed from the seed and the document's id. A rate above ``LARGEST_MEAN``, whose
+probabilities would leave the range of doubles, is a sum of equal Poisson draws, each at its own hash. The copies are then dealt to
 partitions by a second hash and sorted by it: a global shuffle in one pass, reproducible at any parallelism.
 
 Defined results: a null source is a source of its own; a null id hashes as the empty string; rows that share an
@@ -19,6 +20,8 @@ from .common import broadcast_if_small
 #: Sources beyond which the table of rates is no longer broadcast.
 BROADCAST_SOURCES = 10_000
 BITS = 52
+#: Mean up to which a number of copies is drawn at once.
+LARGEST_MEAN = 500
 
 
 def hashed_bits(*parts: Column, bits: int = BITS) -> Column:
@@ -62,19 +65,26 @@ def poisson_steps(rate: Column) -> Column:
     return grown["cs"]
 
 
+def poisson_parts(rate: Column) -> Column:
+    """Number of independent draws of equal mean, ``LARGEST_MEAN`` at most, whose sum has the rate as its mean."""
+    return F.greatest(F.lit(1), F.ceil(rate / LARGEST_MEAN).cast("int"))
+
+
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, flatten: float = 0.5, epochs: float = 1.0, seed: str = "mix-1") -> DataFrame:
     """Every document ``copy`` = 1..k times, in a global order by ``shuffle_key`` within hash partitions."""
     rest = [c for c in docs.columns if c not in ("rate", "copy", "shuffle_key")]
     docs = docs.select(*[F.col(f"`{c}`") for c in rest])
+    parts = poisson_parts(F.col("rate"))
     rates = repetition_rates(docs, weights, flatten, epochs).select(
-        F.col("source").alias("__source"), "rate", poisson_steps(F.col("rate")).alias("__steps")
+        F.col("source").alias("__source"), "rate", parts.alias("__parts"), poisson_steps(F.col("rate") / parts).alias("__steps")
     )
     # counting the sources costs a scan of one column and proves the size of what is broadcast
     rates = broadcast_if_small(rates, docs.select("source").distinct().count(), BROADCAST_SOURCES)
     joined = docs.join(rates, F.col("source").eqNullSafe(F.col("__source")))
-    u = hashed_bits(F.lit(seed), F.col("doc_id")) / F.lit(float(2**BITS))
-    copies = F.size(F.filter("__steps", lambda c: c <= u))
-    copies = F.when(F.col("rate") > 0, copies).otherwise(0)
+    draw = lambda *key: F.size(F.filter("__steps", lambda c: c <= hashed_bits(F.lit(seed), *key) / F.lit(float(2**BITS))))
+    first = draw(F.col("doc_id"))
+    others = F.aggregate(F.sequence(F.lit(2), F.col("__parts")), F.lit(0), lambda n, i: n + draw(F.lit("draw"), i, F.col("doc_id")))
+    copies = F.when(F.col("__parts") > 1, first + others).when(F.col("rate") > 0, first).otherwise(0)
     drawn = joined.withColumn("__n", copies).where("__n > 0")
     out = drawn.select(*[F.col(f"`{c}`") for c in rest], "rate", F.explode(F.sequence(F.lit(1), F.col("__n"))).alias("copy"))
     out = out.withColumn("shuffle_key", hashed_bits(F.lit(seed), F.lit("order"), F.col("doc_id"), F.col("copy")))

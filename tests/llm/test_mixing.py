@@ -1,6 +1,8 @@
 import hashlib
 import math
 
+import pytest
+
 from lectorium.llm import mixing
 
 
@@ -51,3 +53,14 @@ def test_edge_cases(documents):
     for r in rows:
         by.setdefault((r.doc_id, r.source), set()).add(r.copy)
     assert all(s == set(range(1, len(s) + 1)) for s in by.values())
+
+
+@pytest.mark.parametrize("rate", [500, 1000, 10_000])
+def test_large_rates(documents, rate):
+    n, parts = 40, max(1, math.ceil(rate / 500))
+    out = mixing.mix(documents(["x"] * n, ["a"] * n), weights={"a": 1.0}, epochs=float(rate), seed="s")
+    got = {r.doc_id: r["count"] for r in out.groupBy("doc_id").count().collect()}
+    assert got == {i: copies("s", i, rate / parts) + sum(copies(f"s:draw:{j}", i, rate / parts) for j in range(2, parts + 1)) for i in range(n)}
+    mean = sum(got.values()) / n
+    assert abs(mean - rate) < 5 * math.sqrt(rate / n)
+    assert 0.3 * rate < sum((k - mean) ** 2 for k in got.values()) / (n - 1) < 2.5 * rate
