@@ -6,13 +6,19 @@ The frame of the two substring operators. No window is listed for all texts; ins
    Equal windows name equal anchors, and a text has about ``2 / (length - gram)`` anchors per unit;
 2. anchors whose hash occurs once are dropped (a count with partial aggregation, then a join: a hot anchor is
    split like any skewed join);
-3. an anchor's context is all windows around it. Contexts that are equal whole (class of two or more members) are
-   repeated whole, with no look at the text; of every class one member goes on;
-4. classes that share an anchor but differ meet in the operator's ``engine``, which compares their text exactly;
-   anchors with more classes than the engine takes are settled window by window with partial aggregation.
+3. an anchor's context is all windows around it. Contexts that are equal whole, by 128 hashed bits, are repeated whole
+   (a class of two or more members), with no look at the text; of every class one member goes on;
+4. classes that share an anchor but differ meet in the operator's ``engine``, which compares their text exactly. An
+   anchor with more than ``group_rows`` classes is split: the places that it can take in a window are halved, and
+   either half deals the contexts out by the units that all its windows share, a longer gram. Contexts that share it
+   with no other are done; groups that fit go to the engine, the others are halved again. In the end a half is one
+   place, the gram a whole window, and the group is repeated as it stands.
+
+With ``longest`` a second, longer window is looked for as well; a range found says which of the two it holds.
 
 Texts are keyed by 128 hashed bits; rows get their results by key, so repeated rows, repeated ids and null ids need no
-special treatment.
+special treatment. Null and empty texts, and texts shorter than a window, hold no window. Very long texts are hashed
+in chunks of ``CHUNK`` units. Ties between equal grams of a window go to the first.
 """
 
 from __future__ import annotations
@@ -26,11 +32,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, text_key, texts_in
+from .common import cut, stored, text_key, texts_in
 
 #: Units of a text hashed at a time, and bits for a place within them.
 CHUNK, PLACE_BITS = 1 << 20, 24
-_BASE = 0x9E3779B97F4A7C15
+#: Two odd bases: ranges are equal if both hashes are.
+BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 
 @dataclass(frozen=True)
@@ -38,30 +45,40 @@ class Window:
     unit: str  # "byte" or "word"
     length: int
     gram: int
-    engine_rows: int  # contexts of one anchor that the engine takes
+    group_rows: int  # contexts of one anchor that meet in the engine; more are split by longer grams
+    longest: int | None = None  # a second length, at least the first
+
+    @property
+    def lengths(self) -> tuple[int, ...]:
+        return (self.length,) if self.longest is None else (self.length, self.longest)
+
+    @property
+    def reach(self) -> int:
+        """Units from an anchor's start that its windows can reach."""
+        return max(self.lengths)
 
     @property
     def left(self) -> int:
-        """Units before an anchor that its windows can reach; after it they reach ``length``."""
-        return self.length - self.gram
+        """Units before an anchor that its windows can reach."""
+        return self.reach - self.gram
 
 
 class _Powers:
-    """Powers of the hash base and of its inverse, modulo 2**64, grown when needed."""
+    """Powers of a hash base and of its inverse, modulo 2**64, grown when needed."""
 
-    def __init__(self):
-        self.up = self.down = np.ones(1, np.uint64)
+    def __init__(self, base: int):
+        self.base, self.up, self.down = base, np.ones(1, np.uint64), np.ones(1, np.uint64)
 
     def of(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if n > len(self.up):
-            for name, b in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
+            for name, b in (("up", self.base), ("down", pow(self.base, -1, 1 << 64))):
                 steps = np.full(2 * n, b, np.uint64)
                 steps[0] = 1
                 setattr(self, name, np.cumprod(steps))
         return self.up[:n], self.down[:n]
 
 
-_powers = _Powers()
+_powers = [_Powers(b) for b in BASES]
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -72,8 +89,8 @@ def _mixed(h: np.ndarray) -> np.ndarray:
 class RangeHash:
     """Hashes of any ranges of a sequence of 64-bit codes, from prefix sums."""
 
-    def __init__(self, codes: np.ndarray):
-        up, self.down = _powers.of(len(codes) + 1)
+    def __init__(self, codes: np.ndarray, base: int = 0):
+        up, self.down = _powers[base].of(len(codes) + 1)
         self.sums = np.zeros(len(codes) + 1, np.uint64)
         np.cumsum(codes * up[:-1], out=self.sums[1:])
 
@@ -92,28 +109,29 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (width - size)], x[width - size :]) if width > size else x
 
 
-def find_anchors(codes: np.ndarray, w: Window) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Places, gram hashes and context hashes of all anchors of a text."""
-    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    n, low = len(codes), np.uint64((1 << PLACE_BITS) - 1)
+def find_anchors(codes: np.ndarray, w: Window) -> list[np.ndarray]:
+    """Places, gram hashes and two context hashes of all anchors of a text."""
+    found: list[list[np.ndarray]] = []
+    n, low, choice = len(codes), np.uint64((1 << PLACE_BITS) - 1), w.length - w.gram
     for begin in range(0, max(n - w.length + 1, 0), CHUNK):  # windows that begin in this chunk
-        a, z = max(0, begin - w.left), min(n, begin + CHUNK + 2 * w.length)
+        a, z = max(0, begin - w.left), min(n, begin + CHUNK + 2 * w.reach)
         hashes = RangeHash(codes[a:z])
         grams = _mixed(hashes.sliding(w.gram))
         first, last = begin - a, min(begin + CHUNK, n - w.length + 1) - 1 - a
-        keys = (grams[first : last + w.left + 1] & ~low) | np.arange(first, last + w.left + 1, dtype=np.uint64)
-        at = (sliding_min(keys, w.left + 1) & low).astype(np.int64)
+        keys = (grams[first : last + choice + 1] & ~low) | np.arange(first, last + choice + 1, dtype=np.uint64)
+        at = (sliding_min(keys, choice + 1) & low).astype(np.int64)
         at = at[np.flatnonzero(np.diff(at, prepend=-1))]
-        start, end = np.maximum(at - w.left, 0), np.minimum(at + w.length, z - a)
-        context = _mixed(hashes.of(start, end) + (at - start).astype(np.uint64) * np.uint64(0xA24BAED4963EE407) + (end - at).astype(np.uint64) * np.uint64(0x9FB21C651E98DF25))
-        found.append((at + a, grams[at].view(np.int64), context.view(np.int64)))
+        start, end = np.maximum(at - w.left, 0), np.minimum(at + w.reach, z - a)
+        cropped = (at - start).astype(np.uint64) * np.uint64(0xA24BAED4963EE407) + (end - at).astype(np.uint64) * np.uint64(0x9FB21C651E98DF25)
+        whole = [_mixed(h.of(start, end) + cropped).view(np.int64) for h in (hashes, RangeHash(codes[a:z], 1))]
+        found.append([at + a, grams[at].view(np.int64), *whole])
     if len(found) == 1:
         return found[0]
     if not found:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    at, grams, context = (np.concatenate(x) for x in zip(*found, strict=True))
+        return [np.zeros(0, np.int64)] * 4
+    at, *rest = (np.concatenate(x) for x in zip(*found, strict=True))
     at, first = np.unique(at, return_index=True)
-    return at, grams[first], context[first]
+    return [at, *(x[first] for x in rest)]
 
 
 class _WordCodes(dict):
@@ -154,16 +172,27 @@ def anchors(texts: DataFrame, w: Window) -> DataFrame:
         for b in batches:
             parts = [find_anchors(code(t.as_py()), w) for t in b.column("text")]
             counts = np.array([len(p[0]) for p in parts], np.int64)
-            at, gram, context = (np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, np.int64) for i in range(3))
+            at, gram, c1, c2 = (np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, np.int64) for i in range(4))
             keys = [pa.array(np.repeat(b.column(c).to_numpy(), counts)) for c in ("k1", "k2")]
-            yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(context), *keys, pa.array(at.astype(np.int32))], ["gram", "context", "k1", "k2", "at"])
+            cells = [pa.array(gram), pa.array(c1), pa.array(c2), *keys, pa.array(at.astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(cells, ["gram", "c1", "c2", "k1", "k2", "at"])
+
+    return texts.mapInArrow(run, "gram long, c1 long, c2 long, k1 long, k2 long, at int")
 
-    return texts.mapInArrow(run, "gram long, context long, k1 long, k2 long, at int")
+
+CONTEXT = {"gram": pa.int64(), "lone": pa.bool_(), "k1": pa.int64(), "k2": pa.int64(), "at": pa.int32(), "left": pa.int32(), "units": pa.binary()}
+SPAN = {"k1": pa.int64(), "k2": pa.int64(), "start": pa.int32(), "end": pa.int32(), "length": pa.int32()}
+CONTEXT_SCHEMA = "gram long, lone boolean, k1 long, k2 long, at int, left int, units binary"
+SPAN_SCHEMA = "k1 long, k2 long, start int, end int, length int"
+
+
+def _batch(rows: list[tuple], kinds: dict[str, pa.DataType]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds.values())], list(kinds))
 
 
 def _contexts(texts: DataFrame, members: DataFrame, w: Window) -> DataFrame:
     """The text around members (gram, lone, k1, k2, at): adds ``left``, the units before the anchor, and ``units``."""
-    by_text = members.groupBy("k1", "k2").agg(F.collect_list(F.struct("gram", "lone", "at", "size")).alias("members"))
+    by_text = members.groupBy("k1", "k2").agg(F.collect_list(F.struct("gram", "lone", "at")).alias("members"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -171,104 +200,117 @@ def _contexts(texts: DataFrame, members: DataFrame, w: Window) -> DataFrame:
             for k1, k2, text, own in zip(*[b.column(c).to_pylist() for c in ("k1", "k2", "text", "members")], strict=True):
                 units = text.encode() if w.unit == "byte" else text.encode().split()
                 for m in own:
-                    start, end = max(0, m["at"] - w.left), m["at"] + w.length
-                    piece = units[start:end]
-                    rows.append((m["gram"], m["lone"], m["size"], k1, k2, m["at"], m["at"] - start, piece if w.unit == "byte" else b" ".join(piece)))
-                if len(rows) >= 4096:
-                    yield _batch(rows)
-                    rows = []
-            yield _batch(rows)
+                    start = max(0, m["at"] - w.left)
+                    piece = units[start : m["at"] + w.reach]
+                    rows.append((m["gram"], m["lone"], k1, k2, m["at"], m["at"] - start, piece if w.unit == "byte" else b" ".join(piece)))
+                    if len(rows) >= 4096:
+                        yield _batch(rows, CONTEXT)
+                        rows = []
+            yield _batch(rows, CONTEXT)
 
-    return texts.join(by_text, ["k1", "k2"]).select("k1", "k2", "text", "members").mapInArrow(
-        run, "gram long, lone boolean, size long, k1 long, k2 long, at int, left int, units binary"
-    )
-
-
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    names = ["gram", "lone", "size", "k1", "k2", "at", "left", "units"]
-    kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
+    return texts.join(by_text, ["k1", "k2"]).select("k1", "k2", "text", "members").mapInArrow(run, CONTEXT_SCHEMA)
 
 
 #: An engine gets whole groups, as lists sorted by gram of rows (gram, lone, k1, k2, at, left, units), and gives
-#: (k1, k2, start, end) of what is repeated in those that are alone in their class.
-Engine = Callable[[list[tuple], Window], list[tuple[int, int, int, int]]]
+#: (k1, k2, start, end, length) of what is repeated in those that are alone in their class.
+Engine = Callable[[list[tuple], Window], list[tuple[int, int, int, int, int]]]
 
 
 def _run_engine(contexts: DataFrame, w: Window, engine: Engine, batch_rows: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         for b in batches:
-            held += zip(*[b.column(c).to_pylist() for c in ("gram", "lone", "k1", "k2", "at", "left", "units")], strict=True)
+            held += zip(*[b.column(c).to_pylist() for c in CONTEXT], strict=True)
             while len(held) > batch_rows and held[0][0] != held[-1][0]:
                 stop = min(batch_rows, len(held) - 1)
                 while stop < len(held) and held[stop][0] == held[stop - 1][0]:
                     stop += 1
                 if stop == len(held):  # the last group may go on
                     stop = next(i for i in range(len(held) - 1, 0, -1) if held[i][0] != held[i - 1][0])
-                yield spans(engine(held[:stop], w))
+                yield _batch(engine(held[:stop], w), SPAN)
                 held = held[stop:]
-        yield spans(engine(held, w) if held else [])
-
-    def spans(rows):
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32()]
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["k1", "k2", "start", "end"])
+        yield _batch(engine(held, w) if held else [], SPAN)
 
-    return contexts.repartition("gram").sortWithinPartitions("gram").mapInArrow(run, "k1 long, k2 long, start int, end int")
+    return contexts.repartition("gram").sortWithinPartitions("gram").mapInArrow(run, SPAN_SCHEMA)
 
 
-def _window_by_window(contexts: DataFrame, w: Window) -> DataFrame:
-    """For anchors with very many classes: count the hashes of the windows themselves, by anchor and by their offset
-    from it (a text where the anchor stands twice holds a window in two contexts, at different offsets)."""
+def _halves(rows: DataFrame, w: Window) -> DataFrame:
+    """Rows (length, low, high, and a context) by either half of the places ``low`` to ``high`` before an anchor at
+    which a window of ``length`` may begin: g1, g2, the hash of the units that all windows of the half share."""
     values = np.array([xxhash.xxh64_intdigest(bytes([b]), 7) for b in range(256)], np.uint64)
-    names = ["h", "lone", "k1", "k2", "start"]
+    kinds = {"g1": pa.int64(), "g2": pa.int64(), "length": pa.int32(), "low": pa.int32(), "high": pa.int32()} | CONTEXT
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = coder(w)
         for b in batches:
-            for row in b.to_pylist():
-                raw = row["units"]
-                codes = words(raw.decode()) if w.unit == "word" else values[np.frombuffer(raw, np.uint8)]
-                n = len(codes) - w.length + 1
-                if n > 0:
-                    offset = np.arange(n, dtype=np.int64) - row["left"]
-                    place = _mixed(offset.view(np.uint64) * np.uint64(_BASE) + np.uint64(row["gram"] & (1 << 64) - 1))
-                    h = _mixed(RangeHash(codes).sliding(w.length) + place).view(np.int64)
-                    same = [pa.array(np.full(n, row[c])) for c in names[1:4]]
-                    yield pa.RecordBatch.from_arrays([pa.array(h), *same, pa.array((offset + row["at"]).astype(np.int32))], names)
-
-    windows = contexts.mapInArrow(run, "h long, lone boolean, k1 long, k2 long, start int")
-    counts = windows.groupBy("h").agg(F.sum(F.when(F.col("lone"), 1).otherwise(2)).alias("n")).where("n > 1").select("h")
-    return windows.where("lone").join(counts, "h").select("k1", "k2", "start", (F.col("start") + w.length).alias("end"))
+            out = []
+            for length, low, high, *context in zip(*[b.column(c).to_pylist() for c in ("length", "low", "high", *CONTEXT)], strict=True):
+                gram, left, units = context[0], context[5], context[6]
+                codes = words(units.decode()) if w.unit == "word" else values[np.frombuffer(units, np.uint8)]
+                hashes, middle = [RangeHash(codes, i) for i in (0, 1)], (low + high) // 2
+                for a, z in ((low, middle), (middle + 1, high)) if low < high else ():
+                    start, end = left - a, left - z + length
+                    if start >= 0 and end <= len(codes):
+                        place = (np.array([a, z, length, gram]).view(np.uint64) * np.array([3, 5, 7, 11], np.uint64)).sum()
+                        keys = [int(_mixed(h.of(np.array([start]), np.array([end])) + place).view(np.int64)[0]) for h in hashes]
+                        out.append((*keys, length, a, z, *context))
+            yield _batch(out, kinds)
+
+    return rows.mapInArrow(run, "g1 long, g2 long, length int, low int, high int, " + CONTEXT_SCHEMA)
+
+
+def _split(contexts: DataFrame, w: Window) -> tuple[list[DataFrame], list[DataFrame]]:
+    """Crowded anchors' contexts in groups for the engine, and ranges that need none. Each round is written."""
+    fit, settled, left = [], [], None
+    for length in w.lengths:
+        whole = contexts.select(F.lit(length).alias("length"), F.lit(0).alias("low"), F.lit(length - w.gram).alias("high"), "*")
+        left = whole if left is None else left.union(whole)
+    while True:
+        halves = cut(_halves(left, w))
+        sizes = cut(halves.groupBy("g1", "g2").agg(F.count(F.lit(1)).alias("size")).where("size > 1"))
+        met = halves.join(sizes, ["g1", "g2"])
+        windows = met.where("low = high and lone").select("k1", "k2", (F.col("at") - F.col("low")).alias("start"), (F.col("at") - F.col("low") + F.col("length")).alias("end"), "length")
+        settled.append(windows)
+        several = met.where("low < high")
+        fit.append(several.where(F.col("size") <= w.group_rows).select(F.col("g1").alias("gram"), *[c for c in CONTEXT if c != "gram"]))
+        left = several.where(F.col("size") > w.group_rows).select("length", "low", "high", *CONTEXT)
+        if left.limit(1).count() == 0:
+            return fit, settled
 
 
 def repeated_spans(docs: DataFrame, texts: DataFrame, w: Window, engine: Engine, batch_rows: int) -> DataFrame:
-    """k1, k2, spans: ranges that together hold every repeated window (they may overlap or pass the text's ends).
+    """k1, k2, spans: ranges (start, end, length) that together hold every repeated window of a length (they may
+    overlap or pass the text's ends; length is null where a range holds for every length that it spans).
 
-    Anchors are found where the rows lie, copies included, before any text moves; those that occur twice are written
-    once, since several joins below start from them. So are the counts that they are joined with: a join can split a hot
-    key only if no aggregation by that key stands right below it. ``texts`` (distinct) is shuffled once and used by the contexts
-    and by the caller.
+    Anchors are found where the rows lie, copies included, before any text moves, and written once, as Parquet in the
+    shared folder. So are those that occur twice, since several joins start from them, and the counts that they are
+    joined with: a join can split a hot key only if no aggregation by that key stands right below it. ``texts``
+    (distinct) is shuffled once for the contexts and the caller, and once more if there are crowded anchors.
     """
-    found = anchors(keyed_texts(docs, w), w)
+    found = stored(anchors(keyed_texts(docs, w), w))
     common = cut(found.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram"))
     met = cut(found.join(common, "gram"))
-    classes = cut(met.groupBy("gram", "context").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("k1", "k2", "at")).alias("m")))
-    whole = met.join(classes.where("n > 1").select("gram", "context"), ["gram", "context"])
-    whole = whole.select("k1", "k2", (F.col("at") - w.left).alias("start"), (F.col("at") + w.length).alias("end"))
+    classes = cut(met.groupBy("gram", "c1", "c2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("k1", "k2", "at")).alias("m")))
+    whole = met.join(classes.where("n > 1").select("gram", "c1", "c2"), ["gram", "c1", "c2"])
+    whole = whole.select("k1", "k2", (F.col("at") - w.left).alias("start"), (F.col("at") + w.reach).alias("end"), F.lit(None).cast("int").alias("length"))
     sizes = cut(classes.groupBy("gram").agg(F.count(F.lit(1)).alias("size")).where("size > 1"))
     mixed = classes.join(sizes, "gram").select("gram", (F.col("n") == 1).alias("lone"), "m.*", "size")
-    # chosen before the texts are looked at, so that each way looks only at its own
-    settled = _run_engine(_contexts(texts, mixed.where(F.col("size") <= w.engine_rows), w), w, engine, batch_rows)
-    crowded = _window_by_window(_contexts(texts, mixed.where(F.col("size") > w.engine_rows), w), w)
-    every = whole.union(settled).union(crowded)
-    return every.groupBy("k1", "k2").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+    groups, every = _contexts(texts, mixed.where(F.col("size") <= w.group_rows), w), whole
+    if sizes.where(F.col("size") > w.group_rows).limit(1).count():
+        fit, settled = _split(_contexts(texts, mixed.where(F.col("size") > w.group_rows), w), w)
+        for part in fit:
+            groups = groups.union(part)
+        for part in settled:
+            every = every.union(part)
+    every = every.union(_run_engine(groups, w, engine, batch_rows))
+    return every.groupBy("k1", "k2").agg(F.collect_set(F.struct("start", "end", "length")).alias("spans"))
 
 
 def merged(spans: list, n: int, length: int) -> list[tuple[int, int]]:
-    """Maximal disjoint ranges within a text of n units; what is too short for a window holds none."""
+    """Maximal disjoint ranges of windows of ``length`` within a text of n units; what is too short holds none."""
     out: list[tuple[int, int]] = []
-    for s, e in sorted((max(0, s["start"]), min(n, s["end"])) for s in spans):
+    own = [s for s in spans if s["length"] is None or s["length"] >= length]
+    for s, e in sorted((max(0, s["start"]), min(n, s["end"])) for s in own):
         if e - s < length:
             continue
         if out and s <= out[-1][1]:

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import text_key, words_of
 from .repeats import Window, distinct_texts, merged, repeated_spans
 
-WORDS = Window(unit="word", length=35, gram=8, engine_rows=2_000)
+WORDS = Window(unit="word", length=35, gram=8, group_rows=2_000)
 BATCH_ROWS = 1_500
 
 
@@ -91,7 +91,7 @@ class SuffixAutomaton:
             yield length
 
 
-def engine(rows: list[tuple], w: Window) -> list[tuple[int, int, int, int]]:
+def engine(rows: list[tuple], w: Window) -> list[tuple[int, int, int, int, int]]:
     automaton, lone = SuffixAutomaton(), defaultdict(list)
     for _, alone, k1, k2, at, left, units in rows:
         words = units.split(b" ")
@@ -121,10 +121,10 @@ def engine(rows: list[tuple], w: Window) -> list[tuple[int, int, int, int]]:
                     span[1] = i + 1
                 else:
                     if span:
-                        out.append((k1, k2, start + span[0], start + span[1]))
+                        out.append((k1, k2, start + span[0], start + span[1], w.length))
                     span = [i - w.length + 1, i + 1]
         if span:
-            out.append((k1, k2, start + span[0], start + span[1]))
+            out.append((k1, k2, start + span[0], start + span[1], w.length))
     return out
 
 

@@ -7,7 +7,7 @@ import pytest
 from lectorium.llm import repeats, substring, suffix_merge
 from lectorium.llm.repeats import Window
 
-BYTES = Window("byte", 20, 4, 1000)
+BYTES = Window("byte", 12, 4, 1000, 20)
 WORDS = Window("word", 6, 2, 1000)
 
 
@@ -42,20 +42,22 @@ def corpus(seed):
     return texts
 
 
-@pytest.mark.parametrize("rows", [1000, 3])  # 3: most groups go window by window
+@pytest.mark.parametrize("rows", [1000, 8, 1])  # 1: every group is split down to single windows
 def test_bytes_equal_brute_force(documents, rows):
     texts = corpus(1)
-    w = Window("byte", 20, 4, rows)
+    w = Window("byte", 12, 4, rows, 20)
     seqs, covered = brute(texts, lambda t: list(t.encode()), 20)
+    shorter = brute(texts, lambda t: list(t.encode()), 12)[1]
     got = {r.doc_id: r for r in suffix_merge.removal_digest(documents(texts), w).collect()}
     assert len(got) == len(texts) and any(covered)
     for i, (s, c) in enumerate(zip(seqs, covered, strict=True)):
         kept = bytes(b for j, b in enumerate(s) if j not in c)
         r = got[i]
         assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == (len(s), len(c), runs(c), hashlib.sha256(kept).hexdigest()), (i, texts[i])
+        assert r.n_repeated == len(shorter[i])
 
 
-@pytest.mark.parametrize("rows", [1000, 3])
+@pytest.mark.parametrize("rows", [1000, 8, 1])
 def test_words_equal_brute_force(documents, rows):
     texts = corpus(2)
     w = Window("word", 6, 2, rows)
