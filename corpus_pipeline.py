@@ -1,7 +1,8 @@
 """From raw documents to encoded training data, in five stages.
 
 Every stage takes all that its predecessor kept, is written as Parquet in the shared folder and read again. Stages
-that change a text set n_chars to its new length; all but the last return the columns of ``documents``.
+that change a text set n_chars to its new length; all but the last return the columns of ``documents``. An empty table
+passes every stage and stays empty; extra columns pass through the first four.
 """
 
 from __future__ import annotations
@@ -22,27 +23,39 @@ def _with_text(df: DataFrame, columns: list[str], text: str) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Failing lines go; documents that fail the base rules or lose too much text go whole."""
+    """Failing lines go; documents that fail the base rules or lose too much text go whole.
+
+    A null or empty text fails the base rules. Rows are judged one by one: a repeated or null id changes nothing.
+    """
     return _with_text(quality.kept_documents(docs), docs.columns, "cleaned_text")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of every group of linked texts the document with the smallest id stays; 5-word shingles, similarity of 0.8 or more."""
+    """Of every group of linked texts the document with the smallest id stays; 5-word shingles, similarity of 0.8 or more.
+
+    Null, empty and blank texts are one group. Texts that share an id or have none stay if nothing links them.
+    """
     return simhash.keep_first(docs, width=5, distance=simhash.FARTHEST, similarity=0.8)
 
 
 def repeated_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Byte strings of 400 or more that stand elsewhere too are cut out; a document may end up empty."""
-    return _with_text(suffix_merge.remove_repeats(docs), docs.columns, "text")
+    """Byte strings of 200 or more (about 50 words of three letters) that stand elsewhere too are cut out.
+
+    Rows stay, whatever their ids; a document may end up empty, and a null text stays null.
+    """
+    return _with_text(suffix_merge.remove_repeats(docs, suffix_merge.PASSAGES), docs.columns, "text")
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as its source's repetition rate draws, in a global order."""
+    """Every document as often as its source's repetition rate draws, in a global order.
+
+    A null source is a source of its own; rows without an id share the draw of the empty string.
+    """
     return mixing.mix(docs).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every copy, with the text that they decode to."""
+    """Token ids of every copy, with the text that they decode to; a null text has none."""
     return bpe.encode_decode(docs, tokenizer_path())
 
 
