@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,13 +38,6 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Like ``cut``, but as Parquet, which is smaller; for large tables that are read more than once."""
-    at = f"{ensure_checkpoint_dir(df.sparkSession)}/stored-{uuid.uuid4()}"
-    df.write.parquet(at)
-    return df.sparkSession.read.parquet(at)
-
-
 def broadcast_if_small(df: DataFrame, rows: int, limit: int) -> DataFrame:
     """A broadcast hint only when the counted side has at most ``limit`` rows; otherwise the join shuffles."""
     return F.broadcast(df) if rows <= limit else df

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, stored, text_key, texts_in
+from .common import cut, text_key, texts_in
 
 #: Units of a text hashed at a time, and bits for a place within them.
 CHUNK, PLACE_BITS = 1 << 20, 24
@@ -236,58 +236,77 @@ def _run_engine(contexts: DataFrame, w: Window, engine: Engine, batch_rows: int)
 
 def _halves(rows: DataFrame, w: Window) -> DataFrame:
     """Rows (length, low, high, and a context) by either half of the places ``low`` to ``high`` before an anchor at
-    which a window of ``length`` may begin: g1, g2, the hash of the units that all windows of the half share."""
+    which a window of ``length`` may begin: the hashes g1, g2 of the units that all windows of the half share, and
+    c1, c2 of those that any of them covers, to which the context is cropped."""
     values = np.array([xxhash.xxh64_intdigest(bytes([b]), 7) for b in range(256)], np.uint64)
-    kinds = {"g1": pa.int64(), "g2": pa.int64(), "length": pa.int32(), "low": pa.int32(), "high": pa.int32()} | CONTEXT
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = coder(w)
         for b in batches:
-            out = []
-            for length, low, high, *context in zip(*[b.column(c).to_pylist() for c in ("length", "low", "high", *CONTEXT)], strict=True):
-                gram, left, units = context[0], context[5], context[6]
-                codes = words(units.decode()) if w.unit == "word" else values[np.frombuffer(units, np.uint8)]
-                hashes, middle = [RangeHash(codes, i) for i in (0, 1)], (low + high) // 2
-                for a, z in ((low, middle), (middle + 1, high)) if low < high else ():
-                    start, end = left - a, left - z + length
-                    if start >= 0 and end <= len(codes):
-                        place = (np.array([a, z, length, gram]).view(np.uint64) * np.array([3, 5, 7, 11], np.uint64)).sum()
-                        keys = [int(_mixed(h.of(np.array([start]), np.array([end])) + place).view(np.int64)[0]) for h in hashes]
-                        out.append((*keys, length, a, z, *context))
-            yield _batch(out, kinds)
-
-    return rows.mapInArrow(run, "g1 long, g2 long, length int, low int, high int, " + CONTEXT_SCHEMA)
+            units = [u.as_py() for u in b.column("units")]
+            codes = [words(u.decode()) if w.unit == "word" else values[np.frombuffer(u, np.uint8)] for u in units]
+            size = np.array([len(c) for c in codes], np.int64)
+            base = np.cumsum(size) - size
+            hashes = [RangeHash(np.concatenate(codes) if codes else np.zeros(0, np.uint64), i) for i in (0, 1)]
+            length, low, high, left, gram = (b.column(c).to_numpy().astype(np.int64) for c in ("length", "low", "high", "left", "gram"))
+            middle = (low + high) // 2
+            for near, far in ((low, middle), (middle + 1, high)):
+                i = np.flatnonzero((low < high) & (left >= near) & (left - far + length <= size))
+                near, far = near[i], far[i]
+                place = sum(x.view(np.uint64) * np.uint64(m) for x, m in ((near, 3), (far, 5), (length[i], 7), (gram[i], 11)))
+                cells = []
+                for before, after in ((near, length[i] - far), (np.minimum(far, left[i]), np.minimum(length[i] - near, size[i] - left[i]))):
+                    at, cropped = base[i] + left[i], place + before.view(np.uint64) * np.uint64(13) + after.view(np.uint64) * np.uint64(17)
+                    cells += [pa.array(_mixed(h.of(at - before, at + after) + cropped).view(np.int64)) for h in hashes]
+                cells += [pa.array(x.astype(np.int32)) for x in (length[i], near, far)]
+                pieces = [crop(units[r], s, e) for r, s, e in zip(i, (left[i] - before).tolist(), (left[i] + after).tolist(), strict=True)]
+                own = b.select(["gram", "lone", "k1", "k2", "at"]).take(pa.array(i)).columns
+                cells += [*own, pa.array(before.astype(np.int32)), pa.array(pieces, pa.binary())]
+                yield pa.RecordBatch.from_arrays(cells, ["g1", "g2", "c1", "c2", "length", "low", "high", *CONTEXT])
+
+    def crop(units: bytes, start: int, end: int) -> bytes:
+        return units[start:end] if w.unit == "byte" else b" ".join(units.split()[start:end])
+
+    return rows.mapInArrow(run, "g1 long, g2 long, c1 long, c2 long, length int, low int, high int, " + CONTEXT_SCHEMA)
 
 
 def _split(contexts: DataFrame, w: Window) -> tuple[list[DataFrame], list[DataFrame]]:
-    """Crowded anchors' contexts in groups for the engine, and ranges that need none. Each round is written."""
+    """Crowded anchors' contexts in groups for the engine, and ranges that need none. Each round is written.
+
+    What the windows of a half cover is a context of its own: where it is equal in two or more members, these are
+    settled and one stands for all. So a member goes on only in the halves that a repeated passage fills in part.
+    """
     fit, settled, left = [], [], None
     for length in w.lengths:
         whole = contexts.select(F.lit(length).alias("length"), F.lit(0).alias("low"), F.lit(length - w.gram).alias("high"), "*")
         left = whole if left is None else left.union(whole)
+    half, own = ["g1", "g2"], ["c1", "c2"]
     while True:
         halves = cut(_halves(left, w))
-        sizes = cut(halves.groupBy("g1", "g2").agg(F.count(F.lit(1)).alias("size")).where("size > 1"))
-        met = halves.join(sizes, ["g1", "g2"])
-        windows = met.where("low = high and lone").select("k1", "k2", (F.col("at") - F.col("low")).alias("start"), (F.col("at") - F.col("low") + F.col("length")).alias("end"), "length")
-        settled.append(windows)
-        several = met.where("low < high")
+        classes = cut(halves.groupBy(*half, *own).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("k1", "k2", "at")).alias("m")))
+        sizes = cut(classes.groupBy(*half).agg(F.count(F.lit(1)).alias("size")))
+        met = halves.join(classes, [*half, *own])
+        equal = met.where("n > 1 and lone")
+        settled.append(equal.select("k1", "k2", (F.col("at") - F.col("high")).alias("start"), (F.col("at") - F.col("low") + F.col("length")).alias("end"), "length"))
+        first = met.where(F.struct("k1", "k2", "at") == F.col("m")).withColumn("lone", F.col("lone") & (F.col("n") == 1))
+        several = first.join(sizes.where("size > 1"), half)
         fit.append(several.where(F.col("size") <= w.group_rows).select(F.col("g1").alias("gram"), *[c for c in CONTEXT if c != "gram"]))
-        left = several.where(F.col("size") > w.group_rows).select("length", "low", "high", *CONTEXT)
-        if left.limit(1).count() == 0:
+        crowds = sizes.where(F.col("size") > F.greatest(F.lit(1), F.lit(w.group_rows)))
+        if not crowds.limit(1).count():
             return fit, settled
+        left = first.join(crowds, half).select("length", "low", "high", *CONTEXT)
 
 
 def repeated_spans(docs: DataFrame, texts: DataFrame, w: Window, engine: Engine, batch_rows: int) -> DataFrame:
     """k1, k2, spans: ranges (start, end, length) that together hold every repeated window of a length (they may
     overlap or pass the text's ends; length is null where a range holds for every length that it spans).
 
-    Anchors are found where the rows lie, copies included, before any text moves, and written once, as Parquet in the
-    shared folder. So are those that occur twice, since several joins start from them, and the counts that they are
-    joined with: a join can split a hot key only if no aggregation by that key stands right below it. ``texts``
-    (distinct) is shuffled once for the contexts and the caller, and once more if there are crowded anchors.
+    Anchors are found where the rows lie, copies included, before any text moves; those that occur twice are written
+    once, since several joins below start from them. So are the counts that they are joined with: a join can split a hot
+    key only if no aggregation by that key stands right below it. ``texts`` (distinct) is shuffled once for the contexts
+    and the caller, and once more if there are crowded anchors.
     """
-    found = stored(anchors(keyed_texts(docs, w), w))
+    found = anchors(keyed_texts(docs, w), w)
     common = cut(found.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram"))
     met = cut(found.join(common, "gram"))
     classes = cut(met.groupBy("gram", "c1", "c2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("k1", "k2", "at")).alias("m")))

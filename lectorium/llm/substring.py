@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import text_key, words_of
 from .repeats import Window, distinct_texts, merged, repeated_spans
 
-WORDS = Window(unit="word", length=35, gram=8, group_rows=2_000)
+WORDS = Window(unit="word", length=35, gram=8, group_rows=4_000)
 BATCH_ROWS = 1_500
 
 

@@ -29,9 +29,9 @@ from .common import text_key
 from .repeats import Window, distinct_texts, merged, repeated_spans
 
 #: Strings of 400 bytes are removed. Passages of over 50 words are often shorter, so those of 200 are counted as well.
-BYTES = Window(unit="byte", length=200, gram=32, group_rows=8_000, longest=400)  # a task's matrix: 25 MB at most
+BYTES = Window(unit="byte", length=200, gram=32, group_rows=50_000, longest=400)  # a task's matrix: 80 MB at most
 #: For a pipeline: passages of 50 words of three letters and more are removed.
-PASSAGES = Window(unit="byte", length=200, gram=32, group_rows=8_000)
+PASSAGES = Window(unit="byte", length=200, gram=32, group_rows=50_000)
 BATCH_ROWS = 6_000
 
 
