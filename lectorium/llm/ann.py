@@ -2,15 +2,19 @@
 
 A vector is coded as a sum of one full-dimensional word from each of several codebooks. The books are fitted one
 after another to the residuals of a bounded sample; every row is then encoded by beam search, which keeps the best
-partial sums, and stores its codes and the norm of its reconstruction. The rows lie in blocks. A query scores a block
-from a table of its inner products with all words, takes the best share of the block and ranks that exactly, in double
-precision, on the original vectors; the best of all blocks are the answer. Since the share is one of each block,
-recall does not fall as the table grows. The queries are a stated set, so work is queries times rows, in blocks; each
-pair of blocks is a row of its own that Spark deals out.
+partial sums, and stored with its codes and the factor by which its norm exceeds that of its reconstruction. The rows
+lie in lanes of bounded size. A query scores a lane from a table of its inner products with all words, times the
+stored factors, takes the best share of the lane and ranks that exactly, in double precision, on the original vectors;
+the best of all lanes are the answer. Since the share is one of each lane, recall does not fall as the table grows.
+
+The queries are a stated set, so work is queries times rows. Queries lie in full blocks, and each pair of a block and a
+lane is a group that Spark deals out: a row travels once for each block of queries (4,096, or 82,000 rows' worth), a
+query once for each lane. Nothing grows in a task, and only the fitted books are sent to all.
 
 Defined results: vectors that are null, zero, of another width than most or hold null or non-finite components take no
-part, neither as queries nor as candidates. Ties in score go to the smaller id, repeated ids to the row's place in
-its block. Other columns are not read. An empty table, or one without a query, gives an empty result.
+part, neither as queries nor as candidates; rows without an id neither. Ties in score go to the smaller id, and rows
+that repeat an id are candidates each; as queries they give one answer, the best of either. Other columns are not read. An empty table, or one without a query, gives an
+empty result; a table of fewer rows than k gives all of them. There are no texts here, so none can be long.
 """
 
 from __future__ import annotations
@@ -35,10 +39,10 @@ class Quantiser:
     sample: int = 8_000
     rounds: int = 8
     beam: int = 4
-    block: int = 2_048
-    query_block: int = 512
-    lanes: int = 8  # tasks for each block of queries
-    share: float = 0.12  # of a block that is ranked exactly
+    lane: int = 8_192  # rows that meet a block of queries in one task
+    query_block: int = 4_096
+    tile: int = 256  # queries scored at a time
+    share: float = 0.1  # of a lane that is ranked exactly
     least: int = 64
     seed: int = 11
 
@@ -96,97 +100,74 @@ def encode(x: np.ndarray, books: np.ndarray, beam: int) -> tuple[np.ndarray, np.
     return chosen, (made**2).sum(1)
 
 
+def matrix(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column.flatten().to_numpy().reshape(-1, dim)
+
+
 def build_index(table: DataFrame, q: Quantiser = Quantiser()) -> tuple[DataFrame, np.ndarray]:
-    """The index, one row per block (block, ids, codes, norms, vectors), and the books."""
-    vectors = cut(usable(table))
+    """The index, one row per vector (vec_id, v, codes, factor), and the books."""
+    vectors = cut(usable(table).where("vec_id is not null"))
     # a bounded sample: the rows whose hashed ids are smallest
     sample = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(q.sample).select("v").toArrow()["v"].combine_chunks()
-    if not len(sample):
-        return vectors.limit(0).select(F.lit(0).alias("block")), np.zeros((q.books, q.words, 1), np.float32)
-    dim = len(sample[0])
-    books = fit_books(sample.flatten().to_numpy().reshape(-1, dim), q)
+    dim = len(sample[0]) if len(sample) else 1
+    books = fit_books(matrix(sample, dim), q) if len(sample) else np.zeros((q.books, q.words, 1), np.float32)
     sent = vectors.sparkSession.sparkContext.broadcast(books)
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            t = pa.Table.from_batches([b])
-            held = t if held is None else pa.concat_tables([held, t])
-            while held.num_rows >= q.block:
-                yield one(held.slice(0, q.block))
-                held = held.slice(q.block)
-        if held is not None and held.num_rows:
-            yield one(held)
+            x = matrix(b.column("v"), dim)
+            codes, norms = encode(x, sent.value, q.beam)
+            factor = np.sqrt((x**2).sum(1) / np.maximum(norms, 1e-12))
+            yield pa.RecordBatch.from_arrays(
+                [b.column("vec_id"), b.column("v"), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(factor)], ["vec_id", "v", "codes", "factor"]
+            )
+
+    return cut(vectors.mapInArrow(run, "vec_id long, v array<double>, codes binary, factor double")), books
+
 
-    def one(t: pa.Table) -> pa.RecordBatch:
-        ids = t["vec_id"].combine_chunks().to_numpy()
-        x = t["v"].combine_chunks().flatten().to_numpy().reshape(-1, dim)
-        codes, norms = encode(x, sent.value, q.beam)
-        cells = [ids.astype(np.int64).tobytes(), np.ascontiguousarray(codes.T).tobytes(), norms.astype(np.float32).tobytes(), np.ascontiguousarray(x).tobytes()]
-        return pa.RecordBatch.from_arrays([pa.array([c], pa.binary()) for c in cells], ["ids", "codes", "norms", "vectors"])
+def top(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    first = np.lexsort((ids, -scores), axis=1)[:, :k]
+    return np.take_along_axis(ids, first, 1), np.take_along_axis(scores, first, 1)
 
-    blocks = vectors.where("vec_id is not null").mapInArrow(pack, "ids binary, codes binary, norms binary, vectors binary")
-    return cut(blocks.withColumn("block", F.monotonically_increasing_id())), books
+
+def search_lane(q_ids: np.ndarray, y: np.ndarray, rows: pa.Table, books: np.ndarray, k: int, q: Quantiser) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and exact scores of the k best rows of a lane for a few queries; -inf where there are fewer."""
+    ids, x = rows["vec_id"].to_numpy(), matrix(rows["v"], y.shape[1])
+    codes = np.frombuffer(b"".join(rows["codes"].to_pylist()), np.uint8).reshape(len(ids), -1).T
+    tables = [y.astype(np.float32) @ book.T for book in books]
+    guess = sum(t[:, c] for t, c in zip(tables, codes, strict=True)) * rows["factor"].to_numpy().astype(np.float32)
+    many = min(len(ids), max(q.least, k + 1, int(q.share * len(ids))))
+    near = np.argpartition(-guess, many - 1, axis=1)[:, :many]
+    exact = np.stack([x[n] @ v for n, v in zip(near, y, strict=True)])
+    exact[ids[near] == q_ids[:, None]] = -np.inf
+    return top(ids[near], exact, k)
 
 
 def search(table: DataFrame, every: int = 20, k: int = 20, q: Quantiser = Quantiser()) -> DataFrame:
     """query_id, rank, vec_id, score: the k best by inner product for every row whose id is divisible by ``every``."""
     index, books = build_index(table, q)
-    schema = "query_id long, vec_id long, score double"
-    dim = books.shape[2]
-    if "ids" not in index.columns:
-        return table.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    sent = table.sparkSession.sparkContext.broadcast(books)
-
-    def queries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for ids, vectors in zip(b.column("ids"), b.column("vectors"), strict=True):
-                ids = np.frombuffer(ids.as_py(), np.int64)
-                x = np.frombuffer(vectors.as_py(), np.float64).reshape(-1, dim)
-                own = np.flatnonzero(ids % every == 0)
-                for i in range(0, len(own), q.query_block):
-                    part = own[i : i + q.query_block]
-                    yield pa.RecordBatch.from_arrays([pa.array([ids[part].tobytes()], pa.binary()), pa.array([x[part].tobytes()], pa.binary())], ["q_ids", "q_vectors"])
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, key, best = sent.value, None, None
-        for b in batches:
-            for row in b.to_pylist():
-                if key != (row["q_block"], row["lane"]):
-                    if key is not None:
-                        yield told(*best)
-                    key, q_ids = (row["q_block"], row["lane"]), np.frombuffer(row["q_ids"], np.int64)
-                    y = np.frombuffer(row["q_vectors"], np.float64).reshape(-1, dim)
-                    tables = [y.astype(np.float32) @ book.T for book in words]
-                    best = (q_ids, np.zeros((len(y), 0), np.int64), np.zeros((len(y), 0)))
-                ids = np.frombuffer(row["ids"], np.int64)
-                codes = np.frombuffer(row["codes"], np.uint8).reshape(len(words), -1)
-                x = np.frombuffer(row["vectors"], np.float64).reshape(-1, dim)
-                guess = sum(t[:, c] for t, c in zip(tables, codes, strict=True))  # looked up
-                many = min(len(ids), max(q.least, k + 1, int(q.share * len(ids))))
-                near = np.argpartition(-guess, many - 1, axis=1)[:, :many]
-                exact = np.stack([x[n] @ v for n, v in zip(near, y, strict=True)])
-                exact[ids[near] == q_ids[:, None]] = -np.inf
-                best = (q_ids, *top(np.concatenate([best[1], ids[near]], axis=1), np.concatenate([best[2], exact], axis=1)))
-        if key is not None:
-            yield told(*best)
-
-    def top(ids: np.ndarray, scores: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        first = np.lexsort((ids, -scores), axis=1)[:, :k]
-        return np.take_along_axis(ids, first, 1), np.take_along_axis(scores, first, 1)
-
-    def told(q_ids: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> pa.RecordBatch:
-        real = scores > -np.inf
-        cells = [np.broadcast_to(q_ids[:, None], ids.shape)[real], ids[real], scores[real]]
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in cells], ["query_id", "vec_id", "score"])
-
-    asked = cut(index.select("ids", "vectors").mapInArrow(queries, "q_ids binary, q_vectors binary").withColumn("q_block", F.monotonically_increasing_id()))
-    # a stated query set against all rows: the blocks of rows are dealt to a fixed number of lanes for each block of
-    # queries, and each lane keeps only the best so far
-    lane = F.pmod(F.xxhash64("block"), F.lit(q.lanes)).alias("lane")
-    pairs = index.select("block", lane).crossJoin(asked.select("q_block"))
-    tasks = pairs.join(asked, "q_block").join(index.select("block", "ids", "codes", "vectors"), "block")
-    tasks = tasks.repartition("q_block", "lane").sortWithinPartitions("q_block", "lane", "block")
-    found = tasks.select("q_block", "lane", "ids", "codes", "vectors", "q_ids", "q_vectors").mapInArrow(score, schema)
+    dim, sent = books.shape[2], table.sparkSession.sparkContext.broadcast(books)
+    asked = index.where(F.col("vec_id") % every == 0).select("vec_id", "v")
+    lanes = max(1, -(-index.count() // q.lane))
+    blocks = max(1, -(-asked.count() // q.query_block))
+    deal = lambda n, salt: F.pmod(F.xxhash64("vec_id", F.lit(salt)), F.lit(n)).cast("int")
+    every_of = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    rows = index.select(every_of(blocks).alias("block"), deal(lanes, "lane").alias("lane"), "vec_id", "v", "codes", "factor")
+    asked = asked.select(deal(blocks, "block").alias("block"), every_of(lanes).alias("lane"), "vec_id", "v")
+
+    def meet(queries: pa.Table, own: pa.Table) -> pa.Table:
+        found: list[list[np.ndarray]] = []
+        for i in range(0, len(queries) if len(own) else 0, q.tile):
+            part = queries.slice(i, q.tile)
+            q_ids = part["vec_id"].to_numpy()
+            ids, scores = search_lane(q_ids, matrix(part["v"], dim), own, sent.value, k, q)
+            real = scores > -np.inf
+            found.append([np.broadcast_to(q_ids[:, None], ids.shape)[real], ids[real], scores[real]])
+        cells = [np.concatenate(c) for c in zip(*found, strict=True)] if found else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+        return pa.table(dict(zip(("query_id", "vec_id", "score"), cells, strict=True)))
+
+    key = ["block", "lane"]
+    found = asked.groupBy(*key).cogroup(rows.groupBy(*key)).applyInArrow(meet, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -3,7 +3,7 @@ import pytest
 
 from lectorium.llm import ann
 
-SMALL = ann.Quantiser(books=6, words=32, sample=500, rounds=4, block=200, query_block=16)
+SMALL = ann.Quantiser(books=6, words=32, sample=500, rounds=4, lane=200, query_block=16, tile=8)
 
 
 def exact(rows, k=20, every=20):
