@@ -32,10 +32,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, text_key, texts_in
+from .common import broadcast_if_small, cut, text_key, texts_in
 
 #: Units of a text hashed at a time, and bits for a place within them.
 CHUNK, PLACE_BITS = 1 << 20, 24
+#: Keys of texts (16 bytes each) up to which they are sent to all executors.
+FEW_TEXTS = 500_000
 #: Two odd bases: ranges are equal if both hashes are.
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
@@ -285,16 +287,16 @@ def _split(contexts: DataFrame, w: Window) -> tuple[list[DataFrame], list[DataFr
         halves = cut(_halves(left, w))
         classes = cut(halves.groupBy(*half, *own).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("k1", "k2", "at")).alias("m")))
         sizes = cut(classes.groupBy(*half).agg(F.count(F.lit(1)).alias("size")))
-        met = halves.join(classes, [*half, *own])
+        sized = cut(classes.join(sizes, half).where("n > 1 or size > 1"))  # thin rows: the contexts move once, below
+        met = halves.join(sized, [*half, *own])
         equal = met.where("n > 1 and lone")
         settled.append(equal.select("k1", "k2", (F.col("at") - F.col("high")).alias("start"), (F.col("at") - F.col("low") + F.col("length")).alias("end"), "length"))
         first = met.where(F.struct("k1", "k2", "at") == F.col("m")).withColumn("lone", F.col("lone") & (F.col("n") == 1))
-        several = first.join(sizes.where("size > 1"), half)
-        fit.append(several.where(F.col("size") <= w.group_rows).select(F.col("g1").alias("gram"), *[c for c in CONTEXT if c != "gram"]))
-        crowds = sizes.where(F.col("size") > F.greatest(F.lit(1), F.lit(w.group_rows)))
-        if not crowds.limit(1).count():
+        fits = F.col("size") <= max(1, w.group_rows)
+        fit.append(first.where((F.col("size") > 1) & fits).select(F.col("g1").alias("gram"), *[c for c in CONTEXT if c != "gram"]))
+        if not sized.where(~fits).limit(1).count():
             return fit, settled
-        left = first.join(crowds, half).select("length", "low", "high", *CONTEXT)
+        left = first.where(~fits).select("length", "low", "high", *CONTEXT)
 
 
 def repeated_spans(docs: DataFrame, texts: DataFrame, w: Window, engine: Engine, batch_rows: int) -> DataFrame:
@@ -304,7 +306,7 @@ def repeated_spans(docs: DataFrame, texts: DataFrame, w: Window, engine: Engine,
     Anchors are found where the rows lie, copies included, before any text moves; those that occur twice are written
     once, since several joins below start from them. So are the counts that they are joined with: a join can split a hot
     key only if no aggregation by that key stands right below it. ``texts`` (distinct) is shuffled once for the contexts
-    and the caller, and once more if there are crowded anchors.
+    and the caller; those with crowded anchors once more, picked out before they move where their keys are few.
     """
     found = anchors(keyed_texts(docs, w), w)
     common = cut(found.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram"))
@@ -316,7 +318,10 @@ def repeated_spans(docs: DataFrame, texts: DataFrame, w: Window, engine: Engine,
     mixed = classes.join(sizes, "gram").select("gram", (F.col("n") == 1).alias("lone"), "m.*", "size")
     groups, every = _contexts(texts, mixed.where(F.col("size") <= w.group_rows), w), whole
     if sizes.where(F.col("size") > w.group_rows).limit(1).count():
-        fit, settled = _split(_contexts(texts, mixed.where(F.col("size") > w.group_rows), w), w)
+        crowded = cut(mixed.where(F.col("size") > w.group_rows))
+        keys = crowded.select("k1", "k2").distinct()
+        near = keyed_texts(docs, w).join(broadcast_if_small(keys, keys.count(), FEW_TEXTS), ["k1", "k2"], "left_semi")
+        fit, settled = _split(_contexts(near.dropDuplicates(["k1", "k2"]), crowded, w), w)
         for part in fit:
             groups = groups.union(part)
         for part in settled:
