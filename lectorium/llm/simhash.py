@@ -177,17 +177,30 @@ def _block_members(nodes: DataFrame, probes: bool) -> DataFrame:
 
 
 def _led(key: int, v: np.ndarray, fp: np.ndarray, root: np.ndarray, exact: np.ndarray, distance: int, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of each member with the leader of its run of neighbours; every block sorts the members another way."""
+    """Pairs of each member with the leader of its run of neighbours; every block sorts the members another way.
+
+    In a crowd there is a second leader for every sixteen runs: the member nearest to the majority of their bits. Copies
+    that differ from one original in a word or two resemble it, not each other.
+    """
     turn = np.uint64(16 * ((key >> 16) + 1) % BITS)
     order = np.argsort((fp << turn) | (fp >> (np.uint64(BITS) - turn)) if turn else fp, kind="stable")
     v, fp = v[order], fp[order]
     head = np.arange(len(v)) // size * size
-    near = (np.bitwise_count(fp ^ fp[head]) <= distance) & (v != v[head])
-    return v[head][near], v[near]
+    leaders = [head]
+    if len(v) > size:
+        middle = np.zeros(len(v), np.int64)
+        for i in range(0, len(v), 16 * size):
+            part = fp[i : i + 16 * size]
+            ones = np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+            most = np.packbits(2 * ones > len(part), bitorder="little").view(np.uint64)[0]
+            middle[i : i + 16 * size] = i + np.argmin(np.bitwise_count(part ^ most))
+        leaders.append(middle)
+    near = [(np.bitwise_count(fp ^ fp[h]) <= distance) & (v != v[h]) for h in leaders]
+    return np.concatenate([v[h][n] for h, n in zip(leaders, near, strict=True)]), np.concatenate([v[n] for n in near])
 
 
 def _met(key: int, v: np.ndarray, fp: np.ndarray, root: np.ndarray, exact: np.ndarray, distance: int, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """All pairs of an exact member and any member within the distance whose groups differ."""
+    """All pairs of an exact member and any member within the distance whose groups differ, in the first block where they meet."""
     if not exact.any() or (root == root[0]).all():
         return v[:0], v[:0]
     left, right = [], []
@@ -201,8 +214,12 @@ def _met(key: int, v: np.ndarray, fp: np.ndarray, root: np.ndarray, exact: np.nd
         for i in range(0, len(own), step):
             part = own[i : i + step]
             x, y = np.nonzero((np.bitwise_count(fp[part][:, None] ^ fp[others]) <= distance) & (root[part][:, None] != root[others]))
-            left.append(v[part[x]])
-            right.append(v[others[y]])
+            x, y = part[x], others[y]
+            first = ~exact[y] | (v[x] < v[y])  # two exact members meet in either order
+            for block in range(key >> 16):
+                first &= np.bitwise_count((fp[x] ^ fp[y]) >> np.uint64(16 * block) & np.uint64(0xFFFF)) > 1
+            left.append(v[x[first]])
+            right.append(v[y[first]])
     return np.concatenate(left), np.concatenate(right)
 
 
