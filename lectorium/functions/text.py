@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Accented Latin letters and what they fold to, in order.
 ACCENTED = "àáâãäåçèéêëìíîïñòóôõöøùúûüýÿ"
 PLAIN = "aaaaaaceeeeiiiinoooooouuuuyy"
+#: Fixed value: what counts as a token of a query.
 TOKEN = "[a-zà-ÿ0-9]{3,}"
 WORD = r"[\p{L}\p{N}]+"
 #: Typographic marks and their plain forms, in order.
@@ -41,8 +46,20 @@ def normalize_match(text: Column) -> Column:
     return normalize_ws(F.translate(text, TYPOGRAPHIC, TYPED))
 
 
+@F.pandas_udf(StringType())
+def _decomposed(texts: pd.Series) -> pd.Series:
+    bare = lambda x: "".join(c for c in unicodedata.normalize("NFKD", x.lower()) if not unicodedata.combining(c))
+    return texts.map(bare, na_action="ignore")
+
+
 def dedup_key(text: Column) -> Column:
-    return F.trim(F.regexp_replace(fold(text), "[^a-z0-9]+", " "))
+    """Lower case, decomposed (NFKD), without accents; all but letters a-z and digits becomes one space.
+
+    Spark has no decomposition of its own. Plain texts, nearly all, are handled by the JVM and go to Python as nulls.
+    """
+    text = F.coalesce(text, F.lit(""))
+    folded = F.coalesce(_decomposed(F.when(text.rlike(r"[^\x00-\x7F]"), text)), F.lower(text))
+    return F.trim(F.regexp_replace(folded, "[^a-z0-9]+", " "))
 
 
 def cloze_valid(text: Column) -> Column:

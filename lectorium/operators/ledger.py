@@ -14,16 +14,21 @@ def month_of(ts: str) -> Column:
     return F.date_format(ts, "yyyy-MM")
 
 
+def used_tokens(df: DataFrame) -> Column:
+    """All tokens of a row: read, written, and read from a cache where that is recorded."""
+    return sum(F.coalesce(F.col(c), F.lit(0)) for c in ("tokens_in", "tokens_out", "cache_hit") if c in df.columns)
+
+
 def _cells(df: DataFrame, ts: str, kind: Column) -> DataFrame:
-    keyed = df.select("project_id", month_of(ts).alias("month"), kind.alias("kind"), "cost_micro", "tokens_in")
+    keyed = df.select("project_id", month_of(ts).alias("month"), kind.alias("kind"), "cost_micro", used_tokens(df).alias("tokens"))
     return keyed.groupBy("project_id", "month", "kind").agg(
-        F.sum("cost_micro").alias("cost_micro"), F.sum("tokens_in").alias("tokens"), F.count(F.lit(1)).alias("n_jobs")
+        F.sum("cost_micro").alias("cost_micro"), F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("n_jobs")
     )
 
 
 def uncovered_summaries(summaries: DataFrame, jobs: DataFrame) -> DataFrame:
     """Summaries whose own job recorded no tokens; those without a job are among them."""
-    costing = jobs.where("kind = 'llm_summary' and tokens_in > 0").select(F.col("id").alias("job_id"))
+    costing = jobs.where((F.col("kind") == "llm_summary") & (used_tokens(jobs) > 0)).select(F.col("id").alias("job_id"))
     return summaries.join(costing, "job_id", "left_anti")
 
 

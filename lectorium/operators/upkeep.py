@@ -23,8 +23,10 @@ def upsert_keyed(current: DataFrame, changes: DataFrame, key: list[str], order:
     return every.groupBy(*key).agg(*newest, F.max(order).alias(order)).select(*current.columns)
 
 
-def accept_links(links: DataFrame, ids: list[int]) -> DataFrame:
-    return links.withColumn("link_source", F.when(F.col("id").isin(ids), "manual").otherwise(F.col("link_source")))
+def accept_links(links: DataFrame, accepted: DataFrame) -> DataFrame:
+    """Links with those whose id is among ``accepted`` (column id) confirmed."""
+    marked = links.join(accepted.select("id").distinct().withColumn("__ok", F.lit(True)), "id", "left")
+    return marked.withColumn("link_source", F.when(F.col("__ok"), "manual").otherwise(F.col("link_source"))).drop("__ok")
 
 
 def replace_generated_cards(cards: DataFrame, fresh: DataFrame) -> DataFrame:
@@ -34,10 +36,14 @@ def replace_generated_cards(cards: DataFrame, fresh: DataFrame) -> DataFrame:
     return kept.unionByName(fresh.select(*cards.columns))
 
 
-def existing_fronts(cards: DataFrame, own: DataFrame) -> DataFrame:
-    """Fronts that a new run must not repeat: all of other lectures, the edited ones of its own (project_id, transcript_id)."""
-    marked = cards.join(own.select("project_id", F.col("transcript_id").alias("__own")), "project_id")
-    return marked.where("transcript_id <> __own or edited").select(F.col("__own").alias("transcript_id"), "front").distinct()
+def existing_fronts(cards: DataFrame) -> DataFrame:
+    """Fronts that a new run of a course must not repeat: project_id, front, except_transcript_id.
+
+    A lecture may repeat the fronts that only it has, unless they were edited; it is named in the last column, which is
+    null otherwise. One row per front, so the result does not grow with lectures times fronts.
+    """
+    own = F.when(F.bool_or("edited") | (F.min("transcript_id") != F.max("transcript_id")), None).otherwise(F.min("transcript_id"))
+    return cards.groupBy("project_id", "front").agg(own.alias("except_transcript_id"))
 
 
 def mark_interrupted(jobs: DataFrame) -> DataFrame:

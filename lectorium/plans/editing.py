@@ -102,12 +102,13 @@ def _(v):
     return e.locate_across_segments(v["segments"], "the th")
 
 
-KEY = f"trim(regexp_replace(translate(lower(trim(front)), '{t.ACCENTED}', '{t.PLAIN}'), '[^a-z0-9]+', ' ', 'g'))"
+KEY = "trim(regexp_replace(strip_accents(lower(trim(front))), '[^a-z0-9]+', ' ', 'g'))"
+FORMULAS = r"list_transform(regexp_extract_all(concat_ws(' ', front, back), '\$([^$\n]{1,200})\$', 1), lambda x: regexp_replace(x, '\s+', '', 'g'))"
 PARTS = r"regexp_extract_all(front, '(?s)\{\{c\d::(.+?)\}\}', 1)"
 CLOZE = f"(len({PARTS}) BETWEEN 1 AND 2 AND len(list_filter({PARTS}, lambda p: trim(p) = '')) = 0)"
-OLD = "(SELECT front FROM card_items WHERE pos = 0 AND run_id % 10 = 0)"
 CARDS = f"""w AS (SELECT run_id, pos, {KEY} AS key, CASE WHEN slide = 1 THEN 1 END AS slide, row_number() OVER (PARTITION BY run_id ORDER BY pos) AS n,
     CASE WHEN kind NOT IN ('qa', 'cloze') OR trim(front) = '' THEN 'malformed' WHEN kind = 'qa' AND trim(back) = '' THEN 'empty_back' WHEN kind = 'cloze' AND NOT {CLOZE} THEN 'bad_cloze'
+      WHEN len(list_filter({FORMULAS}, lambda x: x NOT IN ('', 'x_0+1'))) > 0 THEN 'unverified_formula'
       WHEN {KEY} = '' OR EXISTS (SELECT 1 FROM card_items o WHERE o.run_id = card_items.run_id AND o.pos = 0 AND o.run_id % 3 = 0 AND {KEY.replace('front', 'o.front')} = {KEY.replace('front', 'card_items.front')}) THEN 'duplicate' END AS r FROM card_items),
 y AS (SELECT run_id, 0 AS n, CAST(-1 AS BIGINT) AS pos, CAST([] AS VARCHAR[]) AS seen, 0 AS used, 0 AS accepted, 'start' AS reason, CAST(NULL AS INTEGER) AS slide FROM (SELECT DISTINCT run_id FROM w)
   UNION ALL SELECT w.run_id, w.n, w.pos, CASE WHEN q.why IS NULL THEN list_append(y.seen, w.key) ELSE y.seen END, y.used + CASE WHEN q.why IS NULL AND w.slide = 1 THEN 1 ELSE 0 END,
@@ -118,9 +119,9 @@ y AS (SELECT run_id, 0 AS n, CAST(-1 AS BIGINT) AS pos, CAST([] AS VARCHAR[]) AS
 def verdicts(v):
     items = v["card_items"]
     old = items.where("pos = 0 and run_id % 3 = 0").select("run_id", t.dedup_key(F.trim("front")).alias("front_key"))
-    none = items.where("false").select("run_id", F.col("front").alias("formula"))
+    known = items.select("run_id", F.lit("x_0+1").alias("formula")).distinct()
     pages = items.select("run_id", F.lit(1).alias("page")).distinct()
-    return c.validate_cards(items, old, none, pages, cap=4)
+    return c.validate_cards(items, old, known, pages, cap=4)
 
 
 @query("validate_cards", f"WITH RECURSIVE {CARDS} SELECT run_id, CAST(pos AS INTEGER) AS pos, reason, slide FROM y WHERE n > 0")
@@ -224,7 +225,7 @@ def _(v):
     return v["documents"].select("doc_id", sum(h.cast("long") for h in hits.values()).alias("found"), F.lit(len(checks)).cast("long").alias("total"), missing.alias("missing"))
 
 
-FRESH = "SELECT 100 + n_nationkey AS id, concat('src', CAST(n_nationkey % 20 AS string)) AS deck, n_nationkey * 2 + 1 AS page_from, n_nationkey * 2 + 5 + n_nationkey % 2 AS page_to, n_nationkey * 4 AS transcript_id, 0.9 AS score FROM nation"
+FRESH = "SELECT -1 - id AS id, deck, page_from, page_to + id % 2 AS page_to, transcript_id, 0.9 AS score FROM slide_links"
 
 
 @query("refresh_auto_links", f"""WITH f AS ({FRESH}), d AS (SELECT DISTINCT deck FROM f WHERE deck <> 'src3')
@@ -232,7 +233,7 @@ SELECT id, deck, page_from, page_to, transcript_id, CAST(score AS DOUBLE) AS sco
 UNION ALL SELECT id, deck, page_from, page_to, transcript_id, 0.9, 'auto' FROM f WHERE deck IN (SELECT deck FROM d) AND NOT EXISTS (SELECT 1 FROM slide_links m WHERE m.link_source = 'manual' AND m.deck = f.deck AND m.page_from = f.page_from AND m.page_to = f.page_to)""")
 def _(v):
     links = v["slide_links"].withColumn("score", F.col("score").cast("double"))
-    fresh = v["nation"].selectExpr("100 + n_nationkey as id", "concat('src', cast(n_nationkey % 20 as string)) as deck", "n_nationkey * 2 + 1 as page_from", "n_nationkey * 2 + 5 + n_nationkey % 2 as page_to", "n_nationkey * 4 as transcript_id", "cast(0.9 as double) as score")
+    fresh = links.selectExpr("-1 - id as id", "deck", "page_from", "page_to + id % 2 as page_to", "transcript_id", "cast(0.9 as double) as score")
     return u.refresh_auto_links(links, fresh, fresh.where("deck <> 'src3'").select("deck").distinct())
 
 
@@ -243,9 +244,9 @@ def _(v):
     return u.upsert_keyed(rows.where("id % 3 <> 0"), rows.where("id % 3 = 0"), ["transcript_id", "kind"], "id", keep=["finished_at"])
 
 
-@query("accept_links", "SELECT id, deck, CASE WHEN id IN (1, 6, 11) THEN 'manual' ELSE link_source END AS link_source FROM slide_links")
+@query("accept_links", "SELECT id, deck, CASE WHEN id % 7 = 1 THEN 'manual' ELSE link_source END AS link_source FROM slide_links")
 def _(v):
-    return u.accept_links(v["slide_links"], [1, 6, 11]).select("id", "deck", "link_source")
+    return u.accept_links(v["slide_links"], v["slide_links"].where("id % 7 = 1")).select("id", "deck", "link_source")
 
 
 OWNED = "SELECT run_id AS transcript_id, project_id, pos, front, pos % 3 = 0 AS edited FROM card_items"
@@ -262,9 +263,10 @@ def _(v):
     return u.replace_generated_cards(cards, cards.where("transcript_id % 2 = 0").selectExpr("transcript_id", "pos + 100 as pos", "concat('new ', front) as front", "false as edited"))
 
 
-@query("existing_fronts", f"WITH o AS ({OWNED}) SELECT DISTINCT l.transcript_id, o.front FROM o JOIN (SELECT project_id, transcript_id FROM lectures WHERE transcript_id % 7 = 0) l ON l.project_id = o.project_id WHERE o.transcript_id <> l.transcript_id OR edited")
+@query("existing_fronts", f"""WITH o AS ({OWNED}) SELECT project_id, front,
+  CASE WHEN count(*) FILTER (edited) = 0 AND count(DISTINCT transcript_id) = 1 THEN min(transcript_id) END AS except_transcript_id FROM o GROUP BY ALL""")
 def _(v):
-    return u.existing_fronts(owned(v), v["lectures"].where("transcript_id % 7 = 0"))
+    return u.existing_fronts(owned(v))
 
 
 @query("mark_interrupted", "SELECT id, CASE status WHEN 'running' THEN 'interrupted' ELSE status END AS status FROM jobs")

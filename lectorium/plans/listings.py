@@ -244,9 +244,12 @@ def _(v):
     return j.duplicate_inputs(v["documents"].selectExpr("source", "doc_id", "text as content"), "source", "doc_id")
 
 
-@query("followups_due", "SELECT DISTINCT project_id FROM slide_pages WHERE kind = 'slides' AND project_id NOT IN (SELECT project_id FROM jobs WHERE kind = 'llm_fix' AND status = 'running' AND id % 50 = 1)")
+# a running job counts as active in even courses; in the others it is taken to be interrupted
+@query("followups_due", """WITH active AS (SELECT DISTINCT project_id FROM jobs WHERE kind = 'llm_fix' AND status = 'running' AND project_id % 2 = 0)
+SELECT DISTINCT project_id FROM slide_pages ANTI JOIN active USING (project_id) WHERE kind = 'slides'""")
 def _(v):
-    return j.followups_due(v["slide_pages"], v["jobs"].where("id % 50 = 1"))
+    status = F.when((F.col("status") == "running") & (F.col("project_id") % 2 == 1), "interrupted").otherwise(F.col("status"))
+    return j.followups_due(v["slide_pages"], v["jobs"].withColumn("status", status))
 
 
 @query("orphans_cascade", """SELECT id, CASE WHEN transcript_id % 4 <> 0 THEN transcript_id END AS transcript_id FROM summaries WHERE job_id IS NULL AND transcript_id IN (SELECT transcript_id FROM lectures WHERE project_id < 7)""")

@@ -29,20 +29,32 @@ def _(v):
     return readers.scan_model_responses(v["conversations"].select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), content.alias("content")))
 
 
-@query("scan_media_inventory")
+# every page as a file of a domain's kind: no folder of media is among the given tables
+FILES = r"""files AS (SELECT DISTINCT path, string_split(path, '/')[-1] AS name, size FROM (SELECT concat('/media/page-', page_id, CASE WHEN page_id % 9 = 0 THEN '.tmp' ELSE '' END,
+  '.', regexp_extract(lower(url), '^https?://[^/]*\.([a-z]+)', 1)) AS path, CAST(strlen(html) AS BIGINT) AS size FROM pages)),
+inventory AS (SELECT path, name, regexp_extract(name, '\.([^.]+)$', 1) AS ext, size FROM files WHERE regexp_extract(name, '\.([^.]+)$', 1) IN ('com', 'org') AND NOT regexp_matches(name, '\.tmp'))"""
+
+
+def inventory(v):
+    name = F.concat(F.lit("/media/page-"), "page_id", F.when(F.col("page_id") % 9 == 0, ".tmp").otherwise(""), F.lit("."), F.regexp_extract(F.lower("url"), r"^https?://[^/]*\.([a-z]+)", 1))
+    return readers.inventory(v["pages"].select(name.alias("path"), F.octet_length("html").cast("long").alias("length")), ["com", "org"])
+
+
+@query("scan_media_inventory", f"WITH {FILES} SELECT name, ext, size FROM inventory")
 def _(v):
-    return readers.scan_media_inventory(v.spark, v.sf_dir, ["parquet"]).select("name", "ext", "size")
+    return inventory(v).select("name", "ext", "size")
 
 
-@query("storage_usage")
+@query("storage_usage", f"WITH {FILES} SELECT ext, CAST(sum(size) AS BIGINT) AS bytes, count(*) AS files FROM inventory GROUP BY 1")
 def _(v):
-    return readers.storage_usage(readers.scan_media_inventory(v.spark, v.sf_dir, ["parquet"]))
+    return readers.storage_usage(inventory(v))
 
 
 @query("sink_transcript_exports", f"""SELECT transcript_id, 'txt' AS format, string_agg(text, chr(10) ORDER BY idx) AS content FROM segments GROUP BY 1
-UNION ALL SELECT transcript_id, 'segments', string_agg(concat('[', {FMT}, '] ', text), chr(10) ORDER BY idx) FROM segments GROUP BY 1""")
+UNION ALL SELECT transcript_id, 'segments', string_agg(concat('[', {FMT}, '] ', text), chr(10) ORDER BY idx) FROM segments GROUP BY 1
+UNION ALL SELECT transcript_id, 'json', concat('[', string_agg(CAST(json_object('start_s', start_s, 'end_s', end_s, 'text', text) AS VARCHAR), ',' ORDER BY idx), ']') FROM segments GROUP BY 1""")
 def _(v):
-    return sinks.transcript_exports(v["segments"]).where("format <> 'json'")
+    return sinks.transcript_exports(v["segments"])
 
 
 MD = "concat('# ', title, chr(10), '> **', CAST(tokens_in AS VARCHAR), '** tokens of `', CAST(id AS VARCHAR), '`')"
@@ -54,11 +66,16 @@ def _(v):
     return sinks.summary_exports(v["summaries"].select("id", md.alias("markdown")))
 
 
-@query("sink_dump", """WITH s AS (SELECT n_regionkey AS course, n_nationkey AS id, concat('Lec', n_nationkey % 2) AS slug FROM nation), n AS (SELECT *, row_number() OVER (PARTITION BY course, slug ORDER BY id) AS k FROM s)
-SELECT concat('Course ', course, '/', slug, CASE WHEN k > 1 THEN concat('-', k) ELSE '' END, '/transcript.md') AS path, concat('body ', id) AS content FROM n""")
+@query("sink_dump", """WITH s AS (SELECT project_id AS course, transcript_id AS id, concat('Lec', transcript_id % 7) AS slug FROM lectures),
+n AS (SELECT *, row_number() OVER (PARTITION BY course, slug ORDER BY id) AS k FROM s),
+body AS (SELECT transcript_id AS id, 'transcript.md' AS file, string_agg(text, chr(10) ORDER BY idx) AS content FROM segments GROUP BY 1
+  UNION ALL SELECT transcript_id, 'summary.md', concat('# ', arg_max(title, (id, title))) FROM summaries GROUP BY 1)
+SELECT concat('Course ', course, '/', slug, CASE WHEN k > 1 THEN concat('-', k) ELSE '' END, '/', file) AS path, content FROM n JOIN body USING (id)""")
 def _(v):
-    rows = v["nation"].selectExpr("concat('Course ', n_regionkey) as course", "concat('Lec:', n_nationkey % 2) as title", "n_nationkey as transcript_id", "concat('body ', n_nationkey) as content")
-    return sinks.dump(rows)
+    texts = v["segments"].groupBy("transcript_id").agg(sinks.ordered("text", "\n").alias("content"))
+    newest = v["summaries"].groupBy("transcript_id").agg(F.concat(F.lit("# "), F.max_by("title", F.struct("id", "title"))).alias("summary"))
+    rows = v["lectures"].selectExpr("concat('Course ', project_id) as course", "concat('Lec:', transcript_id % 7) as title", "transcript_id")
+    return sinks.dump(rows.join(texts, "transcript_id").join(newest, "transcript_id", "left"))
 
 
 CARDS = "SELECT run_id, pos, kind, front, back, slide, 'Course ' || project_id AS course, 'L' || run_id AS lecture, 'u' || run_id || '-' || pos AS uid FROM card_items WHERE pos % 4 <> 3"

@@ -19,12 +19,17 @@ def scan_segments_json(transcripts: DataFrame) -> DataFrame:
     return transcripts.select("transcript_id", F.posexplode(F.coalesce(parsed, F.array().cast(SEGMENTS))).alias("idx", "s")).select("transcript_id", "idx", "s.start", "s.end", "s.text")
 
 
-def scan_media_inventory(spark: SparkSession, folder: str, extensions: list[str] | None = None) -> DataFrame:
-    """Files below a folder by extension, without reading them; temporary names are left out."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", "length", "modificationTime")
+def scan_media_inventory(spark: SparkSession, places: str | list[str], extensions: list[str] | None = None) -> DataFrame:
+    """Files of folders (with all below), single files or patterns by extension, without reading them; each once."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(places)
+    return inventory(files.select("path", "length"), extensions)
+
+
+def inventory(files: DataFrame, extensions: list[str] | None = None) -> DataFrame:
+    """path, name, ext, size of a listing (path, length), each path once; temporary names are left out."""
     name = F.element_at(F.split("path", "/"), -1)
     rows = files.select("path", name.alias("name"), F.lower(F.regexp_extract(name, r"\.([^.]+)$", 1)).alias("ext"), F.col("length").alias("size"))
-    rows = rows.where(~F.col("name").rlike(r"^(\.|~)|\.(tmp|part)$"))
+    rows = rows.where(~F.col("name").rlike(r"^(\.|~)|\.(tmp|part)(\.|$)"))
     return rows.where(F.col("ext").isin(MEDIA if extensions is None else extensions)).dropDuplicates(["path"])
 
 

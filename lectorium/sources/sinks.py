@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import file_slug, fmt_ts
 
 
-def _ordered(column: str, glue: str):
+def ordered(column: str, glue: str):
     return F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("idx", column))), lambda x: x[column]), glue)
 
 
@@ -16,7 +16,7 @@ def transcript_exports(segments: DataFrame) -> DataFrame:
     """transcript_id, format, content: plain text, text with times, and JSON."""
     line = F.concat(F.lit("["), fmt_ts(F.col("start_s")), F.lit("] "), "text")
     rows = segments.select("transcript_id", "idx", "text", line.alias("line"), F.to_json(F.struct("start_s", "end_s", "text")).alias("json"))
-    per = rows.groupBy("transcript_id").agg(_ordered("text", "\n").alias("txt"), _ordered("line", "\n").alias("segments"), F.concat(F.lit("["), _ordered("json", ","), F.lit("]")).alias("json"))
+    per = rows.groupBy("transcript_id").agg(ordered("text", "\n").alias("txt"), ordered("line", "\n").alias("segments"), F.concat(F.lit("["), ordered("json", ","), F.lit("]")).alias("json"))
     return per.unpivot("transcript_id", ["txt", "segments", "json"], "format", "content")
 
 
@@ -31,7 +31,8 @@ def summary_exports(summaries: DataFrame) -> DataFrame:
 
 
 def dump(lectures: DataFrame) -> DataFrame:
-    """path, content for chosen lectures (course, title, transcript_id, content): one folder each; clashing names get -2, -3.
+    """path, content for chosen lectures (course, title, transcript_id, content and, where there is one, summary): one
+    folder each with transcript.md and summary.md; clashing names get -2, -3.
 
     A generated name can clash with a real one; those get a second number.
     """
@@ -40,7 +41,10 @@ def dump(lectures: DataFrame) -> DataFrame:
     suffix = lambda c: F.when(F.col("__n") > 1, F.concat(F.col(c), F.lit("-"), F.col("__n").cast("string"))).otherwise(F.col(c))
     once = numbered(named, "__slug").withColumn("__slug", suffix("__slug")).drop("__n")
     twice = numbered(once, "__slug").withColumn("__slug", suffix("__slug"))
-    return twice.select(F.concat_ws("/", file_slug(F.col("course")), "__slug", F.lit("transcript.md")).alias("path"), "content")
+    files = {"transcript.md": F.col("content")} | ({"summary.md": F.col("summary")} if "summary" in lectures.columns else {})
+    each = F.array(*[F.struct(F.lit(name).alias("name"), body.alias("content")) for name, body in files.items()])
+    out = twice.select(F.concat_ws("/", file_slug(F.col("course")), "__slug").alias("folder"), F.explode(each).alias("f"))
+    return out.select(F.concat_ws("/", "folder", "f.name").alias("path"), "f.content").where("content is not null")
 
 
 def write_text(table: DataFrame, path: str, by: list[str]) -> None:

@@ -21,24 +21,27 @@ FROM segments GROUP BY project_id, transcript_id""",
   row_number() OVER (PARTITION BY source ORDER BY doc_id) AS page_no, doc_id, text,
   CASE WHEN CAST(substr(source, 4) AS int) % 5 = 4 THEN 'exam' ELSE 'slides' END AS kind
 FROM documents""",
-    "slide_links": """SELECT n_nationkey AS id, concat('src', CAST(n_nationkey % 20 AS string)) AS deck, n_nationkey * 2 + 1 AS page_from,
-  n_nationkey * 2 + 5 AS page_to, n_nationkey * 4 AS transcript_id, 0.5 + n_nationkey * 0.01 AS score,
-  CASE WHEN n_regionkey % 2 = 0 THEN 'manual' ELSE 'auto' END AS link_source
-FROM nation""",
+    # one range for every five pages of every deck; one in eleven overlaps the next
+    "slide_links": """SELECT id, deck, page_from, CASE WHEN id % 11 = 0 THEN page_to + 2 ELSE page_to END AS page_to,
+  id % 100 AS transcript_id, 0.5 + (id % 40) * 0.01 AS score, CASE WHEN id % 3 = 0 THEN 'manual' ELSE 'auto' END AS link_source
+FROM (SELECT min(doc_id) AS id, deck, min(page_no) AS page_from, max(page_no) AS page_to
+  FROM slide_pages GROUP BY deck, CAST(floor((page_no - 1) / 5) AS bigint)) AS ranges""",
     "jobs": """SELECT o_orderkey AS id, o_custkey % 20 AS project_id, o_orderkey % 400 AS transcript_id,
   CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'llm_summary' WHEN '2' THEN 'llm_fix' WHEN '3' THEN 'llm_cards'
     WHEN '4' THEN 'transcribe' ELSE 'llm_guide' END AS kind,
   CASE o_orderstatus WHEN 'F' THEN 'done' WHEN 'O' THEN 'running' ELSE 'failed' END AS status,
   CASE WHEN o_orderstatus = 'O' THEN NULL ELSE o_orderdate END AS finished_at,
   CASE WHEN o_orderkey % 7 = 0 THEN 0 ELSE CAST(floor(o_totalprice / 100) AS bigint) END AS tokens_in,
+  CASE WHEN o_orderkey % 14 = 0 THEN 0 ELSE o_orderkey % 900 END AS tokens_out, CASE WHEN o_orderkey % 4 = 1 THEN 64 ELSE 0 END AS cache_hit,
   CAST(floor(o_totalprice) AS bigint) AS cost_micro
 FROM orders""",
     "summaries": """SELECT l_orderkey * 10 + l_linenumber AS id, l_orderkey % 400 AS transcript_id,
   CASE WHEN l_linenumber = 1 THEN l_orderkey END AS job_id, l_shipdate AS created_at,
-  CAST(floor(l_quantity) AS bigint) AS tokens_in, CAST(floor(l_extendedprice) AS bigint) AS cost_micro,
+  CAST(floor(l_quantity) AS bigint) AS tokens_in, l_partkey % 50 AS tokens_out, CASE WHEN l_linenumber = 2 THEN 32 ELSE 0 END AS cache_hit,
+  CAST(floor(l_extendedprice) AS bigint) AS cost_micro,
   concat('Course ', CAST(l_orderkey % 20 AS string), ' — Lecture ', CAST(l_partkey AS string)) AS title
 FROM lineitem""",
-    "questions": """SELECT event_id AS id, user_id % 20 AS project_id, ts AS created_at, CAST(floor(value * 10) AS bigint) AS tokens_in,
+    "questions": """SELECT event_id AS id, user_id % 20 AS project_id, ts AS created_at, CAST(floor(value * 10) AS bigint) AS tokens_in, event_id % 30 AS tokens_out,
   CAST(floor(value * 100) AS bigint) AS cost_micro
 FROM events WHERE event_type = 'view'""",
     "progress": """SELECT event_id, ts, user_id AS job_id, event_type AS kind,
@@ -48,7 +51,7 @@ FROM events""",
   CASE WHEN turn % 3 = 1 THEN 'cloze' WHEN turn = 6 THEN 'essay' ELSE 'qa' END AS kind,
   CASE WHEN turn = 4 THEN substr(text, 1, 20) WHEN turn % 3 = 1 THEN concat('{{c1::', substr(text, 1, 8), '}} ', substr(text, 9, 20))
     ELSE substr(text, 1, 20) END AS front,
-  CASE WHEN turn = 3 THEN '' ELSE role END AS back, turn % 2 + 1 AS slide
+  CASE WHEN turn = 3 THEN '' WHEN turn = 2 THEN concat(role, ' $x_', CAST(conv_id % 3 AS string), ' + 1$') ELSE role END AS back, turn % 2 + 1 AS slide
 FROM conversations""",
     "boxes": """SELECT l_orderkey AS page_id, l_linenumber AS box_id, l_returnflag AS text, l_suppkey * 10.0 AS x0,
   l_linenumber * 20.0 + l_partkey % 7 AS y0, l_suppkey * 10.0 + 80 AS x1, l_linenumber * 20.0 + l_partkey % 7 + l_quantity AS y1
