@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +19,40 @@ def nearest_lecture_join(pages: DataFrame, lectures: DataFrame) -> DataFrame:
     return a.join(b, "project_id").select("project_id", *PAGE, "transcript_id", dot(F.col("__page"), F.col("__lecture")).alias("score"))
 
 
+def top_lectures(pages: DataFrame, lectures: DataFrame, k: int, block: int = 4096) -> DataFrame:
+    """The k best lectures of every page of its course: project_id, page, transcript_id, score, rank; ties to the smaller id.
+
+    Pages lie in blocks, each of which meets all lectures of the course in one task as a product of two matrices; no
+    pair of a page and a lecture becomes a row unless it is among the best. Vectors that are null or zero take no part.
+    """
+    usable = lambda df: df.where(F.col("project_id").isNotNull() & F.exists("vec", lambda x: x != 0))
+    blocks = max(1, -(-pages.count() // block))
+    vec = F.col("vec").cast("array<double>").alias("vec")
+    a = usable(pages).select("project_id", *PAGE, vec, F.pmod(F.xxhash64(*PAGE), F.lit(blocks)).alias("block"))
+    b = usable(lectures).select("project_id", "transcript_id", vec, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"))
+
+    def best(own: pa.Table, others: pa.Table) -> pa.Table:
+        others = others.sort_by("transcript_id")
+        x, y = (_units(t["vec"]) for t in (own, others))
+        many = min(k, len(y)) if len(x) else 0
+        scores = x @ y.T if many else np.zeros((0, 0))
+        first = np.argsort(-scores, axis=1, kind="stable")[:, :many]
+        rows = pa.array(np.repeat(np.arange(len(scores)), many))
+        out = own.select(["project_id", *PAGE]).take(rows)
+        ids = others["transcript_id"].take(pa.array(first.ravel()))
+        ranks = np.tile(np.arange(1, many + 1, dtype=np.int32), len(scores))
+        return out.append_column("transcript_id", ids).append_column("score", pa.array(np.take_along_axis(scores, first, 1).ravel())).append_column("rank", pa.array(ranks))
+
+    kinds = {**{c: a.schema[c] for c in ("project_id", *PAGE)}, "transcript_id": b.schema["transcript_id"]}
+    schema = ", ".join(f"{c} {f.dataType.simpleString()}" for c, f in kinds.items()) + ", score double, rank int"
+    return a.groupBy("project_id", "block").cogroup(b.groupBy("project_id", "block")).applyInArrow(best, schema)
+
+
+def _units(column: pa.ChunkedArray) -> np.ndarray:
+    x = column.combine_chunks().flatten().to_numpy().reshape(len(column), -1) if len(column) else np.zeros((0, 0))
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
 def vector_topk(scores: DataFrame, k: int) -> DataFrame:
     w = Window.partitionBy("project_id", *PAGE).orderBy(F.desc("score"), "transcript_id")
     return scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
@@ -25,7 +61,7 @@ def vector_topk(scores: DataFrame, k: int) -> DataFrame:
 def best_page_match(scores: DataFrame, pages: DataFrame, threshold: float = 0.60, margin: float = 0.02) -> DataFrame:
     """One row per page of ``pages``: its lecture, or null where no score is high or clear enough, and the score.
 
-    Best and second start from zero, so a negative score never counts; a page without a score gets (null, 0).
+    Of ``scores`` the two best of a page are enough. Best and second start from zero, so a negative score never counts; a page without a score gets (null, 0).
     """
     w = Window.partitionBy("project_id", *PAGE).orderBy(F.desc("score"), "transcript_id")
     top = scores.select("*", F.row_number().over(w).alias("__n"), F.lead("score").over(w).alias("__next")).where("__n = 1")
@@ -106,6 +142,5 @@ def page_ranges(pages: DataFrame) -> DataFrame:
 
 def match_pages(pages: DataFrame, lectures: DataFrame, threshold: float = 0.60, margin: float = 0.02, min_run: int = 3) -> DataFrame:
     """From vectors to the ranges of pages that belong to a lecture."""
-    scores = nearest_lecture_join(pages, lectures)
-    best = best_page_match(scores, pages, threshold, margin)
+    best = best_page_match(top_lectures(pages, lectures, 2), pages, threshold, margin)
     return page_ranges(smooth_runs(best, min_run, threshold))

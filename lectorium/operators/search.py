@@ -19,29 +19,32 @@ def document_frequency(docs: DataFrame, scope: str, doc: str) -> DataFrame:
     return distinct.groupBy(scope, "token").agg(F.count(F.lit(1)).alias("df"))
 
 
-def _weights(counts: DataFrame, idf: DataFrame, scope: str, key: str) -> DataFrame:
-    weighed = counts.join(idf, [scope, "token"]).withColumn("w", (1 + F.log("tf")) * F.col("idf"))
-    norm = Window.partitionBy(scope, key)
-    return weighed.withColumn("w", F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(norm))).select(scope, key, "token", "w")
-
-
 def tfidf_rank(queries: DataFrame, docs: DataFrame, scope: str = "project_id", query: str = "query_id", doc: str = "doc_id") -> DataFrame:
-    """Cosine of every query and document of a scope that share a token: (1 + ln tf) times ln((1 + N) / (1 + df)) + 1."""
+    """Cosine of every query and document of a scope that share a token: (1 + ln tf) times ln((1 + N) / (1 + df)) + 1.
+
+    Texts are cut into tokens once: document frequencies come from the counts, norms from a sum beside the join.
+    """
     n = docs.groupBy(scope).agg(F.count(F.lit(1)).alias("n"))
-    idf = document_frequency(docs, scope, doc).join(n, scope).select(scope, "token", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
-    q = _weights(term_counts(queries, [scope, query]), idf, scope, query).withColumnRenamed("w", "qw")
-    d = _weights(term_counts(docs, [scope, doc]), idf, scope, doc)
-    return q.join(d, [scope, "token"]).groupBy(scope, query, doc).agg(F.round(F.sum(F.col("qw") * F.col("w")), 6).alias("score"))
+    counts = term_counts(docs, [scope, doc])
+    idf = counts.groupBy(scope, "token").agg(F.count(F.lit(1)).alias("df")).join(n, scope)
+    idf = idf.select(scope, "token", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
+    weight = ((1 + F.log("tf")) * F.col("idf")).alias("w")
+    q = term_counts(queries, [scope, query]).join(idf, [scope, "token"]).select(scope, query, "token", weight)
+    d = counts.join(idf, [scope, "token"]).select(scope, doc, "token", weight)
+    norm = lambda df, key, name: df.groupBy(scope, key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias(name))
+    met = q.withColumnRenamed("w", "qw").join(d, [scope, "token"]).groupBy(scope, query, doc).agg(F.sum(F.col("qw") * F.col("w")).alias("dot"))
+    met = met.join(norm(q, query, "qn"), [scope, query]).join(norm(d, doc, "dn"), [scope, doc])
+    return met.select(scope, query, doc, F.round(F.col("dot") / F.col("qn") / F.col("dn"), 6).alias("score"))
 
 
 def lexical_pages(queries: DataFrame, pages: DataFrame, limit: int = 12, min_score: float = 0.08, min_chars: int = 40) -> DataFrame:
     """The slide pages nearest to each query: at least three quarters of the best score, at most ``limit``."""
     docs = pages.where(F.col("kind") == "slides").where(F.length("text") >= min_chars)
-    ranked = tfidf_rank(queries, docs)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
-    best = F.max("score").over(Window.partitionBy("query_id"))
-    near = ranked.select("*", F.row_number().over(w).alias("rank"), F.greatest(F.lit(min_score), F.round(0.75 * best, 6)).alias("__floor"))
-    return near.where((F.col("score") >= F.col("__floor")) & (F.col("rank") <= limit)).select("query_id", "doc_id", F.round("score", 3).alias("score"), "rank")
+    near = tfidf_rank(queries, docs).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)  # cut before it is shuffled
+    least = F.greatest(F.lit(min_score), F.round(0.75 * F.max("score").over(Window.partitionBy("query_id")), 6))
+    near = near.withColumn("__floor", least).where(F.col("score") >= F.col("__floor"))
+    return near.select("query_id", "doc_id", F.round("score", 3).alias("score"), "rank")
 
 
 def transcript_windows(segments: DataFrame, chars: int = 1000) -> DataFrame:
@@ -86,10 +89,22 @@ def build_postings(docs: DataFrame) -> DataFrame:
 
 
 def phrase_hits(postings: DataFrame, phrases: DataFrame) -> DataFrame:
-    """query_id, doc_id, place: where the words of a phrase stand one after another."""
-    words = phrases.select("query_id", F.size(folded_words(F.col("text"))).alias("n"), F.posexplode(folded_words(F.col("text"))).alias("i", "token"))
-    met = postings.join(words, "token").select("query_id", "doc_id", (F.col("pos") - F.col("i")).alias("place"), "n")
-    return met.groupBy("query_id", "doc_id", "place").agg(F.count(F.lit(1)).alias("found"), F.first("n").alias("n")).where("found = n").select("query_id", "doc_id", "place")
+    """query_id, doc_id, place: where the words of a phrase stand one after another.
+
+    The rarest word of a phrase names the places; only there, and in documents that have such a place, are the other
+    words looked up. So frequent words multiply nothing.
+    """
+    words = phrases.select("query_id", F.posexplode(folded_words(F.col("text"))).alias("i", "token"))
+    seen = postings.join(words.select("token").distinct(), "token", "left_semi").groupBy("token").agg(F.count(F.lit(1)).alias("seen"))
+    ranked = words.join(seen, "token", "left").groupBy("query_id").agg(
+        F.count(F.lit(1)).alias("n"), F.min_by(F.struct("token", "i"), F.struct(F.coalesce("seen", F.lit(0)), "i")).alias("rare")
+    )
+    starts = postings.join(ranked.select("query_id", "n", "rare.*"), "token")
+    starts = starts.select("query_id", "doc_id", (F.col("pos") - F.col("i")).alias("place"), "n").where("place >= 0")
+    wanted = starts.join(words, "query_id").select("query_id", "doc_id", "place", "n", (F.col("place") + F.col("i")).alias("pos"), "token")
+    near = postings.join(starts.select("doc_id").distinct(), "doc_id", "left_semi")
+    met = wanted.join(near, ["doc_id", "pos", "token"]).groupBy("query_id", "doc_id", "place")
+    return met.agg(F.count(F.lit(1)).alias("found"), F.first("n").alias("n")).where("found = n").select("query_id", "doc_id", "place")
 
 
 def phrase_search(postings: DataFrame, phrases: DataFrame, limit: int = 50) -> DataFrame:
@@ -108,9 +123,9 @@ def phrase_search(postings: DataFrame, phrases: DataFrame, limit: int = 50) -> D
 
 def snippet(hits: DataFrame, docs: DataFrame, size: int = 12) -> DataFrame:
     """``size`` words around the first hit (columns query_id, doc_id, place)."""
-    words = docs.select("doc_id", folded_words(F.col("text")).alias("words"))
     start = F.greatest(F.col("place") - (size // 2 - 1), F.lit(1))
-    return hits.join(words, "doc_id").select("query_id", "doc_id", F.array_join(F.slice("words", start, F.lit(size)), " ").alias("snippet"))
+    words = F.slice(folded_words(F.col("text")), start, F.lit(size))
+    return hits.join(docs.select("doc_id", "text"), "doc_id").select("query_id", "doc_id", F.array_join(words, " ").alias("snippet"))
 
 
 def hit_time(segments: DataFrame, needle: str) -> DataFrame:

@@ -47,7 +47,7 @@ def scores(v):
 
 
 def best(v):
-    return m.best_page_match(scores(v), v["page_vectors"], THRESHOLD, MARGIN)
+    return m.best_page_match(m.top_lectures(v["page_vectors"], v["course_lecture_vectors"], 2), v["page_vectors"], THRESHOLD, MARGIN)
 
 
 @query("nearest_lecture_join", f"WITH {SCORES} SELECT project_id, deck, page_no, transcript_id, round(score, 6) AS score FROM scores")
@@ -62,7 +62,7 @@ def _(v):
 def _(v):
     from pyspark.sql import functions as F
 
-    return m.vector_topk(scores(v), 3).withColumn("score", F.round("score", 6))
+    return m.top_lectures(v["page_vectors"], v["course_lecture_vectors"], 3).withColumn("score", F.round("score", 6))
 
 
 @query("best_page_match", f"WITH {BEST} SELECT deck, page_no, transcript_id, score FROM best")

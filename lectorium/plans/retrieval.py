@@ -14,7 +14,8 @@ TOKENS = f"regexp_extract_all(lower(coalesce(text, '')), '{t.TOKEN}')"
 FOLD = f"translate(lower(coalesce(text, '')), '{t.ACCENTED}', '{t.PLAIN}')"
 WORDS = rf"regexp_extract_all({FOLD}, '[\p{{L}}\p{{N}}]+')"
 QUERIES = "SELECT item_id % 10 AS project_id, item_id AS query_id, text FROM benchmark"
-PHRASES = "SELECT item_id AS query_id, array_to_string(list_slice(string_split(text, ' '), 1, 2), ' ') AS text FROM benchmark WHERE item_id < 12"
+#: The first sentence of every passage.
+PHRASES = "SELECT item_id AS query_id, split_part(text, '. ', 1) AS text FROM benchmark"
 
 
 def queries(v):
@@ -22,7 +23,7 @@ def queries(v):
 
 
 def phrases(v):
-    return v["benchmark"].where("item_id < 12").selectExpr("item_id as query_id", "array_join(slice(split(text, ' '), 1, 2), ' ') as text")
+    return v["benchmark"].selectExpr("item_id as query_id", "split_part(text, '. ', 1) as text")
 
 
 def rank_sql(queries: str, docs: str) -> str:
@@ -151,9 +152,11 @@ def _(v):
 
 
 @query("search", f"""WITH {HITS} SELECT query_id, 'document' AS kind, doc_id AS ref_id, score FROM search WHERE rank <= 10
-UNION ALL SELECT query_id, 'lecture', transcript_id, 0 FROM (SELECT DISTINCT query_id, transcript_id FROM ({PHRASES}) p JOIN segments s ON contains(lower(s.text), lower(p.text)))""")
+UNION ALL SELECT DISTINCT query_id, 'lecture', transcript_id, 0 FROM (SELECT query_id, transcript_id FROM
+  (SELECT transcript_id, idx, unnest(range(0, len(w))) AS pos, unnest(w) AS token FROM (SELECT transcript_id, idx, {WORDS} AS w FROM segments)) JOIN ph USING (token)
+  GROUP BY query_id, transcript_id, idx, pos - i, n HAVING count(*) = n)""")
 def _(v):
     docs = searched(v).where("rank <= 10").select("query_id", F.lit("document").alias("kind"), F.col("doc_id").alias("ref_id"), "score")
-    asked = phrases(v).select("query_id", F.lower("text").alias("needle"))  # a stated handful of phrases
-    told = v["segments"].join(F.broadcast(asked), F.contains(F.lower("text"), F.col("needle"))).select("query_id", F.lit("lecture").alias("kind"), F.col("transcript_id").alias("ref_id"), F.lit(0.0).alias("score")).distinct()
-    return docs.union(told)
+    said = op.build_postings(v["segments"].select(F.struct("transcript_id", "idx").alias("doc_id"), "text"))
+    told = op.phrase_hits(said, phrases(v)).select("query_id", F.lit("lecture").alias("kind"), F.col("doc_id.transcript_id").alias("ref_id"), F.lit(0.0).alias("score"))
+    return docs.union(told.distinct())
