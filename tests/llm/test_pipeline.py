@@ -1,18 +1,19 @@
 import collections
+import itertools
 import math
 import re
 
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from lectorium.llm import mixing, quality
+from lectorium.llm import mixing, quality, simhash
 from lectorium.llm.queries import tokenizer_path
 
 from .test_mixing import copies
 from .test_quality import brute as base_rules
-from .test_simhash import brute as brute_components
-from .test_simhash import fp
+from .test_simhash import similar
 
 STAGES = dict(corpus_pipeline.STAGES)
 
@@ -56,24 +57,31 @@ def test_quality_stage(outputs):
 
 
 def test_near_duplicate_stage(outputs):
-    prints = {r.doc_id: fp(r.text) for r in outputs[1].collect()}
-    groups = collections.defaultdict(set)
-    root = brute_components(set(prints.values()))
-    for i, p in prints.items():
-        groups[root[p]].add(i)
-    assert sorted(r.doc_id for r in outputs[2].collect()) == sorted(min(g) for g in groups.values())
+    texts = {r.doc_id: r.text for r in outputs[1].collect()}
+    prints = {i: simhash.fingerprint(t, 5) & (1 << 64) - 1 for i, t in texts.items()}
+    root = {i: i for i in texts}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, j in itertools.combinations(sorted(texts), 2):
+        if (prints[i] ^ prints[j]).bit_count() <= 7 and similar(texts[i], texts[j]):
+            root[max(find(i), find(j))] = min(find(i), find(j))
+    assert sorted(r.doc_id for r in outputs[2].collect()) == [i for i in sorted(texts) if find(i) == i]
 
 
 def test_repeats_stage(outputs):
-    rows = outputs[2].collect()
+    n, rows = 200, outputs[2].collect()
     raw = {r.doc_id: r.text.encode() for r in rows}
-    seen = collections.Counter(hash(t[i : i + 400]) for t in raw.values() for i in range(len(t) - 399))
+    seen = collections.Counter(hash(t[i : i + n]) for t in raw.values() for i in range(len(t) - n + 1))
     want = {}
     for i, t in raw.items():
         gone = bytearray(len(t))
-        for j in range(len(t) - 399):
-            if seen[hash(t[j : j + 400])] > 1:
-                gone[j : j + 400] = b"\1" * 400
+        for j in range(len(t) - n + 1):
+            if seen[hash(t[j : j + n])] > 1:
+                gone[j : j + n] = b"\1" * n
         want[i] = bytes(b for b, g in zip(t, gone, strict=True) if not g).decode("utf-8", "ignore")
     assert {r.doc_id: r.text for r in outputs[3].collect()} == want
 
@@ -107,11 +115,21 @@ def test_stages_take_odd_rows_and_columns(spark, sf, documents):
     body = "\n".join(" ".join(f"w{i * 31 + j}" for j in range(14)) + "." for i in range(20))
     items = [(1, body), (1, body), (None, body + " More words."), (2, None), (3, ""), (None, None), (4, body.upper()), (5, "long " * 100_000)]
     docs = documents(items).selectExpr("*", "1 as kept", "'x' as copy", "2 as k1", "3 as n_spans", "4 as fp", "5 as `odd name`")
+    rows = lambda df: sorted((r.doc_id is None, r.doc_id or 0, r.text) for r in df.collect())
+    good = corpus_pipeline.quality_rules(spark, docs, sf)
+    assert rows(good) == [(False, 1, body), (False, 1, body), (False, 4, body.upper()), (True, 0, body + " More words.")]
+    assert rows(corpus_pipeline.near_duplicates(spark, good, sf)) == [(False, 1, body)]
+    odd = corpus_pipeline.near_duplicates(spark, docs, sf)
+    assert rows(odd.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))) == [(False, 1, body), (False, 2, ""), (False, 5, "long " * 100_000)]
+    cut = corpus_pipeline.repeated_substrings(spark, good, sf)
+    assert rows(cut) == [(False, 1, ""), (False, 1, ""), (False, 4, body.upper()), (True, 0, " More words.")]
+    assert [r.n_chars for r in cut.where("doc_id = 4").collect()] == [len(body)]
+    whole = corpus_pipeline.repeated_substrings(spark, docs, sf)
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.text is None) for r in whole.collect()) == sorted((i is None, i or 0, t is None) for i, t in items)
+    assert {r.doc_id for r in corpus_pipeline.source_mixing(spark, docs, sf).collect()} <= {i for i, _ in items}
     for stage in [f for _, f in corpus_pipeline.STAGES[:-1]]:
-        for table in (docs, docs.where("false")):
-            out = stage(spark, table, sf)
-            assert out.columns == docs.columns
-            assert out.count() <= 3 * len(items)
-        docs = stage(spark, docs, sf) if stage is corpus_pipeline.quality_rules else docs
+        assert stage(spark, docs, sf).columns == docs.columns
+        assert stage(spark, docs.where("false"), sf).count() == 0
+    docs = good
     last = corpus_pipeline.STAGES[-1][1](spark, docs, sf)
     assert last.count() == docs.count()
