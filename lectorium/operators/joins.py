@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -28,8 +28,10 @@ def manual_over_auto(linked: DataFrame) -> DataFrame:
     return kept.withColumn("n_ignored", F.when(F.col("__any"), F.col("__auto")).otherwise(0)).drop("__any", "__auto")
 
 
-def budget_prefix(blocks: DataFrame, key: str, order: list[str], budget: int, used: int = 0) -> DataFrame:
-    """Blocks (with ``len``) in order while all up to them fit; the first that does not fit ends the list."""
+def budget_prefix(blocks: DataFrame, key: str, order: list[str], budget: int, used: int | Column = 0) -> DataFrame:
+    """Blocks (with ``len``) in order while all up to them fit; the first that does not fit ends the list.
+
+    used: what is taken of the budget beforehand, for all keys or as a column."""
     w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return blocks.withColumn("used", F.lit(used) + F.sum("len").over(w)).where(F.col("used") <= budget)
 

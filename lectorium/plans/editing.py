@@ -167,17 +167,27 @@ def _(v):
     return c.citations(answers, listings.lecture_numbers(v["lectures"]).select("project_id", "label", "transcript_id"))
 
 
-CONTEXT = f"""{LINKED}, b AS (SELECT transcript_id, rank, concat('[', deck, ' p.', page_no, '] ', substr(text, 1, 1800)) AS block FROM linked),
-k AS (SELECT *, sum(length(block)) OVER (PARTITION BY transcript_id ORDER BY rank) AS used FROM b),
-ctx AS (SELECT transcript_id, string_agg(block, chr(10) ORDER BY rank) AS context, count(*) AS n_pages FROM k WHERE used <= 12000 GROUP BY 1)"""
+CONTEXT = f"""{LINKED}, m AS (SELECT *, bool_or(link_source = 'manual') OVER (PARTITION BY transcript_id) AS has FROM linked),
+b AS (SELECT transcript_id, rank, concat('[', deck, ' p.', page_no, '] ', substr(text, 1, 1800)) AS block FROM m WHERE link_source = 'manual' OR NOT has),
+head AS (SELECT l.transcript_id, coalesce(title, '') AS title FROM lectures l
+  LEFT JOIN (SELECT transcript_id, arg_max(title, (id, title)) AS title FROM summaries GROUP BY 1) USING (transcript_id)),
+k AS (SELECT b.*, length(title) + sum(length(block)) OVER (PARTITION BY transcript_id ORDER BY rank) AS used FROM b JOIN head USING (transcript_id)),
+p AS (SELECT transcript_id, string_agg(block, chr(10) ORDER BY rank) AS pages, count(*) AS n FROM k WHERE used <= 12000 GROUP BY 1),
+ctx AS (SELECT transcript_id, concat_ws(chr(10), title, pages) AS context, coalesce(n, 0) AS n_pages FROM head LEFT JOIN p USING (transcript_id))"""
 
 
 def context_table(v):
+    """Per lecture: the title of its newest summary and, in what it leaves of the budget, its pages; confirmed links first."""
+    newest = v["summaries"].groupBy("transcript_id").agg(F.max_by("title", F.struct("id", "title")).alias("title"))
+    head = v["lectures"].select("transcript_id").join(newest, "transcript_id", "left").withColumn("title", F.coalesce("title", F.lit("")))
     block = F.concat(F.lit("["), "deck", F.lit(" p."), F.col("page_no").cast("string"), F.lit("] "), F.substring("text", 1, 1800))
-    blocks = linked(v).select("transcript_id", "rank", block.alias("block")).withColumn("len", F.length("block").cast("long"))
-    kept = joins.budget_prefix(blocks, "transcript_id", ["rank"], 12_000)
+    blocks = joins.manual_over_auto(linked(v)).select("transcript_id", "rank", block.alias("block")).withColumn("len", F.length("block").cast("long"))
+    kept = joins.budget_prefix(blocks.join(head, "transcript_id"), "transcript_id", ["rank"], 12_000, F.length("title"))
     text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", "block"))), lambda x: x["block"]), "\n")
-    return kept.groupBy("transcript_id").agg(text.alias("context"), F.count(F.lit(1)).alias("n_pages"))
+    pages = kept.groupBy("transcript_id").agg(text.alias("pages"), F.count(F.lit(1)).alias("n"))
+    return head.join(pages, "transcript_id", "left").select(
+        "transcript_id", F.concat_ws("\n", "title", "pages").alias("context"), F.coalesce("n", F.lit(0)).cast("long").alias("n_pages")
+    )
 
 
 @query("context_table", f"WITH {CONTEXT} SELECT * FROM ctx")
