@@ -98,13 +98,14 @@ def mixing_query(docs: DataFrame) -> DataFrame:
 SQL = """
 WITH sizes AS (SELECT source, count(*) AS n_docs, round(pow(CAST(count(*) AS DOUBLE), 0.5), 6) AS wish FROM documents GROUP BY source),
 total AS (SELECT sum(n_docs) AS all_docs, sum(wish) AS all_wish FROM sizes),
-rates AS (SELECT source, round(1.0 * wish / all_wish * all_docs / n_docs, 6) AS rate FROM sizes, total),
-pmf AS (SELECT source, rate, k, exp(-rate + k * ln(rate) - lgamma(k + 1)) AS p
-  FROM rates, range(0, 400) AS r(k) WHERE k <= ceil(rate + 10 * sqrt(rate) + 25)),
-steps AS (SELECT source, rate, k, sum(p) OVER (PARTITION BY source ORDER BY k) AS c FROM pmf),
-drawn AS (SELECT d.doc_id, d.source, d.lang, d.text, s.rate, count(*) AS n FROM documents d
-  JOIN steps s ON d.source IS NOT DISTINCT FROM s.source
-    AND s.c <= CAST(concat('0x', substr(md5(concat_ws(':', 'mix-1', coalesce(CAST(d.doc_id AS VARCHAR), ''))), 1, 13)) AS BIGINT) / 4503599627370496.0
+rates AS (SELECT *, CAST(greatest(1, ceil(rate / 500)) AS BIGINT) AS parts FROM (SELECT source, round(1.0 * wish / all_wish * all_docs / n_docs, 6) AS rate FROM sizes, total)),
+pmf AS (SELECT source, k, exp(-mean + k * ln(mean) - lgamma(k + 1)) AS p
+  FROM (SELECT source, rate / parts AS mean, unnest(range(0, CAST(ceil(rate / parts + 10 * sqrt(rate / parts) + 25) AS BIGINT) + 1)) AS k FROM rates WHERE rate > 0)),
+steps AS (SELECT source, k, sum(p) OVER (PARTITION BY source ORDER BY k) AS c FROM pmf),
+tries AS (SELECT doc_id, d.source, lang, text, rate, coalesce(CAST(doc_id AS VARCHAR), '') AS name, unnest(range(1, parts + 1)) AS i
+  FROM documents d JOIN rates r ON d.source IS NOT DISTINCT FROM r.source),
+drawn AS (SELECT doc_id, t.source, lang, text, rate, count(*) AS n FROM tries t JOIN steps s ON t.source IS NOT DISTINCT FROM s.source
+    AND s.c <= CAST(concat('0x', substr(md5(CASE WHEN i = 1 THEN concat_ws(':', 'mix-1', name) ELSE concat_ws(':', 'mix-1', 'draw', CAST(i AS VARCHAR), name) END), 1, 13)) AS BIGINT) / 4503599627370496.0
   GROUP BY ALL),
 copies AS (SELECT doc_id, source, lang, text, rate, unnest(range(1, n + 1)) AS copy FROM drawn)
 SELECT doc_id, source, lang, text, rate, CAST(copy AS INTEGER) AS copy,

@@ -44,3 +44,26 @@ def test_rows(documents):
     assert sorted((r.doc_id or 0, r.template or "", r.span_start or 0, r.span_end or 0) for r in rows) == [
         (0, "", 0, 0), (1, "", 0, 0), (2, "", 0, 0), (2, "CC-BY-NC-4.0", 2, 29), (2, "CC-BY-NC-4.0", 2, 29)]
     assert license_scan.scan(documents([])).count() == 0
+
+
+def test_query_equals_a_scan_of_every_diagonal(spark, sf):
+    """Every diagonal on which enough words of the template stand near is aligned, without fingerprints or votes."""
+    from lectorium.llm.queries import op5_license_scan
+
+    s, want = Scan(), set()
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    for i, text in docs:
+        words = license_scan.folded(text or "")[0]
+        for t, own in enumerate(INDEX.words):
+            near = [0]
+            for w in words:
+                near.append(near[-1] + (w in own))
+            least = len(own) if INDEX.short[t] else -(-s.coverage * len(own) // 100)
+            for d in range(-len(own), len(words)):
+                a, z = max(0, d - s.band), min(len(words), d + len(own) + s.band)
+                if z > a and near[z] - near[a] >= least and len(INDEX.align(words, t, d)) >= least:
+                    want.add((i, INDEX.names[t]))
+                    break
+    found = {(r.doc_id, r.template) for r in op5_license_scan(spark, sf).collect()}
+    assert {i for i, _ in found} == {i for i, _ in docs}
+    assert {x for x in found if x[1]} == want and want
