@@ -7,7 +7,7 @@ partitions by a second hash and sorted by it: a global shuffle in one pass, repr
 
 Defined results: a null source is a source of its own; a null id hashes as the empty string; rows that share an
 id share its draw. A source whose weight is zero gets no copies. Extra columns pass through; ``rate``, ``copy``
-and ``shuffle_key`` of the input are replaced. An empty table gives an empty result.
+and ``shuffle_key`` of the input are replaced. Texts are never looked at, so null, empty and very long ones are alike. An empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -4,6 +4,7 @@ Each line is judged on its own (punctuation, navigation, boilerplate), failing l
 document that loses too much of its text is rejected. All work happens inside the row: no shuffle.
 
 Defined results: a null text has no words and no lines, so it fails the base rules; an empty text likewise.
+A very long text is judged whole, in the one row that it is; an empty table stays empty.
 Blank lines never fail. Repeated rows are judged alike, once each. Other columns pass through ``clean_lines``
 unless their name is one of the added ones, which then takes its place.
 """

@@ -6,7 +6,8 @@ ones to move, so the cost of sending n rows away is the sum of its n smallest si
 per shard (a parameter, not the data) and is solved on the driver; ranks and slots come from a range-partitioned
 sort, so no shard, however hot, meets in one task.
 
-Defined results: a null text has size 16 and the checksum of the empty text; equal texts are not kept together
+Defined results: a null text has size 16 and the checksum of the empty text; a very long text only
+counts by its bytes and never moves before the rewrite; equal texts are not kept together
 (copies beyond a shard's capacity could not be); ties in size go by id, then checksum. Repeated rows each get a slot of
 their own. Extra columns are not read. An empty table gives an empty result.
 """
@@ -22,6 +23,8 @@ from pyspark.sql import functions as F
 from .common import cut
 
 OVERHEAD = 16
+#: Rows of a shard that one task writes, as one file.
+FILE_ROWS = 100_000
 
 
 @dataclass(frozen=True)
@@ -177,17 +180,19 @@ def reshard(docs: DataFrame, old: Column, n_new: int = 40) -> DataFrame:
     )
 
 
-def rewrite_affected(docs: DataFrame, placed: DataFrame, path: str) -> list[int]:
+def rewrite_affected(docs: DataFrame, placed: DataFrame, path: str, file_rows: int = FILE_ROWS) -> list[int]:
     """Write, under ``path``, the files of those new shards that gain or lose a row; gives their numbers.
 
-    ``docs`` must have unique ids. Shards that keep exactly their rows are left alone.
+    ``docs`` must have unique ids. Shards that keep exactly their rows are left alone. A shard is written in runs of
+    ``file_rows`` slots, each of which is dealt on its own, so a large shard is not one task's work.
     """
     moved = placed.where("shard <> old_shard")
     touched = moved.select(F.col("shard").alias("s")).union(moved.select(F.col("old_shard").alias("s"))).distinct()
     numbers = sorted(r.s for r in touched.collect())  # at most as many as shards
     wanted = placed.where(F.col("shard").isin(numbers)).select("doc_id", "shard", "slot")
-    out = docs.join(wanted, "doc_id").repartition("shard").sortWithinPartitions("shard", "slot")
-    out.write.mode("overwrite").partitionBy("shard").parquet(path)
+    run = F.floor(F.col("slot") / file_rows)
+    out = docs.join(wanted, "doc_id").repartition("shard", run).sortWithinPartitions("shard", "slot")
+    out.write.option("maxRecordsPerFile", file_rows).mode("overwrite").partitionBy("shard").parquet(path)
     return numbers
 
 

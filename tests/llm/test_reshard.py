@@ -49,6 +49,8 @@ def test_query_contract(spark, documents):
         if r.doc_id == 2:
             assert (r.size, r.text_crc32) == (18, zlib.crc32("é".encode()))
     assert reshard.reshard_query(documents([])).count() == 0
+    long = reshard.reshard_query(documents([(1, "x" * 3_000_000), (2, "y")]), 2).collect()
+    assert {(r.doc_id, r.size) for r in long} == {(1, 3_000_016), (2, 17)} and {r.shard for r in long} == {0, 1}
 
 
 def test_only_affected_files_are_written(spark, documents, tmp_path):
@@ -59,3 +61,9 @@ def test_only_affected_files_are_written(spark, documents, tmp_path):
     assert numbers == [2, 3]
     back = spark.read.parquet(str(tmp_path / "out"))
     assert {r.shard: r["count"] for r in back.groupBy("shard").count().collect()} == {2: 3, 3: 2}
+    reshard.rewrite_affected(docs.drop("o"), placed, str(tmp_path / "runs"), file_rows=2)
+    files = list((tmp_path / "runs").glob("shard=*/*.parquet"))
+    assert sorted(spark.read.parquet(str(f)).count() for f in files) == [1, 2, 2]
+    slots = placed.select("doc_id", "slot")
+    for f in files:  # a file is one run of slots
+        assert len({r.slot // 2 for r in spark.read.parquet(str(f)).select("doc_id").join(slots, "doc_id").collect()}) == 1
