@@ -14,8 +14,13 @@ from ..operators.search import build_postings
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder in the shared place that the cluster names for checkpoints; a temporary one only where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lectorium-stream-")
+    """A new folder in the shared place that the cluster names for checkpoints; a temporary one only on a single machine."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        base = tempfile.mkdtemp(prefix="lectorium-stream-")
     return f"{base}/{name}-{uuid.uuid4()}"
 
 
