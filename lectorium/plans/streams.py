@@ -18,17 +18,17 @@ def _(v):
 
 @query("stream_progress", "SELECT user_id AS job_id, round(sum(value), 4) AS position, count(*) AS n_segments, round(least(1.0, sum(value) / 1000), 4) AS progress FROM events GROUP BY 1")
 def _(v):
-    return s.latest(s.stream_progress(events(v), 1000.0), "progress")
+    return s.latest(s.stream_progress(events(v), 1000.0), "progress", ["job_id"])
 
 
 @query("stream_flush_windows", "SELECT user_id AS job_id, date_trunc('day', ts) AS chunk, count(*) AS n, round(sum(value), 4) AS seconds FROM events GROUP BY ALL")
 def _(v):
-    return s.latest(s.stream_flush_windows(events(v)), "chunks")
+    return s.latest(s.stream_flush_windows(events(v)), "chunks", ["job_id", "chunk"])
 
 
 @query("stream_job_board", "SELECT user_id AS job_id, arg_max(event_type, (ts, event_id)) AS status, count(*) AS n FROM events GROUP BY 1")
 def _(v):
-    return s.latest(s.stream_job_board(events(v)), "board")
+    return s.latest(s.stream_job_board(events(v)), "board", ["job_id"])
 
 
 @query("flush_chunks", """WITH RECURSIVE f AS (SELECT transcript_id, idx, end_s, 0 AS chunk, CAST(0.0 AS DOUBLE) AS last FROM segments WHERE idx = 0

@@ -48,10 +48,20 @@ def each_batch(stream: DataFrame, name: str, step: Callable[[DataFrame, int, str
     return folder
 
 
-def latest(stream: DataFrame, name: str) -> DataFrame:
-    """The last state of an aggregation: every batch overwrites one table."""
-    folder = each_batch(stream, name, lambda df, _, path: df.write.mode("overwrite").parquet(f"{path}/now"), "complete")
-    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/now")
+def latest(stream: DataFrame, name: str, keys: list[str]) -> DataFrame:
+    """The last state of an aggregation by ``keys``.
+
+    A batch writes only the groups that it changed, under its own number; what earlier batches wrote is never touched, so
+    a batch that fails can run again. A reader takes each group's row of the last batch that has one.
+    """
+
+    def step(changed: DataFrame, n: int, folder: str) -> None:
+        changed.withColumn("__batch", F.lit(n)).write.mode("overwrite").parquet(f"{folder}/changes/part={n}")
+
+    folder = each_batch(stream, name, step, "update")
+    every = stream.sparkSession.read.parquet(f"{folder}/changes")
+    last = every.groupBy(*keys).agg(F.max_by(F.struct(*stream.columns), "__batch").alias("__row"))
+    return last.select("__row.*")
 
 
 def timed(events: DataFrame) -> DataFrame:

@@ -1,11 +1,16 @@
-import datetime
+from datetime import datetime
 
-from lectorium.streaming import streams
+from lectorium.streaming import streams as s
 
 
-def test_segments_stay_however_late_their_file(spark, tmp_path):
-    day = datetime.datetime(2024, 1, 1)
-    for d in [29, 3, 17, 0, 8, 25, 1, 12, 29, 0, 5, 6, 2, 4]:  # more files than a trigger takes, in shuffled time order
-        spark.createDataFrame([(1, day + datetime.timedelta(days=d), "a", float(d))], "user_id long, ts timestamp_ntz, event_type string, value double").coalesce(1).write.mode("append").parquet(f"{tmp_path}/events")
-    rows = streams.to_table(streams.stream_segments(streams.arriving(spark, f"{tmp_path}/events")), "segments").collect()
-    assert sorted(r.value for r in rows) == [0.0, 1.0, 2.0, 3.0, 4.0, 5.0, 6.0, 8.0, 12.0, 17.0, 25.0, 29.0]
+def test_latest_keeps_the_last_batch_of_every_group(spark, tmp_path):
+    """Six files make two batches; job 1 changes in both, job 2 in the first only, a null job stays a group."""
+    path = str(tmp_path / "events.parquet")
+    for i in range(6):
+        job = 1 if i in (0, 5) else 2 if i == 1 else None
+        rows = [(i, job, datetime(2024, 1, 1, i), f"status {i}", float(i))]
+        spark.createDataFrame(rows, "event_id long, user_id long, ts timestamp, event_type string, value double").coalesce(1).write.mode("append").parquet(path)
+    board = s.latest(s.stream_job_board(s.arriving(spark, path)), "board", ["job_id"])
+    assert {(r.job_id, r.status, r.n) for r in board.collect()} == {(1, "status 5", 2), (2, "status 1", 1), (None, "status 4", 3)}
+    progress = s.latest(s.stream_progress(s.arriving(spark, path), 10.0), "progress", ["job_id"])
+    assert {(r.job_id, r.position, r.n_segments, r.progress) for r in progress.collect()} == {(1, 5.0, 2, 0.5), (2, 1.0, 1, 0.1), (None, 9.0, 3, 0.9)}
