@@ -39,11 +39,25 @@ class LineRules:
 
 CLOSED = r"[.!?…:;。！？][\"'”’»)\]]*" + WORD_GAP + r"*\z"
 SHOUTS = r"[!?]{2,}"
-NAVIGATION = r"(\|[^|]*\||»|›|→|(?i:^\s*(home|menu|login|log in|sign in|next|previous|back to top|skip to content|read more)\b))"
-BOILERPLATE = (
-    r"(?i:all rights reserved|cookies?\b|privacy policy|terms of (use|service)|enable javascript|lorem ipsum"
-    r"|subscribe (to|now)|click here|sign up|powered by|follow us)"
+#: Letters of scripts that are written without spaces: two count as a word where a line is measured.
+UNSPACED = r"[\x{0E00}-\x{0E7F}\x{3040}-\x{30FF}\x{4E00}-\x{9FFF}]"
+#: Phrases in English, German, French and Spanish. Case is folded for ASCII letters only, so others stand in both.
+NAVIGATION_PHRASES = (
+    "home|menu|login|log in|sign in|next|previous|back to top|skip to content|read more"
+    "|startseite|men[üÜ]|anmelden|weiter|zur[üÜ]ck|nach oben|zum inhalt springen|mehr lesen|weiterlesen"
+    "|accueil|connexion|se connecter|suivant|pr[éÉ]c[éÉ]dent|haut de page|aller au contenu|lire la suite"
+    "|inicio|men[úÚ]|iniciar sesi[óÓ]n|siguiente|anterior|volver arriba|ir al contenido|leer m[áÁ]s"
 )
+BOILERPLATE_PHRASES = (
+    r"all rights reserved|cookies?\b|privacy policy|terms of (use|service)|enable javascript|lorem ipsum"
+    r"|subscribe (to|now)|click here|sign up|powered by|follow us"
+    r"|alle rechte vorbehalten|datenschutzerkl[äÄ]rung|nutzungsbedingungen|newsletter abonnieren|hier klicken|folgen sie uns"
+    r"|tous droits r[éÉ]serv[éÉ]s|politique de confidentialit[éÉ]|conditions d.utilisation|cliquez ici|abonnez-vous|suivez-nous"
+    r"|todos los derechos reservados|pol[íÍ]tica de privacidad|condiciones de uso|haga clic|haz clic|s[íÍ]guenos|suscr[íÍ]bete"
+)
+#: Separators of a menu, or a line of nothing but navigation phrases: a sentence may begin with one.
+NAVIGATION = rf"(\|[^|]*\||»|›|→|(?i:^[^\p{{L}}\p{{N}}]*((?:{NAVIGATION_PHRASES})[^\p{{L}}\p{{N}}]*)+\z))"
+BOILERPLATE = f"(?i:{BOILERPLATE_PHRASES})"
 
 
 def at_least_words(line: Column, n: int) -> Column:
@@ -54,7 +68,7 @@ def line_fails(line: Column, rules: LineRules) -> Column:
     blank = ~line.rlike(WORD_CHAR)
     length = F.length(line)
     punctuation = (
-        (~line.rlike(CLOSED) & ~at_least_words(line, rules.unclosed_words))
+        (~line.rlike(CLOSED) & ~at_least_words(line, rules.unclosed_words) & (F.regexp_count(line, F.lit(UNSPACED)) < 2 * rules.unclosed_words))
         | (F.regexp_count(line, F.lit(SYMBOLS)) * rules.chars_per_symbol > length)
         | (F.regexp_count(line, F.lit(SHOUTS)) * rules.chars_per_symbol > length)
     )
@@ -158,7 +172,8 @@ tri AS (SELECT doc_id, i, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2]
 dup AS (SELECT doc_id, i FROM tri QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
 rep AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM dup) GROUP BY doc_id),
 l AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS l FROM d),
-f AS (SELECT doc_id, l, ((NOT regexp_matches(l, '{q(CLOSED)}') AND NOT {words(rules.unclosed_words)})
+f AS (SELECT doc_id, l, ((NOT regexp_matches(l, '{q(CLOSED)}') AND NOT {words(rules.unclosed_words)}
+      AND len(regexp_extract_all(l, '{UNSPACED}')) < {2 * rules.unclosed_words})
     OR len(regexp_extract_all(l, '{SYMBOLS}')) * {rules.chars_per_symbol} > length(l)
     OR len(regexp_extract_all(l, '{SHOUTS}')) * {rules.chars_per_symbol} > length(l)
     OR ((regexp_matches(l, '{q(NAVIGATION)}') OR regexp_matches(l, '{q(BOILERPLATE)}')) AND NOT {words(rules.phrase_words)})) AS bad

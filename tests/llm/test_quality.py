@@ -41,6 +41,14 @@ def test_lines_fall_one_by_one(documents):
     assert not rows[2].kept and not rows[2].base_failed
 
 
+def test_line_rules_in_several_languages(documents):
+    good = ["Next to the river stood a house.", "Weiter unten steht ein Haus.", "漢" * 24, "a b c d e f g h i j k l"]
+    bad = ["Home", "Next.", "Startseite - Menü - Anmelden.", "MENÜ.", "Accueil / Lire la suite.", "Inicio.", "a | b | c.", "漢" * 23,
+           "Alle Rechte vorbehalten.", "Tous droits réservés.", "Todos los derechos reservados.", "a b c d e f g h i j k"]
+    rows = {r.doc_id: r for r in quality.clean_lines(documents(good + bad)).collect()}
+    assert [rows[i].n_failed_lines for i in range(len(rows))] == [0] * len(good) + [1] * len(bad)
+
+
 def test_empty_table_clashing_columns_and_repeated_rows(spark, documents):
     assert quality.quality_digest(documents([])).count() == 0
     two = documents([(7, TEXTS[-1]), (7, TEXTS[-1])])
