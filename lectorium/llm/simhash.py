@@ -9,7 +9,7 @@ members go through the words one bit away instead. Fingerprints that share such
 fingerprints share one, so a star around the smallest member of each word (65 members at most) links the same
 components at linear cost.
 
-With a ``similarity`` (``similar_links``) texts link when their fingerprints differ in ``distance`` bits at most, up to
+With a ``similarity`` (``similar_groups``) texts link when their fingerprints differ in ``distance`` bits at most, up to
 seven, and the sets of their shingles have that Jaccard similarity. Of four 16-bit blocks one then differs in one bit
 at most, so a text is posted under its blocks and under each with one of its ones cleared. As closeness alone no longer
 links, crowds are thinned, not starred: texts are first held against leaders of runs of ``POSTING`` near fingerprints,
@@ -265,11 +265,11 @@ def _grouped(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.join(components(edges), "v", "left").withColumn("root", F.coalesce("root", "v"))
 
 
-def similar_links(docs: DataFrame, nodes: DataFrame, width: int, distance: int, similarity: float, posting: int = POSTING, tile: int = TILE) -> DataFrame:
-    """Links (a, b) of the distinct texts ``nodes`` (v, k1, k2, fp) whose closure is that of all similar pairs."""
+def _led_and_met(docs: DataFrame, nodes: DataFrame, width: int, distance: int, similarity: float, posting: int, tile: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Links of leaders within the rule, the groups that these join (``nodes`` with ``root``), and links between different groups."""
     led = _verified(_close(nodes.withColumn("root", F.col("v")), distance, probes=False, size=posting), nodes, docs, width, similarity)
-    met = _verified(_close(cut(_grouped(nodes, led)), distance, probes=True, size=tile), nodes, docs, width, similarity)
-    return led.union(met)
+    grouped = cut(_grouped(nodes, led))
+    return led, grouped, _verified(_close(grouped, distance, probes=True, size=tile), nodes, docs, width, similarity)
 
 
 def _text_prints(docs: DataFrame, width: int) -> DataFrame:
@@ -290,7 +290,12 @@ def similar_groups(docs: DataFrame, width: int, distance: int, similarity: float
     if not 0 <= distance <= FARTHEST:
         raise ValueError(f"distance must be 0 to {FARTHEST}")
     nodes = cut(_text_prints(docs, width).withColumn("v", F.monotonically_increasing_id()))
-    return _grouped(nodes, cut(similar_links(docs, nodes, width, distance, similarity, posting, tile))).select("k1", "k2", "fp", "root")
+    _, grouped, met = _led_and_met(docs, nodes, width, distance, similarity, posting, tile)
+    # the groups are joined as wholes: a crowd enters the rounds of ``components`` as one end, not as all its members
+    at = lambda end, root: grouped.select(F.col("v").alias(end), F.col("root").alias(root))
+    between = met.join(at("a", "ra"), "a").join(at("b", "rb"), "b").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct()
+    tops = components(between).select(F.col("v").alias("root"), F.col("root").alias("top"))
+    return grouped.join(tops, "root", "left").select("k1", "k2", "fp", F.coalesce("top", "root").alias("root"))
 
 
 def keep_first(docs: DataFrame, width: int = WIDTH, distance: int = DISTANCE, similarity: float | None = None) -> DataFrame:
