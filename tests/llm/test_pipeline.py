@@ -3,6 +3,7 @@ import itertools
 import math
 import re
 
+import regex
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -39,8 +40,9 @@ def line_fails(x, r=quality.LineRules()):
     if not words:
         return False
     dense = lambda p: len(re.findall(p, x)) * r.chars_per_symbol > len(x)
-    unclosed = not re.search(java(quality.CLOSED), x) and words < r.unclosed_words
-    phrase = words < r.phrase_words and (re.search(java(quality.NAVIGATION), x) or re.search(quality.BOILERPLATE, x))
+    unspaced = sum("\u0e00" <= c <= "\u0e7f" or "\u3040" <= c <= "\u30ff" or "\u4e00" <= c <= "\u9fff" for c in x)
+    unclosed = not re.search(java(quality.CLOSED), x) and words < r.unclosed_words and unspaced < 2 * r.unclosed_words
+    phrase = words < r.phrase_words and (regex.search(java(quality.NAVIGATION), x) or regex.search(quality.BOILERPLATE, x))
     return bool(unclosed or dense(quality.SYMBOLS) or dense(quality.SHOUTS) or phrase)
 
 
