@@ -138,7 +138,7 @@ class Tables:
         return regex.split("(" + "|".join(map(regex.escape, longest_first)) + ")", text)
 
 
-class _Remember(dict):
+class Remembered(dict):
     """Answers by pre-token, computed when first asked, for a bounded number of short ones."""
 
     def __init__(self, answer, fixed=()):
@@ -156,7 +156,7 @@ class _Remember(dict):
 def token_counter(tables: Tables, whole: set[str]):
     """A function from a text to its number of tokens."""
     find = regex.compile(PRE_TOKEN).findall
-    counts = _Remember(lambda p: len(tables.merge(p.encode())), dict.fromkeys(whole, 1))
+    counts = Remembered(lambda p: len(tables.merge(p.encode())), dict.fromkeys(whole, 1))
 
     def count(text: str) -> int:
         parts = tables.split_specials(text)
@@ -174,7 +174,7 @@ def encoder(tables: Tables):
         found = [ids[t] for f in tables.fragments(piece.encode()) for t in tables.merge(f)]
         return struct.pack(f"<{len(found)}I", *found)
 
-    packed = _Remember(encode_piece)
+    packed = Remembered(encode_piece)
 
     def encode(text: str) -> bytes:
         parts = tables.split_specials(text)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, license_scan, mixing, quality, reshard, simhash, substring, suffix_merge
+from . import ann, bpe, lexical, license_scan, mixing, quality, reshard, sentence_pieces, simhash, spelling, substring, suffix_merge
 from .common import table
 
 
@@ -56,6 +56,18 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.remove_repeats(table(spark, sf_dir, "documents"), digest=True)
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentence_pieces.encode_decode(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"), digest=True, checked=True)
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -69,6 +81,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_additive_ann,
         op9_resharding,
         op10_substring_dedup,
+        op11_lexical_search,
+        op12_sentence_pieces,
+        op13_spelling_variants,
     )
 }
-SQL: dict[str, str] = {"op1_quality_rules": quality.SQL, "op2_source_mixing": mixing.SQL}
+SQL: dict[str, str] = {"op1_quality_rules": quality.SQL, "op2_source_mixing": mixing.SQL, "op11_lexical_search": lexical.SQL}
