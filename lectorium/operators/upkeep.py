@@ -1,10 +1,12 @@
-"""Table upkeep in batch: upserts, replacements and fingerprints without a table format."""
+"""Table upkeep: upserts, replacements and fingerprints, as new tables or written to stored ones."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.snapshots import BucketTable
+
 
 def refresh_auto_links(current: DataFrame, fresh: DataFrame, decks: DataFrame) -> DataFrame:
     """Links after new automatic ranges of ``decks``: confirmed rows stay, and win over a new row of the same range."""
@@ -57,3 +59,18 @@ def cache_check(contexts: DataFrame, runs: DataFrame, key: str) -> DataFrame:
     w = Window.partitionBy(key).orderBy(F.desc("run_id"))
     last = runs.where("status = 'ok'").withColumn("__n", F.row_number().over(w)).where("__n = 1").select(key, F.col("fingerprint").alias("__last"))
     return hashed.join(last, key, "left").select(key, "fingerprint", F.coalesce(F.col("fingerprint") == F.col("__last"), F.lit(False)).alias("cached"))
+
+
+def write_upserts(table: BucketTable, changes: DataFrame, key: list[str], order: str, keep: list[str] = (), tag: tuple[str, int] | None = None) -> bool:
+    """``upsert_keyed`` on a stored table whose bucket key is among ``key``: only the buckets of changed keys are read and written."""
+    return table.change(changes, lambda current: upsert_keyed(current, changes.select(*current.columns), key, order, keep), tag)
+
+
+def write_auto_links(table: BucketTable, fresh: DataFrame, decks: DataFrame, tag: tuple[str, int] | None = None) -> bool:
+    """``refresh_auto_links`` on stored links in buckets of decks."""
+    return table.change(decks, lambda current: refresh_auto_links(current, fresh, decks), tag)
+
+
+def write_generated_cards(table: BucketTable, fresh: DataFrame, tag: tuple[str, int] | None = None) -> bool:
+    """``replace_generated_cards`` on stored cards in buckets of lectures."""
+    return table.change(fresh, lambda current: replace_generated_cards(current, fresh), tag)
