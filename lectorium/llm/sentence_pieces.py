@@ -6,8 +6,8 @@ pieces of their bytes. A space is the sign U+2581, one stands before the text, a
 model file that asks for more is refused.
 
 Where no piece holds that sign behind another character, no pair reaches over such a place, so each word has an agenda
-of its own and short words are remembered. With ``checked`` the sentencepiece library encodes the same Arrow batch and
-a column says whether its ids are the same.
+of its own and short words are remembered. With ``checked`` the sentencepiece library encodes, after each Arrow batch,
+all words that were not remembered from one before, and a column says whether every word of a text has its ids.
 
 The tables come from a model file whose path is a parameter and whose size bounds what is sent to the executors. Each
 row is handled on its own: no shuffle.
@@ -37,6 +37,10 @@ from .common import texts_in
 SPACE = "▁"
 #: Kinds of pieces and the type of merging models (fixed by the format).
 NORMAL, UNKNOWN, CONTROL, BYTE, MERGING = 1, 2, 3, 6, 2
+#: Symbols up to which an agenda is a plain list, and what stands in it for a pair that is no piece.
+WORD, NEVER = 40, float("inf")
+#: Short words that a worker process remembers, from task to task.
+WORDS_HELD = 500_000
 
 codecs.register_error("lectorium-each-byte", lambda e: ("�", e.start + 1))
 
@@ -83,7 +87,8 @@ class Pieces:
         names = [r[1].decode() for r in rows]
         of = lambda kind: {names[i]: i for i, k in enumerate(kinds) if k == kind}
         self.ids = of(NORMAL)
-        self.scores = {names[i]: struct.unpack("<f", rows[i].get(2, bytes(4)))[0] for i in self.ids.values()}
+        #: The best score comes first.
+        self.turns = {names[i]: -struct.unpack("<f", rows[i].get(2, bytes(4)))[0] for i in self.ids.values()}
         self.bytes = [of(BYTE)[f"<0x{b:02X}>"] for b in range(256)]
         self.begin, self.end = of(CONTROL)[trainer.get(46, b"<s>").decode()], of(CONTROL)[trainer.get(47, b"</s>").decode()]
         unknown = trainer.get(44, " ⁇ ".encode()).decode()
@@ -96,10 +101,28 @@ class Pieces:
         self.words_apart = not any(SPACE in name.lstrip(SPACE) for name in self.ids)
 
     def symbols(self, text: str) -> list[str]:
-        """The symbols that are left when the agenda is empty."""
-        n, score = len(text), self.scores.get
+        """The symbols that are left when the agenda is empty.
+
+        For a word it is a list in order of places, of which the least is taken; for more a heap over linked symbols.
+        """
+        if len(text) > WORD:
+            return self._symbols_of_long(text)
+        symbols, turn = list(text), self.turns.get
+        agenda = [turn(text[i : i + 2], NEVER) for i in range(len(text) - 1)]
+        while agenda and (least := min(agenda)) < NEVER:
+            i = agenda.index(least)
+            del agenda[i]
+            symbols[i] += symbols.pop(i + 1)
+            if i < len(agenda):
+                agenda[i] = turn(symbols[i] + symbols[i + 1], NEVER)
+            if i:
+                agenda[i - 1] = turn(symbols[i - 1] + symbols[i], NEVER)
+        return symbols
+
+    def _symbols_of_long(self, text: str) -> list[str]:
+        n, turn = len(text), self.turns.get
         symbols, left, right = list(text), list(range(-1, n - 1)), list(range(1, n + 1))
-        agenda = [(-s, i, i + 1, 2) for i in range(n - 1) if (s := score(text[i : i + 2])) is not None]
+        agenda = [(s, i, i + 1, 2) for i in range(n - 1) if (s := turn(text[i : i + 2])) is not None]
         heapq.heapify(agenda)
         while agenda:
             _, i, j, size = heapq.heappop(agenda)
@@ -112,8 +135,8 @@ class Pieces:
             for x, y in ((left[i], i), (i, after)):
                 if x >= 0 and y < n:
                     joined = symbols[x] + symbols[y]
-                    if (s := score(joined)) is not None:
-                        heapq.heappush(agenda, (-s, x, y, len(joined)))
+                    if (s := turn(joined)) is not None:
+                        heapq.heappush(agenda, (s, x, y, len(joined)))
         return [s for s in symbols if s]
 
     def packed(self, text: str) -> bytes:
@@ -127,18 +150,54 @@ class Pieces:
         return struct.pack(f"<{len(found)}I", *found)
 
 
-def encoder(pieces: Pieces):
-    """A function from a text to its ids with begin and end, packed as little-endian 32-bit integers."""
-    begin, end = struct.pack("<I", pieces.begin), struct.pack("<I", pieces.end)
-    remembered = Remembered(pieces.packed)
-    words = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+").findall if pieces.words_apart else lambda text: [text]
+class Encoder:
+    """From a text to its ids with begin and end, packed as little-endian 32-bit integers."""
 
-    def encode(text: str) -> bytes:
-        if not text:
-            return begin + end
-        return b"".join((begin, *map(remembered.__getitem__, words(SPACE + text.replace(" ", SPACE))), end))
+    def __init__(self, pieces: Pieces, library=None):
+        self.pieces, self.library = pieces, library
+        self.begin, self.end = struct.pack("<I", pieces.begin), struct.pack("<I", pieces.end)
+        self.find = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+").findall if pieces.words_apart else lambda text: [text]
+        self.remembered = Remembered(self._first)
+        self.remembered.room = WORDS_HELD
+        self.unchecked: dict[str, bytes] = {}
+        self.wrong: set[str] = set()
 
-    return encode
+    def words(self, text: str) -> list[str]:
+        return self.find(SPACE + text.replace(" ", SPACE)) if text else []
+
+    def _first(self, word: str) -> bytes:
+        packed = self.pieces.packed(word)
+        if self.library is not None:
+            self.unchecked[word] = packed
+        return packed
+
+    def __call__(self, text: str) -> bytes:
+        return b"".join((self.begin, *map(self.remembered.__getitem__, self.words(text)), self.end))
+
+    def same_as_library(self, texts: list[str]) -> list[bool]:
+        """Whether the library gives every word of each text (encoded since the last call) the same ids."""
+        words = list(self.unchecked)
+        # a word begins with the sign that the library puts before a text
+        wanted = self.library.encode([w[1:].replace(SPACE, " ") for w in words], num_threads=1)
+        for w, ids in zip(words, wanted, strict=True):
+            if struct.pack(f"<{len(ids)}I", *ids) != self.unchecked[w]:
+                self.wrong.add(w)
+        self.unchecked.clear()
+        return [not self.wrong or self.wrong.isdisjoint(self.words(t)) for t in texts]
+
+
+_held: dict[bytes, Encoder] = {}
+
+
+def held_encoder(pieces: Pieces, checked: bool) -> Encoder:
+    """The encoder of this worker process for a model: the words that it remembers outlast a task."""
+    key = hashlib.sha256(pieces.model).digest() + bytes([checked])
+    if key not in _held:
+        import sentencepiece
+
+        _held.clear()
+        _held[key] = Encoder(pieces, sentencepiece.SentencePieceProcessor(model_proto=pieces.model) if checked else None)
+    return _held[key]
 
 
 def decoder(pieces: Pieces):
@@ -174,11 +233,8 @@ def encode_decode(docs: DataFrame, path: str, digest: bool = False, checked: boo
     shared = docs.sparkSession.sparkContext.broadcast(Pieces(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import sentencepiece
-
         pieces = shared.value
-        encode, decode = encoder(pieces), decoder(pieces)
-        library = sentencepiece.SentencePieceProcessor(model_proto=pieces.model) if checked else None
+        encode, decode = held_encoder(pieces, checked), decoder(pieces)
         for whole in batches:
             for b in (whole.slice(i, OUTPUT_ROWS) for i in range(0, whole.num_rows, OUTPUT_ROWS)):
                 texts = [t or "" for t in b.column("text").to_pylist()]
@@ -190,9 +246,8 @@ def encode_decode(docs: DataFrame, path: str, digest: bool = False, checked: boo
                 else:
                     ends = np.cumsum([0] + [len(p) // 4 for p in packed], dtype=np.int32)
                     cells |= {"ids": pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(packed), np.int32))), "decoded_text": pa.array(decoded, pa.string())}
-                if library is not None:
-                    wanted = library.encode(texts, add_bos=True, add_eos=True, num_threads=1)
-                    cells["same_as_library"] = pa.array([struct.pack(f"<{len(w)}I", *w) == p for w, p in zip(wanted, packed, strict=True)], pa.bool_())
+                if checked:
+                    cells["same_as_library"] = pa.array(encode.same_as_library(texts), pa.bool_())
                 yield pa.RecordBatch.from_pydict(cells)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
