@@ -6,8 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import fold, folded_words, tokenize
+from ..sources.folders import materialised
 
 K1, B = 1.2, 0.75
+#: Scores are given to six digits, so bounds within this of a score to beat still count.
+NEAR = 2e-6
 
 
 def term_counts(docs: DataFrame, keys: list[str]) -> DataFrame:
@@ -19,29 +22,79 @@ def document_frequency(docs: DataFrame, scope: str, doc: str) -> DataFrame:
     return distinct.groupBy(scope, "token").agg(F.count(F.lit(1)).alias("df"))
 
 
-def tfidf_rank(queries: DataFrame, docs: DataFrame, scope: str = "project_id", query: str = "query_id", doc: str = "doc_id") -> DataFrame:
-    """Cosine of every query and document of a scope that share a token: (1 + ln tf) times ln((1 + N) / (1 + df)) + 1.
+def tfidf_weights(queries: DataFrame, docs: DataFrame, scope: str, query: str, doc: str) -> tuple[DataFrame, DataFrame]:
+    """Shares of a query's and a document's length that each token has: (scope, query, token, qw) and (scope, token, doc, w).
 
-    Texts are cut into tokens once: document frequencies come from the counts, norms from a sum beside the join.
+    A token weighs (1 + ln tf) times ln((1 + N) / (1 + df)) + 1. Texts are cut into tokens once; of the documents only tokens
+    that a query of their scope has are kept. A cosine is the sum of qw * w over the tokens that both have.
     """
     n = docs.groupBy(scope).agg(F.count(F.lit(1)).alias("n"))
-    counts = term_counts(docs, [scope, doc])
+    counts = materialised(term_counts(docs, [scope, doc]))
     idf = counts.groupBy(scope, "token").agg(F.count(F.lit(1)).alias("df")).join(n, scope)
-    idf = idf.select(scope, "token", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
-    weight = ((1 + F.log("tf")) * F.col("idf")).alias("w")
-    q = term_counts(queries, [scope, query]).join(idf, [scope, "token"]).select(scope, query, "token", weight)
-    d = counts.join(idf, [scope, "token"]).select(scope, doc, "token", weight)
-    norm = lambda df, key, name: df.groupBy(scope, key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias(name))
-    met = q.withColumnRenamed("w", "qw").join(d, [scope, "token"]).groupBy(scope, query, doc).agg(F.sum(F.col("qw") * F.col("w")).alias("dot"))
-    met = met.join(norm(q, query, "qn"), [scope, query]).join(norm(d, doc, "dn"), [scope, doc])
-    return met.select(scope, query, doc, F.round(F.col("dot") / F.col("qn") / F.col("dn"), 6).alias("score"))
+    idf = materialised(idf.select(scope, "token", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf")))
+
+    def shares(counted: DataFrame, key: str, name: str) -> DataFrame:
+        weighed = counted.join(idf, [scope, "token"]).select(scope, key, "token", ((1 + F.log("tf")) * F.col("idf")).alias("w"))
+        norms = weighed.groupBy(scope, key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+        return weighed.join(norms, [scope, key]).select(scope, key, "token", (F.col("w") / F.col("norm")).alias(name))
+
+    q = materialised(shares(term_counts(queries, [scope, query]), query, "qw"))
+    d = shares(counts, doc, "w").join(q.select(scope, "token").distinct(), [scope, "token"], "left_semi")
+    return q, materialised(d)
+
+
+def cosines(pairs: DataFrame, q: DataFrame, d: DataFrame, scope: str, query: str, doc: str) -> DataFrame:
+    """The pairs (scope, query, doc) with their score."""
+    asked = pairs.join(q, [scope, query])
+    met = asked.join(d, [scope, doc, "token"]).groupBy(scope, query, doc)
+    return met.agg(F.round(F.sum(F.col("qw") * F.col("w")), 6).alias("score"))
+
+
+def tfidf_rank(queries: DataFrame, docs: DataFrame, scope: str = "project_id", query: str = "query_id", doc: str = "doc_id") -> DataFrame:
+    """Cosine of every query and document of a scope that share a token. For all pairs; ``tfidf_top`` looks for the best only."""
+    q, d = tfidf_weights(queries, docs, scope, query, doc)
+    met = q.join(d, [scope, "token"]).groupBy(scope, query, doc)
+    return met.agg(F.round(F.sum(F.col("qw") * F.col("w")), 6).alias("score"))
+
+
+def tfidf_candidates(q: DataFrame, d: DataFrame, k: int, lead: int, scope: str, query: str, doc: str) -> tuple[DataFrame, DataFrame]:
+    """Scores of all pairs that can be among the k best of their query, in two steps.
+
+    Postings of a token are taken by impact. First every query meets the ``lead`` strongest of each of its tokens; the k-th
+    best score so far is to be beaten. What lies behind the lead of a token adds no more than the last of it, so a pair that
+    has not been met scores at most the sum of these bounds. Only postings that reach the score to beat together with the
+    bounds of the query's other tokens bring further pairs; long lists of frequent tokens mostly do not.
+    """
+    order = Window.partitionBy(scope, "token").orderBy(F.desc("w"), doc)
+    strong = materialised(d.withColumn("__place", F.row_number().over(order)).where(F.col("__place") <= lead))
+    behind = strong.where(F.col("__place") == lead).select(scope, "token", F.col("w").alias("__most"), F.col(doc).alias("__last"))
+    first = materialised(cosines(q.join(strong, [scope, "token"]).select(scope, query, doc).distinct(), q, d, scope, query, doc))
+    best = Window.partitionBy(scope, query).orderBy(F.desc("score"))
+    beat = first.withColumn("__n", F.row_number().over(best)).where(F.col("__n") == k).select(scope, query, F.col("score").alias("__beat"))
+    bound = q.join(behind, [scope, "token"]).join(beat, [scope, query], "left")
+    bound = bound.select(scope, query, "token", "qw", "__most", "__last", (F.col("qw") * F.col("__most")).alias("__bound"), (F.coalesce("__beat", F.lit(0.0)) - NEAR).alias("__beat"))
+    # of a pair's tokens the one of the largest bound brings it: the others add no more than the bounds up to that one
+    rising = Window.partitionBy(scope, query).orderBy("__bound", "token").rowsBetween(Window.unboundedPreceding, 0)
+    bound = bound.withColumn("__up", F.sum("__bound").over(rising)).where(F.col("__up") >= F.col("__beat"))
+    weaker = (F.col("w") < F.col("__most")) | ((F.col("w") == F.col("__most")) & (F.col(doc) > F.col("__last")))
+    able = F.col("qw") * F.col("w") + F.col("__up") - F.col("__bound") >= F.col("__beat")
+    more = bound.join(d, [scope, "token"]).where(weaker & able).select(scope, query, doc).distinct()
+    more = more.join(first, [scope, query, doc], "left_anti")
+    return first, materialised(cosines(more, q, d, scope, query, doc))
+
+
+def tfidf_top(queries: DataFrame, docs: DataFrame, k: int, scope: str = "project_id", query: str = "query_id", doc: str = "doc_id", lead: int | None = None) -> DataFrame:
+    """The k best documents of every query by ``tfidf_rank``'s score, ties to the smaller id: scope, query, doc, score, rank."""
+    q, d = tfidf_weights(queries, docs, scope, query, doc)
+    first, more = tfidf_candidates(q, d, k, lead or k, scope, query, doc)
+    w = Window.partitionBy(scope, query).orderBy(F.desc("score"), doc)
+    return first.unionByName(more).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def lexical_pages(queries: DataFrame, pages: DataFrame, limit: int = 12, min_score: float = 0.08, min_chars: int = 40) -> DataFrame:
     """The slide pages nearest to each query: at least three quarters of the best score, at most ``limit``."""
     docs = pages.where(F.col("kind") == "slides").where(F.length("text") >= min_chars)
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
-    near = tfidf_rank(queries, docs).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)  # cut before it is shuffled
+    near = tfidf_top(queries, docs, limit)
     least = F.greatest(F.lit(min_score), F.round(0.75 * F.max("score").over(Window.partitionBy("query_id")), 6))
     near = near.withColumn("__floor", least).where(F.col("score") >= F.col("__floor"))
     return near.select("query_id", "doc_id", F.round("score", 3).alias("score"), "rank")
@@ -73,11 +126,13 @@ def transcript_windows(segments: DataFrame, chars: int = 1000) -> DataFrame:
 
 
 def ask_passages(questions: DataFrame, windows: DataFrame, numbers: DataFrame, k: int = 8, min_score: float = 0.02) -> DataFrame:
-    """For every question its k nearest windows that score above ``min_score``, in order of lecture and time."""
-    docs = windows.withColumn("doc_id", F.concat_ws("-", "transcript_id", "win"))
-    ranked = tfidf_rank(questions, docs)
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
-    top = ranked.withColumn("__n", F.row_number().over(w)).where((F.col("__n") <= k) & (F.col("score") > min_score))
+    """For every question its k nearest windows that score above ``min_score``, in order of lecture and time.
+
+    Only windows of lectures in ``numbers`` take part: those that have a summary, where the caller leaves out the others.
+    """
+    docs = windows.join(numbers.select("transcript_id"), "transcript_id", "left_semi").withColumn("doc_id", F.concat_ws("-", "transcript_id", "win"))
+    docs = materialised(docs)
+    top = tfidf_top(questions, docs, k).where(F.col("score") > min_score)
     placed = top.join(docs.select("doc_id", "transcript_id", "start_s", "text"), "doc_id").join(numbers.select("transcript_id", "lecture_no", "label"), "transcript_id")
     order = Window.partitionBy("query_id").orderBy("lecture_no", "start_s", "doc_id")
     return placed.withColumn("place", F.row_number().over(order)).select("query_id", "place", "label", "transcript_id", "start_s", "text", "score")
@@ -108,10 +163,26 @@ def phrase_hits(postings: DataFrame, phrases: DataFrame) -> DataFrame:
 
 
 def phrase_search(postings: DataFrame, phrases: DataFrame, limit: int = 50) -> DataFrame:
-    """Documents that hold a phrase, by BM25 of the phrase as one term; ``place`` is the first place."""
+    """Documents that hold a phrase, by BM25 of the phrase as one term; ``place`` is the first place. For an index that is there."""
     sizes = postings.groupBy("doc_id").agg(F.count(F.lit(1)).alias("dl"))
     totals = sizes.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))
-    tf = phrase_hits(postings, phrases).groupBy("query_id", "doc_id").agg(F.count(F.lit(1)).alias("tf"), F.min("place").alias("place"))
+    return _ranked(phrase_hits(postings, phrases), sizes, totals, limit)
+
+
+def search_phrases(docs: DataFrame, phrases: DataFrame, limit: int = 50) -> DataFrame:
+    """The same over documents without an index: one pass counts their words, one keeps the places of the phrases' words."""
+    tokens = phrases.select(F.explode(folded_words(F.col("text"))).alias("token")).distinct()
+    words = folded_words(F.col("text"))
+    sized = docs.select("doc_id", F.size(words).alias("dl")).where("dl > 0")
+    totals = sized.groupBy("doc_id").agg(F.sum("dl").alias("dl")).agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))
+    postings = materialised(build_postings(docs).join(tokens, "token", "left_semi"))
+    hits = materialised(phrase_hits(postings, phrases))
+    sizes = docs.join(hits.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", F.size(words).alias("dl")).groupBy("doc_id").agg(F.sum("dl").alias("dl"))
+    return _ranked(hits, sizes, totals, limit)
+
+
+def _ranked(hits: DataFrame, sizes: DataFrame, totals: DataFrame, limit: int) -> DataFrame:
+    tf = hits.groupBy("query_id", "doc_id").agg(F.count(F.lit(1)).alias("tf"), F.min("place").alias("place"))
     df = tf.groupBy("query_id").agg(F.count(F.lit(1)).alias("df"))
     joined = tf.join(df, "query_id").join(sizes, "doc_id").crossJoin(F.broadcast(totals))  # one row of totals
     idf = F.greatest(F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
@@ -121,11 +192,21 @@ def phrase_search(postings: DataFrame, phrases: DataFrame, limit: int = 50) -> D
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
 
 
-def snippet(hits: DataFrame, docs: DataFrame, size: int = 12) -> DataFrame:
-    """``size`` words around the first hit (columns query_id, doc_id, place)."""
+def snippet(hits: DataFrame, docs: DataFrame, phrases: DataFrame, size: int = 12) -> DataFrame:
+    """``size`` words around the first hit (columns query_id, doc_id, place), the phrase in [[ ]], a dot line where words are left out.
+
+    A phrase that is longer than the window is marked up to its end.
+    """
+    words, at = F.col("__words"), F.col("place") + 1  # places count from 0, slices from 1
     start = F.greatest(F.col("place") - (size // 2 - 1), F.lit(1))
-    words = F.slice(folded_words(F.col("text")), start, F.lit(size))
-    return hits.join(docs.select("doc_id", "text"), "doc_id").select("query_id", "doc_id", F.array_join(words, " ").alias("snippet"))
+    end = start + size  # the first word behind the window
+    some = lambda lo, n: F.array_join(F.slice(words, lo, F.greatest(n, F.lit(0))), " ")
+    hit = F.concat(F.lit("[["), some(at, F.least("__n", end - at)), F.lit("]]"))
+    parts = [F.nullif(some(start, at - start), F.lit("")), hit, F.nullif(some(at + F.col("__n"), end - at - F.col("__n")), F.lit(""))]
+    text = F.concat(F.when(start > 1, "…").otherwise(""), F.concat_ws(" ", *parts), F.when(F.size(words) >= end, "…").otherwise(""))
+    n = phrases.select("query_id", F.size(folded_words(F.col("text"))).alias("__n"))
+    met = hits.join(n, "query_id").join(docs.select("doc_id", folded_words(F.col("text")).alias("__words")), "doc_id")
+    return met.select("query_id", "doc_id", text.alias("snippet"))
 
 
 def hit_time(segments: DataFrame, needle: str) -> DataFrame:
@@ -134,9 +215,39 @@ def hit_time(segments: DataFrame, needle: str) -> DataFrame:
     return found.groupBy("project_id", "transcript_id").agg(F.min_by("start_s", "idx").alias("start_s"))
 
 
+def newest_summaries(summaries: DataFrame) -> DataFrame:
+    last = F.struct("id", "title", "created_at")
+    return summaries.groupBy("transcript_id").agg(F.max_by(last, last).alias("s")).select("transcript_id", "s.*")
+
+
 def search_summaries(summaries: DataFrame, needle: str, limit: int = 30) -> DataFrame:
     """Lectures whose newest summary holds the needle, accents and case aside, newest first."""
-    newest = summaries.groupBy("transcript_id").agg(F.max_by(F.struct("id", "title", "created_at"), F.struct("id", "title", "created_at")).alias("s")).select("transcript_id", "s.*")
     at = F.instr(fold(F.col("title")), needle)
-    hit = newest.where(at > 0).withColumn("snippet", F.substring(F.regexp_replace("title", "[#*`>]", ""), F.greatest(at - 80, F.lit(1)), F.lit(200)))
+    snip = F.substring(F.regexp_replace("title", "[#*`>]", ""), F.greatest(at - 80, F.lit(1)), F.lit(200))
+    hit = newest_summaries(summaries).where(at > 0).withColumn("snippet", snip)
     return hit.orderBy(F.desc("created_at"), F.desc("id")).limit(limit).select("transcript_id", "id", "snippet")
+
+
+def search(docs: DataFrame, segments: DataFrame, summaries: DataFrame, phrases: DataFrame, limit: int = 10, most_summaries: int = 30) -> DataFrame:
+    """Everything that a search finds: query_id, kind, ref_id, score, at, snippet.
+
+    Documents by BM25 with a snippet; lectures where the phrase is said, ``at`` the start of the first such segment; newest
+    summaries whose title has the phrase word by word, newest first up to ``most_summaries``.
+    """
+    columns = ["query_id", "kind", "ref_id", "score", "at", "snippet"]
+    found = materialised(search_phrases(docs, phrases, limit))
+    shown = found.join(snippet(found, docs, phrases), ["query_id", "doc_id"]).select("query_id", F.lit("document").alias("kind"), F.col("doc_id").alias("ref_id"), "score", F.lit(None).cast("double").alias("at"), "snippet")
+    tokens = phrases.select(F.explode(folded_words(F.col("text"))).alias("token")).distinct()
+
+    def places(table: DataFrame) -> DataFrame:
+        return phrase_hits(materialised(build_postings(table).join(tokens, "token", "left_semi")), phrases)
+
+    said = places(segments.select(F.struct("transcript_id", "idx", "start_s").alias("doc_id"), "text"))
+    first = said.groupBy("query_id", "doc_id.transcript_id").agg(F.min_by("doc_id.start_s", "doc_id.idx").alias("at"))
+    told = first.select("query_id", F.lit("lecture").alias("kind"), F.col("transcript_id").alias("ref_id"), F.lit(0.0).alias("score"), "at", F.lit(None).cast("string").alias("snippet"))
+    newest = newest_summaries(summaries)
+    titled = places(newest.select(F.struct("created_at", "id", "transcript_id", "title").alias("doc_id"), F.col("title").alias("text"))).select("query_id", "doc_id").distinct()
+    w = Window.partitionBy("query_id").orderBy(F.desc("doc_id.created_at"), F.desc("doc_id.id"))
+    titled = titled.withColumn("n", F.row_number().over(w)).where(F.col("n") <= most_summaries)
+    named = titled.select("query_id", F.lit("summary").alias("kind"), F.col("doc_id.transcript_id").alias("ref_id"), F.lit(0.0).alias("score"), F.lit(None).cast("double").alias("at"), F.col("doc_id.title").alias("snippet"))
+    return shown.select(*columns).unionByName(told.select(*columns)).unionByName(named.select(*columns))

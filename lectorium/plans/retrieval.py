@@ -48,9 +48,11 @@ def _(v):
     return op.document_frequency(v["slide_pages"], "project_id", "doc_id")
 
 
-@query("tfidf_rank", f"WITH {rank_sql(QUERIES, 'SELECT project_id, doc_id, text FROM slide_pages')} SELECT * FROM ranked")
+@query("tfidf_rank", f"""WITH {rank_sql(QUERIES, 'SELECT project_id, doc_id, text FROM slide_pages')}
+SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM ranked QUALIFY rank <= 50""")
 def _(v):
-    return op.tfidf_rank(queries(v), v["slide_pages"])
+    """The 50 best of each query; the operator of the same name scores all pairs."""
+    return op.tfidf_top(queries(v), v["slide_pages"], 50)
 
 
 @query("lexical_pages", f"""WITH {rank_sql(QUERIES, "SELECT project_id, doc_id, text FROM slide_pages WHERE kind = 'slides' AND length(text) >= 40")},
@@ -119,7 +121,7 @@ search AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY scor
 
 
 def searched(v):
-    return op.phrase_search(op.build_postings(v["documents"]), phrases(v))
+    return op.search_phrases(v["documents"], phrases(v))
 
 
 @query("build_postings", f"WITH {POSTINGS} SELECT * FROM postings")
@@ -132,9 +134,17 @@ def _(v):
     return searched(v)
 
 
-@query("snippet", f"WITH {HITS} SELECT query_id, doc_id, array_to_string(list_slice(w, greatest(place - 5, 1), greatest(place - 5, 1) + 11), ' ') AS snippet FROM search JOIN (SELECT doc_id, {WORDS} AS w FROM documents) USING (doc_id) WHERE rank <= 50")
+#: Twelve words from five before the hit on: what stands before it, it, and what follows.
+SHOWN = lambda limit: """cut AS (SELECT query_id, doc_id, w, place + 1 AS hit, n, greatest(place - 5, 1) AS lo FROM search JOIN (SELECT DISTINCT query_id, n FROM ph) USING (query_id)
+  JOIN (SELECT doc_id, %s AS w FROM documents) USING (doc_id) WHERE rank <= %d),
+shown AS (SELECT query_id, doc_id, concat(CASE WHEN lo > 1 THEN '…' ELSE '' END, CASE WHEN hit > lo THEN array_to_string(list_slice(w, lo, hit - 1), ' ') || ' ' ELSE '' END,
+  '[[', array_to_string(list_slice(w, hit, least(hit + n, lo + 12) - 1), ' '), ']]',
+  CASE WHEN hit + n < lo + 12 AND hit + n <= len(w) THEN ' ' || array_to_string(list_slice(w, hit + n, lo + 11), ' ') ELSE '' END, CASE WHEN len(w) >= lo + 12 THEN '…' ELSE '' END) AS snippet FROM cut)""" % (WORDS, limit)
+
+
+@query("snippet", f"WITH {HITS}, {SHOWN(50)} SELECT * FROM shown")
 def _(v):
-    return op.snippet(searched(v), v["documents"])
+    return op.snippet(searched(v), v["documents"], phrases(v))
 
 
 @query("hit_time", "SELECT project_id, transcript_id, arg_min(start_s, idx) AS start_s FROM segments WHERE contains(lower(text), 'tion') GROUP BY ALL")
@@ -151,12 +161,17 @@ def _(v):
     return op.search_summaries(v["summaries"], "lecture 1")
 
 
-@query("search", f"""WITH {HITS} SELECT query_id, 'document' AS kind, doc_id AS ref_id, score FROM search WHERE rank <= 10
-UNION ALL SELECT DISTINCT query_id, 'lecture', transcript_id, 0 FROM (SELECT query_id, transcript_id FROM
-  (SELECT transcript_id, idx, unnest(range(0, len(w))) AS pos, unnest(w) AS token FROM (SELECT transcript_id, idx, {WORDS} AS w FROM segments)) JOIN ph USING (token)
-  GROUP BY query_id, transcript_id, idx, pos - i, n HAVING count(*) = n)""")
+NEEDLES = f"SELECT * FROM ({PHRASES}) UNION ALL SELECT -1, 'Lecture 12' UNION ALL SELECT -2, 'course 3'"
+
+
+@query("search", f"""WITH {HITS.replace(PHRASES, NEEDLES)}, {SHOWN(10)}, newest AS (SELECT transcript_id, arg_max({{'id': id, 'title': title, 'created_at': created_at}}, (id, title, created_at)) AS s FROM summaries GROUP BY 1),
+said AS (SELECT query_id, transcript_id, idx, start_s FROM (SELECT transcript_id, idx, start_s, unnest(range(0, len(w))) AS pos, unnest(w) AS token FROM (SELECT transcript_id, idx, start_s, {WORDS} AS w FROM segments))
+  JOIN ph USING (token) GROUP BY query_id, transcript_id, idx, start_s, pos - i, n HAVING count(*) = n),
+titled AS (SELECT DISTINCT query_id, transcript_id, s FROM (SELECT transcript_id, s, unnest(range(0, len(w))) AS pos, unnest(w) AS token FROM (SELECT transcript_id, s, {WORDS.replace("text", "s.title")} AS w FROM newest))
+  JOIN ph USING (token) GROUP BY query_id, transcript_id, s, pos - i, n HAVING count(*) = n)
+SELECT query_id, 'document' AS kind, doc_id AS ref_id, score, CAST(NULL AS DOUBLE) AS at, snippet FROM search JOIN shown USING (query_id, doc_id) WHERE rank <= 10
+UNION ALL SELECT query_id, 'lecture', transcript_id, 0, arg_min(start_s, idx), NULL FROM said GROUP BY query_id, transcript_id
+UNION ALL SELECT query_id, 'summary', transcript_id, 0, NULL, s.title FROM titled QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY s.created_at DESC, s.id DESC) <= 30""")
 def _(v):
-    docs = searched(v).where("rank <= 10").select("query_id", F.lit("document").alias("kind"), F.col("doc_id").alias("ref_id"), "score")
-    said = op.build_postings(v["segments"].select(F.struct("transcript_id", "idx").alias("doc_id"), "text"))
-    told = op.phrase_hits(said, phrases(v)).select("query_id", F.lit("lecture").alias("kind"), F.col("doc_id.transcript_id").alias("ref_id"), F.lit(0.0).alias("score"))
-    return docs.union(told.distinct())
+    needles = phrases(v).union(v.spark.sql("select -1L, 'Lecture 12' union all select -2L, 'course 3'"))
+    return op.search(v["documents"], v["segments"], v["summaries"], needles)

@@ -6,7 +6,6 @@ read again, state and written rows stay. Without one a new folder is made in the
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -19,6 +18,7 @@ from ..functions.text import job_eta, job_progress, job_speed
 from ..operators import upkeep
 from ..operators.matching import match_pages
 from ..operators.search import build_postings
+from ..sources.folders import shared_base
 from ..sources.snapshots import BucketTable, Snapshots
 
 #: The state store that arbitrary state and timers need.
@@ -26,14 +26,7 @@ ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvide
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder in the shared place that the cluster names for checkpoints; a temporary one only on a single machine."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        master = spark.sparkContext.master
-        if master != "local" and not master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
-        base = tempfile.mkdtemp(prefix="lectorium-stream-")
-    return f"{base}/{name}-{uuid.uuid4()}"
+    return f"{shared_base(spark)}/{name}-{uuid.uuid4()}"
 
 
 def arriving(spark: SparkSession, path: str, files: int = 4) -> DataFrame:
