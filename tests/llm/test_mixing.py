@@ -64,3 +64,38 @@ def test_large_rates(documents, rate):
     mean = sum(got.values()) / n
     assert abs(mean - rate) < 5 * math.sqrt(rate / n)
     assert 0.3 * rate < sum((k - mean) ** 2 for k in got.values()) / (n - 1) < 2.5 * rate
+
+
+@pytest.mark.parametrize("unit", [1.0, 4e-7, 1e-300, 1e12])
+def test_weights_of_any_size(documents, unit):
+    """Equal shares at any scale, and shares of three to one."""
+    docs = documents(["x"] * 2000, ["a", "b"] * 1000)
+    for a, b in ((1, 1), (3, 1)):
+        rates = {r.source: r.rate for r in mixing.repetition_rates(docs, weights={"a": a * unit, "b": b * unit}).collect()}
+        assert rates == {"a": pytest.approx(2 * a / (a + b), rel=1e-12), "b": pytest.approx(2 * b / (a + b), rel=1e-12)}
+    assert abs(mixing.mix(docs, weights={"a": unit, "b": unit}).count() - 2000) < 200
+
+
+def test_a_small_source_is_not_dropped(documents):
+    docs = documents(["x"] * 3000, ["a"] * 1000 + ["b"] * 1000 + ["c"] * 1000)
+    rates = {r.source: r.rate for r in mixing.repetition_rates(docs, weights={"a": 1.0, "b": 4e-7, "c": 1e-9}).collect()}
+    assert rates["b"] == pytest.approx(3 * 4e-7, rel=1e-6) and rates["c"] == pytest.approx(3 * 1e-9, rel=1e-6)
+    # a million epochs later the smallest has its thousand times three copies
+    got = {r.source: r["count"] for r in mixing.mix(docs.where("source <> 'a'"), weights={"b": 4e-7, "c": 1e-9}, epochs=20.0).groupBy("source").count().collect()}
+    assert abs(got["c"] - 40_000 / 401) < 50 and got["b"] > 35_000
+
+
+def test_rows_without_an_id_are_dealt_apart(documents):
+    out = mixing.mix(documents([(None, f"text {i}") for i in range(1000)], ["a"] * 1000)).collect()
+    kept, keys = {r.text for r in out}, {r.shuffle_key for r in out}
+    assert 550 < len(kept) < 710 and len(keys) == len(out)  # 1 - 1/e of them, each in a place of its own
+
+
+def test_sql_draws_rows_without_an_id_alike(spark, documents):
+    import duckdb
+
+    docs = documents([(None if i % 2 else i, None if i % 5 == 0 else f"text {i}") for i in range(200)], [None if i % 3 == 0 else "ab"[i % 2] for i in range(200)])
+    con = duckdb.connect()
+    con.register("documents", docs.toArrow())
+    got = sorted(map(str, (tuple(r[c] for c in ("doc_id", "source", "lang", "text", "copy", "shuffle_key")) for r in mixing.mixing_query(docs).collect())))
+    assert got == sorted(map(str, con.execute(f"SELECT doc_id, source, lang, text, copy, shuffle_key FROM ({mixing.SQL})").fetchall()))
