@@ -117,10 +117,10 @@ rates AS (SELECT *, CAST(greatest(1, ceil(rate / 500)) AS BIGINT) AS parts
 pmf AS (SELECT source, k, exp(-mean + k * ln(mean) - lgamma(k + 1)) AS p
   FROM (SELECT source, rate / parts AS mean, unnest(range(0, CAST(ceil(rate / parts + 10 * sqrt(rate / parts) + 25) AS BIGINT) + 1)) AS k FROM rates WHERE rate > 0)),
 steps AS (SELECT source, k, sum(p) OVER (PARTITION BY source ORDER BY k) AS c FROM pmf),
-named AS (SELECT *, coalesce(CAST(doc_id AS VARCHAR), 'row ' || md5(concat_ws(chr(31), chr(0), coalesce(source, chr(0)), coalesce(lang, chr(0)), coalesce(text, chr(0))))) AS name FROM documents),
-tries AS (SELECT doc_id, d.source, lang, text, rate, name, unnest(range(1, parts + 1)) AS i
+named AS (SELECT *, row_number() OVER () AS r, coalesce(CAST(doc_id AS VARCHAR), 'row ' || md5(concat_ws(chr(31), chr(0), coalesce(source, chr(0)), coalesce(lang, chr(0)), coalesce(text, chr(0))))) AS name FROM documents),
+tries AS (SELECT r.rate, d.r, doc_id, d.source, lang, text, name, unnest(range(1, parts + 1)) AS i
   FROM named d JOIN rates r ON d.source IS NOT DISTINCT FROM r.source),
-drawn AS (SELECT doc_id, t.source, lang, text, rate, name, count(*) AS n FROM tries t JOIN steps s ON t.source IS NOT DISTINCT FROM s.source
+drawn AS (SELECT r, doc_id, t.source, lang, text, rate, name, count(*) AS n FROM tries t JOIN steps s ON t.source IS NOT DISTINCT FROM s.source
     AND s.c <= CAST(concat('0x', substr(md5(CASE WHEN i = 1 THEN concat_ws(':', 'mix-1', name) ELSE concat_ws(':', 'mix-1', 'draw', CAST(i AS VARCHAR), name) END), 1, 13)) AS BIGINT) / 4503599627370496.0
   GROUP BY ALL),
 copies AS (SELECT doc_id, source, lang, text, rate, name, unnest(range(1, n + 1)) AS copy FROM drawn)
