@@ -15,8 +15,14 @@ PLAIN = "aaaaaaceeeeiiiinoooooouuuuyy"
 #: Fixed value: what counts as a token of a query.
 TOKEN = "[a-zà-ÿ0-9]{3,}"
 WORD = r"[\p{L}\p{N}]+"
-#: Typographic marks and their plain forms, in order.
-TYPOGRAPHIC, TYPED = "‘’‚“”„–—‑", "'''\"\"\"---"
+#: Typographic signs and the plain ones that they count as.
+SIGNS = {
+    "\u2010": "-", "\u2011": "-", "\u2012": "-", "\u2013": "-", "\u2014": "-", "\u2212": "-",
+    "\u2018": "'", "\u2019": "'", "\u2032": "'", "\u00b4": "'", "\u0060": "'",
+    "\u201c": '"', "\u201d": '"', "\u00ab": '"', "\u00bb": '"',
+}
+#: White space, beyond ASCII too, as the inside of a character class.
+SPACES = r"\t-\r\x1c-\x20\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 #: Keys under which a model returns a whole document, in order.
 DOCUMENT_KEYS = ["markdown", "documento", "document", "notes", "appunti", "text", "testo"]
@@ -43,7 +49,7 @@ def normalize_ws(text: Column) -> Column:
 
 def normalize_match(text: Column) -> Column:
     """One form for comparing: plain quotes and dashes, single spaces."""
-    return normalize_ws(F.translate(text, TYPOGRAPHIC, TYPED))
+    return F.trim(F.regexp_replace(F.translate(text, "".join(SIGNS), "".join(SIGNS.values())), f"[{SPACES}]+", " "))
 
 
 @F.pandas_udf(StringType())

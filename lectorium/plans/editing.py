@@ -9,6 +9,7 @@ from ..operators import cards as c
 from ..operators import edits as e
 from ..operators import joins, listings
 from ..operators import upkeep as u
+from ..operators.needles import locate_needles
 from ..registry import query
 from .listings import LINKED, NUMBERS, linked
 
@@ -31,12 +32,14 @@ def _(v):
     return occurrences(v).withColumnRenamed("end", "stop")
 
 
-TYPED = t.TYPED.replace("'", "''")
+#: The signs that count as plain ones, as SQL writes them.
+PLAIN = "translate(%s, '‐‑‒–—−‘’′´`“”«»', '------' || repeat(chr(39), 5) || '\"\"\"\"')"
+SIGNED = "concat('«', p_name, '»  −  ', p_brand, '’s ', p_size, '′ ‐‑', ' `', p_type, '´ “x” – ‘y’—z‒ ')"
 
 
-@query("normalize_match", rf"SELECT p_partkey, trim(regexp_replace(translate(concat('“', p_name, '”  –  ', p_brand, '’s'), '{t.TYPOGRAPHIC}', '{TYPED}'), '\s+', ' ', 'g')) AS norm FROM part")
+@query("normalize_match", rf"SELECT p_partkey, trim(regexp_replace({PLAIN % SIGNED}, '\s+', ' ', 'g')) AS norm FROM part")
 def _(v):
-    return v["part"].select("p_partkey", t.normalize_match(F.concat(F.lit("“"), "p_name", F.lit("”  –  "), "p_brand", F.lit("’s"))).alias("norm"))
+    return v["part"].select("p_partkey", t.normalize_match(F.expr(SIGNED)).alias("norm"))
 
 
 PROPOSED = "(SELECT project_id, rule_id, find, repl FROM (%s) UNION ALL SELECT project_id, rule_id + 100, find, repl FROM (%s) WHERE rule_id <= 2 UNION ALL SELECT project_id, 200, 'zzz', 'y' FROM (%s) WHERE rule_id = 1)" % (RULES, RULES, RULES)
@@ -102,6 +105,20 @@ def _(v):
     return e.locate_across_segments(v["segments"], "the th")
 
 
+NEEDLES = "SELECT * FROM (VALUES (1, 'the'), (2, 'and the'), (3, 'que'), (4, 'of the'), (5, 'a')) AS n(needle_id, find)"
+
+
+@query("locate_needles", rf"""WITH p AS (SELECT transcript_id, idx, trim(regexp_replace(text, '\s+', ' ', 'g')) AS text FROM segments),
+q AS (SELECT *, CAST(coalesce(sum(length(text) + 1) OVER (PARTITION BY transcript_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS lo FROM p WHERE text <> ''),
+j AS (SELECT transcript_id, string_agg(text, ' ' ORDER BY idx) AS t FROM q GROUP BY 1),
+h AS (SELECT needle_id, transcript_id, i - 1 AS a, i - 1 + length(find) AS b FROM (SELECT *, unnest(range(1, length(t) + 1)) AS i FROM j), ({NEEDLES})
+  WHERE substr(t, i, length(find)) = find AND NOT (i > 1 AND regexp_matches(substr(t, i - 1, 1), '{AL}')) AND NOT regexp_matches(substr(t, i + length(find), 1), '{AL}'))
+SELECT needle_id, h.transcript_id, x.idx AS first_idx, a - x.lo AS first_at, y.idx AS last_idx, b - y.lo AS last_at FROM h
+JOIN q x ON x.transcript_id = h.transcript_id AND a >= x.lo AND a < x.lo + length(x.text) JOIN q y ON y.transcript_id = h.transcript_id AND b > y.lo AND b <= y.lo + length(y.text)""")
+def _(v):
+    return locate_needles(v["segments"], v.spark.sql(NEEDLES))
+
+
 KEY = "trim(regexp_replace(strip_accents(lower(trim(front))), '[^a-z0-9]+', ' ', 'g'))"
 FORMULAS = r"list_transform(regexp_extract_all(concat_ws(' ', front, back), '\$([^$\n]{1,200})\$', 1), lambda x: regexp_replace(x, '\s+', '', 'g'))"
 PARTS = r"regexp_extract_all(front, '(?s)\{\{c\d::(.+?)\}\}', 1)"
