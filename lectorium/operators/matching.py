@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.arrays import dot, unit
+from ..sources.folders import materialised
+from .joins import stale_vectors
+from .upkeep import refresh_auto_links
 
 PAGE = ["deck", "page_no"]
 
@@ -19,33 +22,38 @@ def nearest_lecture_join(pages: DataFrame, lectures: DataFrame) -> DataFrame:
     return a.join(b, "project_id").select("project_id", *PAGE, "transcript_id", dot(F.col("__page"), F.col("__lecture")).alias("score"))
 
 
-def top_lectures(pages: DataFrame, lectures: DataFrame, k: int, block: int = 4096) -> DataFrame:
+def top_lectures(pages: DataFrame, lectures: DataFrame, k: int, block: int = 2048, tile: int = 2048) -> DataFrame:
     """The k best lectures of every page of its course: project_id, page, transcript_id, score, rank; ties to the smaller id.
 
-    Pages lie in blocks, each of which meets all lectures of the course in one task as a product of two matrices; no
-    pair of a page and a lecture becomes a row unless it is among the best. Vectors that are null or zero take no part.
+    The pages of a course lie in blocks and its lectures in tiles, as many of each as their numbers ask for. A block and a
+    tile meet in one task as a product of two matrices that gives each page's k best of the tile; the best of all tiles
+    are ranked. No other pair of a page and a lecture becomes a row. Vectors that are null or zero take no part.
     """
     usable = lambda df: df.where(F.col("project_id").isNotNull() & F.exists("vec", lambda x: x != 0))
-    blocks = max(1, -(-pages.count() // block))
+    dealt = lambda df, size, name: df.groupBy("project_id").agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias(name))
+    sizes = dealt(pages, block, "blocks").join(dealt(lectures, tile, "tiles"), "project_id")  # courses that have both
+    own = lambda n, *key: F.pmod(F.xxhash64(*key), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     vec = F.col("vec").cast("array<double>").alias("vec")
-    a = usable(pages).select("project_id", *PAGE, vec, F.pmod(F.xxhash64(*PAGE), F.lit(blocks)).alias("block"))
-    b = usable(lectures).select("project_id", "transcript_id", vec, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"))
+    a = usable(pages).join(sizes, "project_id").select("project_id", *PAGE, vec, own("blocks", *PAGE).alias("block"), every("tiles").alias("tile"))
+    b = usable(lectures).join(sizes, "project_id").select("project_id", "transcript_id", vec, own("tiles", "transcript_id").alias("tile"), every("blocks").alias("block"))
 
-    def best(own: pa.Table, others: pa.Table) -> pa.Table:
+    def best(mine: pa.Table, others: pa.Table) -> pa.Table:
         others = others.sort_by("transcript_id")
-        x, y = (_units(t["vec"]) for t in (own, others))
+        x, y = (_units(t["vec"]) for t in (mine, others))
         many = min(k, len(y)) if len(x) else 0
         scores = x @ y.T if many else np.zeros((0, 0))
         first = np.argsort(-scores, axis=1, kind="stable")[:, :many]
         rows = pa.array(np.repeat(np.arange(len(scores)), many))
-        out = own.select(["project_id", *PAGE]).take(rows)
         ids = others["transcript_id"].take(pa.array(first.ravel()))
-        ranks = np.tile(np.arange(1, many + 1, dtype=np.int32), len(scores))
-        return out.append_column("transcript_id", ids).append_column("score", pa.array(np.take_along_axis(scores, first, 1).ravel())).append_column("rank", pa.array(ranks))
+        found = mine.select(["project_id", *PAGE]).take(rows).append_column("transcript_id", ids)
+        return found.append_column("score", pa.array(np.take_along_axis(scores, first, 1).ravel()))
 
     kinds = {**{c: a.schema[c] for c in ("project_id", *PAGE)}, "transcript_id": b.schema["transcript_id"]}
-    schema = ", ".join(f"{c} {f.dataType.simpleString()}" for c, f in kinds.items()) + ", score double, rank int"
-    return a.groupBy("project_id", "block").cogroup(b.groupBy("project_id", "block")).applyInArrow(best, schema)
+    schema = ", ".join(f"{c} {f.dataType.simpleString()}" for c, f in kinds.items()) + ", score double"
+    key = ["project_id", "block", "tile"]
+    met = a.groupBy(*key).cogroup(b.groupBy(*key)).applyInArrow(best, schema)
+    return vector_topk(met, k)
 
 
 def _units(column: pa.ChunkedArray) -> np.ndarray:
@@ -144,3 +152,20 @@ def match_pages(pages: DataFrame, lectures: DataFrame, threshold: float = 0.60,
     """From vectors to the ranges of pages that belong to a lecture."""
     best = best_page_match(top_lectures(pages, lectures, 2), pages, threshold, margin)
     return page_ranges(smooth_runs(best, min_run, threshold))
+
+
+def match_project(
+    pages: DataFrame, lectures: DataFrame, texts: DataFrame, decks: DataFrame, current: DataFrame, threshold: float = 0.60, margin: float = 0.02, min_run: int = 3
+) -> DataFrame:
+    """The links of all courses after their slide decks have been matched: the columns of ``current``.
+
+    Decks that are no slides, exams for one, are not matched and keep the links that they have. A page (project_id, deck,
+    page_no, ref_id, source_sha, vec) whose vector is not of the text in ``texts`` (ref_id, text) would answer for an older
+    one: it is matched like a page without a vector, so only its neighbours can place it. Confirmed links stay.
+    """
+    slides = decks.where("kind = 'slides'").select("deck")
+    mine = materialised(pages.join(slides, "deck", "left_semi"))
+    old = stale_vectors(texts, mine.select("ref_id", "source_sha")).select("ref_id").distinct().withColumn("__old", F.lit(True))
+    known = mine.join(old, "ref_id", "left").withColumn("vec", F.when(F.col("__old").isNull(), F.col("vec")))
+    fresh = match_pages(known.select("project_id", *PAGE, "vec"), lectures, threshold, margin, min_run)
+    return refresh_auto_links(current, fresh.withColumn("link_source", F.lit("auto")), slides)

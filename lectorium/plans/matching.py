@@ -26,8 +26,7 @@ def runs_sql(source: str, name: str) -> str:
     floor((2 * sum(CAST(round(score * 10000) AS BIGINT)) + count(score)) / (2.0 * count(score))) / 10000.0 AS score, count(*) AS n_pages, max(score) AS top_score FROM {name}_pages GROUP BY deck, run)"""
 
 
-SMOOTH = f"""{BEST},
-{runs_sql("best", "r")},
+SMOOTHED = f"""{runs_sql("best", "r")},
 near AS (SELECT *, last_value(transcript_id IGNORE NULLS) OVER (PARTITION BY deck ORDER BY run ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS lft,
     first_value(transcript_id IGNORE NULLS) OVER (PARTITION BY deck ORDER BY run ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS rgt,
     lag(transcript_id) OVER (PARTITION BY deck ORDER BY run) AS prv, lead(transcript_id) OVER (PARTITION BY deck ORDER BY run) AS nx FROM r),
@@ -39,6 +38,7 @@ target AS (SELECT deck, run, score AS mean, transcript_id AS old, CASE
     ELSE transcript_id END AS target FROM near),
 smoothed AS (SELECT p.deck, p.page_no, t.target AS transcript_id,
     CASE WHEN t.target IS DISTINCT FROM t.old THEN t.mean ELSE p.score END AS score FROM r_pages p JOIN target t USING (deck, run))"""
+SMOOTH = f"{BEST},\n{SMOOTHED}"
 RANGES = f"{SMOOTH},\n{runs_sql('smoothed', 's')}"
 
 
@@ -85,6 +85,27 @@ def _(v):
     return m.page_ranges(best(v))
 
 
-@query("match_pages", f"WITH {RANGES} SELECT deck, page_from, page_to, transcript_id, score FROM s WHERE transcript_id IS NOT NULL")
+#: Deck 4 is an exam; every seventh vector is of an older text; each deck has a confirmed and an automatic link.
+DECKS = "SELECT DISTINCT deck, CASE WHEN deck % 5 = 4 THEN 'exam' ELSE 'slides' END AS kind FROM page_vectors"
+LINKS = """SELECT deck, page_from, page_to, transcript_id, score, link_source FROM (SELECT DISTINCT deck FROM page_vectors)
+CROSS JOIN (VALUES (CAST(1 AS BIGINT), CAST(3 AS BIGINT), CAST(0 AS BIGINT), CAST(0.5 AS DOUBLE), 'manual'), (4, 6, 1, 0.6, 'auto')) AS t(page_from, page_to, transcript_id, score, link_source)"""
+STALE = "doc_id % 7 = 0 AND length(text) >= 40"
+
+
+@query("match_pages", f"""WITH decks AS ({DECKS}), links AS ({LINKS}),
+mine AS (SELECT * FROM page_vectors WHERE deck IN (SELECT deck FROM decks WHERE kind = 'slides')),
+stale AS (SELECT doc_id AS vec_id FROM documents WHERE {STALE}),
+known AS (SELECT * FROM mine WHERE vec_id NOT IN (SELECT vec_id FROM stale)),
+{BEST.replace("page_vectors", "known").replace("best AS", "found AS")},
+best AS (SELECT * FROM found UNION ALL SELECT deck, page_no, NULL, 0.0 FROM mine WHERE vec_id IN (SELECT vec_id FROM stale)),
+{SMOOTHED}, {runs_sql("smoothed", "s")},
+fresh AS (SELECT deck, page_from, page_to, transcript_id, score, 'auto' AS link_source FROM s WHERE transcript_id IS NOT NULL)
+SELECT * FROM links WHERE link_source = 'manual' OR deck IN (SELECT deck FROM decks WHERE kind = 'exam')
+UNION ALL SELECT * FROM fresh f WHERE NOT EXISTS (SELECT 1 FROM links l WHERE link_source = 'manual' AND l.deck = f.deck AND l.page_from = f.page_from AND l.page_to = f.page_to)""")
 def _(v):
-    return m.match_pages(v["page_vectors"], v["course_lecture_vectors"], THRESHOLD, MARGIN)
+    spark, pages = v.spark, v["page_vectors"]
+    sha = "substring(sha2(case when %s then concat('old ', text) else text end, 256), 1, 16) as source_sha"
+    stored = v["documents"].selectExpr("doc_id as ref_id", sha % STALE)
+    given = pages.withColumnRenamed("vec_id", "ref_id").join(stored, "ref_id", "left")
+    decks, links = spark.sql(DECKS.replace("page_vectors", "{p}"), p=pages), spark.sql(LINKS.replace("page_vectors", "{p}"), p=pages)
+    return m.match_project(given, v["course_lecture_vectors"], v["documents"].selectExpr("doc_id as ref_id", "text"), decks, links, THRESHOLD, MARGIN)
