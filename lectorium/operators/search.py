@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import fold, folded_words, tokenize
 from ..sources.folders import materialised
+from .packing import pack
 
 K1, B = 1.2, 0.75
 #: Scores are given to six digits, so bounds within this of a score to beat still count.
@@ -103,26 +104,16 @@ def lexical_pages(queries: DataFrame, pages: DataFrame, limit: int = 12, min_sco
 def transcript_windows(segments: DataFrame, chars: int = 1000) -> DataFrame:
     """Consecutive segments of a lecture, gathered until they hold ``chars`` characters; then a new window begins.
 
-    The cut depends on the one before, so the segments of one lecture are folded in order.
+    A last window without a word is left out.
     """
-    ordered = segments.groupBy("project_id", "transcript_id").agg(F.sort_array(F.collect_list(F.struct("idx", "start_s", "text"))).alias("s"))
-    item = "struct<start_s:double,text:string>"
-    empty = F.struct(F.array().cast(f"array<{item}>").alias("done"), F.lit("").alias("text"), F.lit(None).cast("double").alias("start_s"))
-
-    def step(a: Column, x: Column) -> Column:
-        text = F.concat(a["text"], F.lit(" "), F.coalesce(x["text"], F.lit("")))
-        start = F.coalesce(a["start_s"], x["start_s"])
-        full = F.length(text) >= chars
-        done = F.when(full, F.concat(a["done"], F.array(F.struct(start.alias("start_s"), text.alias("text"))))).otherwise(a["done"])
-        return F.struct(done.alias("done"), F.when(full, F.lit("")).otherwise(text).alias("text"), F.when(~full, start).alias("start_s"))
-
-    def finish(a: Column) -> Column:
-        tail = F.array(F.struct(a["start_s"].alias("start_s"), a["text"].alias("text")))
-        return F.when(F.trim(a["text"]) != "", F.concat(a["done"], tail)).otherwise(a["done"])
-
-    folded = ordered.select("project_id", "transcript_id", F.aggregate("s", empty, step, finish).alias("w"))
-    out = folded.select("project_id", "transcript_id", F.posexplode("w").alias("win", "w"))
-    return out.select("project_id", "transcript_id", "win", "w.start_s", F.trim("w.text").alias("text"))
+    length = F.length(F.coalesce("text", F.lit(""))) + 1
+    packed = pack(segments.select("project_id", "transcript_id", "idx", "start_s", "text"), "transcript_id", "idx", length, chars)
+    said = F.sort_array(F.collect_list(F.struct("idx", F.coalesce("text", F.lit("")).alias("text"))))  # one window's
+    windows = packed.groupBy("project_id", "transcript_id", F.col("pack").alias("win")).agg(
+        F.min_by("start_s", F.when(F.col("start_s").isNotNull(), F.col("idx"))).alias("start_s"), F.array_join(F.transform(said, lambda x: x["text"]), " ").alias("text"), F.sum(length).alias("__n")
+    )
+    full = windows.where((F.trim("text") != "") | (F.col("__n") >= chars))
+    return full.select("project_id", "transcript_id", "win", "start_s", F.trim("text").alias("text"))
 
 
 def ask_passages(questions: DataFrame, windows: DataFrame, numbers: DataFrame, k: int = 8, min_score: float = 0.02) -> DataFrame:

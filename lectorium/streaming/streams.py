@@ -17,6 +17,7 @@ from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 from ..functions.text import job_eta, job_progress, job_speed
 from ..operators import upkeep
 from ..operators.matching import match_pages
+from ..operators.packing import pack
 from ..operators.search import build_postings
 from ..sources.folders import shared_base
 from ..sources.snapshots import BucketTable, Snapshots
@@ -147,14 +148,8 @@ def stream_job_board(events: DataFrame) -> DataFrame:
 
 def flush_chunks(segments: DataFrame, every: float) -> DataFrame:
     """Chunks of a lecture's segments that close when at least ``every`` media seconds have passed since the last close."""
-    ordered = segments.groupBy("transcript_id").agg(F.sort_array(F.collect_list(F.struct("idx", "end_s"))).alias("s"))
-    zero = F.struct(F.lit(0.0).alias("last"), F.lit(0).alias("chunk"), F.array().cast("array<struct<idx:bigint,chunk:int>>").alias("out"))
-    step = lambda a, x: F.struct(
-        F.when(x["end_s"] - a["last"] >= every, x["end_s"]).otherwise(a["last"]).alias("last"),
-        F.when(x["end_s"] - a["last"] >= every, a["chunk"] + 1).otherwise(a["chunk"]).alias("chunk"),
-        F.concat(a["out"], F.array(F.struct(x["idx"].cast("long").alias("idx"), a["chunk"].alias("chunk")))).alias("out"),
-    )
-    return ordered.select("transcript_id", F.explode(F.aggregate("s", zero, step, lambda a: a["out"])).alias("o")).select("transcript_id", "o.*")
+    packed = pack(segments.select("transcript_id", "idx", "end_s"), "transcript_id", "idx", None, every, total="end_s")
+    return packed.select("transcript_id", F.col("idx").cast("long").alias("idx"), F.col("pack").alias("chunk"))
 
 
 class Chunker(StatefulProcessor):
