@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import fmt_ts
+from ..sources.folders import materialised
+from .edits import apply_glossary
 
 STAMP = r"^\s*\[(?:(\d+):)?(\d{1,2}):(\d{2})\]\s*(.*)$"
 
@@ -87,6 +89,26 @@ def retime_segments(lines: DataFrame, previous: DataFrame) -> DataFrame:
     return segment_offsets(timed.withColumn("end_s", end), "transcript_id", "idx").select("transcript_id", "idx", "start_s", "end_s", "text", "ts", "offset")
 
 
+def import_transcripts(files: DataFrame, terms: DataFrame, previous: DataFrame) -> DataFrame:
+    """Segments of files (path, value, project_id, transcript_id) as they are stored: parsed, corrected by the course's
+    automatic terms, timed over what was stored before (transcript_id, idx, start_s, end_s).
+
+    ``revised`` says where a term has changed the text; ``n_applied`` counts the terms that matched.
+    """
+    parsed = scan_timed_text(files.select("path", "value")).join(files.select("path", "project_id", "transcript_id"), "path")
+    raw = parsed.select("project_id", "transcript_id", "idx", "text", F.when(F.col("ts"), F.col("start")).alias("at"))
+    fixed = apply_glossary(raw.select("project_id", "transcript_id", "idx", "text"), terms).select("transcript_id", "idx", F.col("text").alias("new"), "n_applied")
+    lines = materialised(raw.join(fixed, ["transcript_id", "idx"]))
+    stored = retime_segments(lines.select("transcript_id", "idx", F.col("new").alias("text"), "at"), previous)
+    marks = lines.select("project_id", "transcript_id", "idx", (F.col("new") != F.col("text")).alias("revised"), "n_applied")
+    return stored.join(marks, ["transcript_id", "idx"])
+
+
+def revisions(imported: DataFrame) -> DataFrame:
+    """transcript_id, n_applied: a row for each transcript in which a term has matched."""
+    return imported.groupBy("project_id", "transcript_id").agg(F.sum("n_applied").alias("n_applied")).where("n_applied > 0")
+
+
 def resume_filter(segments: DataFrame, offset: float) -> DataFrame:
     return segments.where(F.col("end_s") > offset)
 

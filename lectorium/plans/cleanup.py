@@ -135,8 +135,12 @@ def _(v):
     return timed.time_buckets(v["segments"]).select("transcript_id", "idx", "bucket", "heading")
 
 
-@query("segments_to_markdown", f"""WITH {BUCKETS}, x AS (SELECT *, bucket * 300.0 AS start_s FROM buckets)
-SELECT transcript_id, concat('# Lecture ', transcript_id, chr(10), string_agg(concat(CASE WHEN heading THEN concat('## ', {FMT}, chr(10)) ELSE '' END, text), chr(10) ORDER BY idx)) AS markdown FROM x GROUP BY 1""")
+MARKDOWN = f"""{BUCKETS}, x AS (SELECT *, bucket * 300.0 AS start_s FROM buckets),
+md AS (SELECT transcript_id, concat('# Lecture ', transcript_id, chr(10), string_agg(concat(CASE WHEN heading THEN concat('## ', {FMT}, chr(10)) ELSE '' END, text), chr(10) ORDER BY idx)) AS markdown
+  FROM x GROUP BY 1)"""
+
+
+@query("segments_to_markdown", f"WITH {MARKDOWN} SELECT * FROM md")
 def _(v):
     return timed.segments_to_markdown(v["segments"])
 

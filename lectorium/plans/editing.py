@@ -6,12 +6,14 @@ from pyspark.sql import functions as F
 
 from ..functions import text as t
 from ..operators import cards as c
+from ..operators import contexts
 from ..operators import edits as e
-from ..operators import joins, listings
+from ..operators import joins, listings, timed
 from ..operators import upkeep as u
 from ..operators.needles import locate_needles
 from ..registry import query
-from .listings import LINKED, NUMBERS, linked
+from .cleanup import SCANNED, raw_files
+from .listings import LINKED, NUMBERS, SUMMARISED, linked, summarised
 
 AL = r"[\p{L}\p{N}]"
 RULES = "SELECT id AS rule_id, p.project_id, find, repl, auto FROM terms, (SELECT DISTINCT project_id FROM segments) p"
@@ -92,10 +94,20 @@ def _(v):
     return e.apply_glossary(v["segments"], rules(v).withColumnRenamed("rule_id", "id")).drop("n_applied")
 
 
-@query("import_transcripts", f"SELECT transcript_id, idx, start_s, {glossary_sql('text')} AS text, {glossary_sql('text')} <> text AS revised FROM segments")
+IMPORTED = f"""{SCANNED}, fixed AS (SELECT CAST(path AS BIGINT) AS transcript_id, idx, start, {glossary_sql('text')} AS text, {glossary_sql('text')} <> text AS revised FROM scanned),
+dur AS (SELECT transcript_id, max(end_s) AS duration FROM segments GROUP BY 1),
+x AS (SELECT *, max(start) OVER (PARTITION BY transcript_id ORDER BY idx) AS start_s FROM fixed JOIN dur USING (transcript_id))"""
+
+
+@query("import_transcripts", f"""WITH {IMPORTED} SELECT transcript_id, idx, start_s, coalesce(lead(start_s) OVER w, greatest(duration, start_s)) AS end_s, text, revised,
+  CAST(coalesce(sum(length(text) + 1) OVER (PARTITION BY transcript_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset"
+FROM x WINDOW w AS (PARTITION BY transcript_id ORDER BY idx)""")
 def _(v):
-    done = e.apply_glossary(v["segments"], rules(v).withColumnRenamed("rule_id", "id")).select("transcript_id", "idx", F.col("text").alias("new"))
-    return v["segments"].join(done, ["transcript_id", "idx"]).select("transcript_id", "idx", "start_s", F.col("new").alias("text"), (F.col("new") != F.col("text")).alias("revised"))
+    """Files with times, as they were written, over the segments that are stored."""
+    files = raw_files(v).withColumn("transcript_id", F.col("path").cast("long"))
+    files = files.join(v["lectures"].select("project_id", "transcript_id"), "transcript_id")
+    done = timed.import_transcripts(files, rules(v).withColumnRenamed("rule_id", "id"), v["segments"])
+    return done.select("transcript_id", "idx", "start_s", "end_s", "text", "revised", "offset")
 
 
 @query("locate_across_segments", """WITH j AS (SELECT transcript_id, strpos(string_agg(text, ' ' ORDER BY idx), 'the th') - 1 AS place FROM segments GROUP BY 1),
@@ -217,24 +229,35 @@ def _(v):
     return context_table(v).select("transcript_id", F.length("context").cast("long").alias("chars"), (t.estimate_tokens(F.col("context")) + 1000 * F.least("n_pages", F.lit(3))).alias("tokens"))
 
 
-@query("summary_context_table", """WITH s AS (SELECT l.transcript_id, s.title AS prev, s.id, row_number() OVER (PARTITION BY l.transcript_id ORDER BY s.created_at DESC, s.id DESC) AS rank
-  FROM lectures l JOIN lectures o ON l.project_id = o.project_id AND l.transcript_id <> o.transcript_id JOIN summaries s ON s.transcript_id = o.transcript_id)
-SELECT transcript_id, string_agg(prev, chr(10) ORDER BY rank) AS previous, (SELECT string_agg(concat(find, ' = ', repl), '; ' ORDER BY find) FROM terms WHERE auto = 1) AS glossary FROM s WHERE rank <= 5 GROUP BY 1""")
+def block_sql(body: str) -> str:
+    return f"concat('[', deck, ' p.', page_no, ']', chr(10), {body})"
+
+
+BODY = r"trim(regexp_replace(coalesce(text, ''), '[ \t]+', ' ', 'g'))"
+SLIDES = f"""{LINKED}, mn AS (SELECT *, bool_or(link_source = 'manual') OVER (PARTITION BY transcript_id) AS has FROM linked),
+bl AS (SELECT transcript_id, rank, {block_sql(f"substr({BODY}, 1, 1200)")} AS block FROM mn WHERE (link_source = 'manual' OR NOT has) AND {BODY} <> ''),
+us AS (SELECT *, sum(length(block)) OVER (PARTITION BY transcript_id ORDER BY rank) AS used FROM bl),
+sl AS (SELECT transcript_id, string_agg(block, chr(10) || chr(10) ORDER BY rank) AS slides, count(*) AS n_pages FROM us WHERE used <= 6000 GROUP BY 1)"""
+
+
+@query("summary_context_table", f"""WITH {SLIDES},
+s AS (SELECT l.transcript_id, s.title AS prev, s.id, row_number() OVER (PARTITION BY l.transcript_id ORDER BY s.created_at DESC, s.id DESC) AS rank
+  FROM lectures l JOIN lectures o ON l.project_id = o.project_id AND l.transcript_id <> o.transcript_id JOIN summaries s ON s.transcript_id = o.transcript_id),
+before AS (SELECT transcript_id, string_agg(prev, chr(10) ORDER BY rank) AS previous FROM s WHERE rank <= 5 GROUP BY 1)
+SELECT l.transcript_id, coalesce(n_name, '') AS course, coalesce(previous, '') AS previous, (SELECT string_agg(concat(find, ' = ', repl), '; ' ORDER BY find, id)
+  FROM (SELECT * FROM terms WHERE auto = 1 ORDER BY find, id LIMIT 60)) AS glossary, coalesce(slides, '') AS slides, coalesce(n_pages, 0) AS n_pages
+FROM lectures l LEFT JOIN nation ON n_nationkey = l.project_id LEFT JOIN before USING (transcript_id) LEFT JOIN sl USING (transcript_id)""")
 def _(v):
-    prev = listings.previous_lectures(v["lectures"], v["summaries"])
-    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", "prev_title"))), lambda x: x["prev_title"]), "\n")
-    pairs = F.concat(F.col("find"), F.lit(" = "), F.col("repl"))
-    glossary = v["terms"].where("auto = 1").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("find", pairs.alias("p")))), lambda x: x["p"]), "; ").alias("glossary"))
-    return prev.groupBy("transcript_id").agg(text.alias("previous")).crossJoin(F.broadcast(glossary))  # one row
+    courses = v["nation"].selectExpr("n_nationkey as project_id", "n_name as course_name")
+    return contexts.summary_context(v["lectures"], courses, listings.previous_lectures(v["lectures"], v["summaries"]), v["terms"], linked(v))
 
 
-@query("guide_context_table", """WITH e AS (SELECT project_id, deck, page_no, text, sum(length(text)) OVER (PARTITION BY project_id ORDER BY deck, page_no) AS used FROM slide_pages WHERE kind = 'exam')
-SELECT project_id, string_agg(text, chr(10) ORDER BY deck, page_no) AS exams, count(*) AS n_pages FROM e WHERE used <= 40000 GROUP BY 1""")
+@query("guide_context_table", f"""WITH {SUMMARISED}, b AS (SELECT project_id, deck, page_no, {block_sql(BODY)} AS block FROM slide_pages WHERE kind = 'exam' AND {BODY} <> ''),
+e AS (SELECT *, sum(length(block)) OVER (PARTITION BY project_id ORDER BY deck, page_no) AS used FROM b),
+x AS (SELECT project_id, string_agg(block, chr(10) || chr(10) ORDER BY deck, page_no) AS exams, count(*) AS n_pages FROM e WHERE used <= 40000 GROUP BY 1)
+SELECT project_id, coalesce(notes, '') AS notes, coalesce(n_lectures, 0) AS n_lectures, coalesce(exams, '') AS exams, coalesce(n_pages, 0) AS n_pages FROM notes FULL JOIN x USING (project_id)""")
 def _(v):
-    blocks = joins.exam_pages(v["slide_pages"]).withColumn("len", F.length("text").cast("long"))
-    kept = joins.budget_prefix(blocks, "project_id", ["deck", "page_no"], 40_000)
-    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("deck", "page_no", "text"))), lambda x: x["text"]), "\n")
-    return kept.groupBy("project_id").agg(text.alias("exams"), F.count(F.lit(1)).alias("n_pages"))
+    return contexts.guide_context(contexts.lecture_notes(summarised(v)), joins.exam_pages(v["slide_pages"]))
 
 
 @query("compression_ratio", r"SELECT doc_id, n, round(n_chars / 6.0 / n, 4) AS ratio, n > 1.5 * 300 AS overshoot FROM (SELECT *, len(list_filter(regexp_split_to_array(translate(text, '#*`>|-', '      '), '[ \t\n\r\f]+'), lambda x: x <> '')) AS n FROM documents) WHERE n > 0")

@@ -17,6 +17,11 @@ vals AS (SELECT project_id, chars_per_min, row_number() OVER (PARTITION BY proje
 med AS (SELECT project_id, chars_per_min AS median FROM vals WHERE rn = n // 2 + 1 AND n >= 3),
 low AS (SELECT r.project_id, transcript_id, chars_per_min, median, coalesce(chars_per_min > 0 AND chars_per_min < 0.55 * median, false) AS low_coverage FROM rated r LEFT JOIN med USING (project_id))"""
 NUMBERS = "numbers AS (SELECT project_id, transcript_id, CAST(row_number() OVER (PARTITION BY project_id ORDER BY created_at, transcript_id) AS INTEGER) AS lecture_no FROM lectures)"
+#: Lectures that have a summary, with the newest; the given tables hold titles, so these stand for the notes too.
+SUMMARISED = f"""{NUMBERS}, newest AS (SELECT transcript_id, arg_max(title, (id, title)) AS title FROM summaries GROUP BY 1),
+summarised AS (SELECT project_id, transcript_id, lecture_no, concat('L', lecture_no) AS label, title FROM numbers JOIN newest USING (transcript_id)),
+notes AS (SELECT project_id, string_agg(concat('<lecture id="', label, '" title="', title, '">', chr(10), substr(title, 1, 9000), chr(10), '</lecture>'), chr(10) || chr(10) ORDER BY lecture_no) AS notes,
+  count(*) AS n_lectures FROM summarised GROUP BY 1)"""
 INT = lambda x: f"CAST({x} AS BIGINT)"
 
 
@@ -257,3 +262,9 @@ def _(v):
     kept = j.orphans_cascade(v["summaries"].where("job_id is null"), v["lectures"].where("project_id < 7"), "transcript_id")
     left = v["lectures"].where("transcript_id % 4 <> 0")
     return j.orphans_cascade(kept, left, "transcript_id", set_null=True).select("id", "transcript_id")
+
+
+def summarised(v):
+    numbers = op.lecture_numbers(v["lectures"])
+    newest = j.lectures_with_latest_summary(v["lectures"], v["summaries"], numbers).select("transcript_id", "title")
+    return numbers.join(newest, "transcript_id").withColumn("markdown", F.col("title"))

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as t
-from ..operators import listings
+from ..operators import contexts
 from ..operators import search as op
 from ..registry import query
-from .listings import NUMBERS
+from .listings import SUMMARISED, summarised
 
 TOKENS = f"regexp_extract_all(lower(coalesce(text, '')), '{t.TOKEN}')"
 FOLD = f"translate(lower(coalesce(text, '')), '{t.ACCENTED}', '{t.PLAIN}')"
@@ -74,14 +74,15 @@ def _(v):
     return op.transcript_windows(v["segments"], 600)
 
 
-PASSAGES = f"""{windows_sql(600)}, {NUMBERS}, {rank_sql(QUERIES, "SELECT project_id, concat(transcript_id, '-', win) AS doc_id, text FROM windows")},
+PASSAGES = f"""{windows_sql(600)}, {SUMMARISED}, usable AS (SELECT * FROM windows WHERE transcript_id IN (SELECT transcript_id FROM summarised)),
+{rank_sql(QUERIES, "SELECT project_id, concat(transcript_id, '-', win) AS doc_id, text FROM usable")},
 top AS (SELECT * FROM ranked QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) <= 8),
-passages AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY lecture_no, start_s, doc_id) AS INTEGER) AS place, concat('L', lecture_no) AS label, w.transcript_id, start_s, w.text, score
-  FROM top JOIN windows w ON doc_id = concat(w.transcript_id, '-', w.win) JOIN numbers n ON n.transcript_id = w.transcript_id WHERE score > 0.02)"""
+passages AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY lecture_no, start_s, doc_id) AS INTEGER) AS place, label, w.transcript_id, start_s, w.text, score
+  FROM top JOIN usable w ON doc_id = concat(w.transcript_id, '-', w.win) JOIN summarised n ON n.transcript_id = w.transcript_id WHERE score > 0.02)"""
 
 
 def passages(v):
-    return op.ask_passages(queries(v), op.transcript_windows(v["segments"], 600), listings.lecture_numbers(v["lectures"]))
+    return op.ask_passages(queries(v), op.transcript_windows(v["segments"], 600), summarised(v))
 
 
 @query("ask_passages", f"WITH RECURSIVE {PASSAGES} SELECT * FROM passages")
@@ -89,25 +90,26 @@ def _(v):
     return passages(v)
 
 
-def answer_context_table(found):
-    """Per question: the passages in order, each under its label and time, and the labels that they cite."""
-    line = F.concat(F.lit("["), "label", F.lit(" "), t.fmt_ts(F.col("start_s")), F.lit("] "), "text")
-    rows = found.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("place", line.alias("line"), "label"))).alias("r"))
-    return rows.select("query_id", F.array_join(F.transform("r", lambda x: x["line"]), "\n").alias("context"), F.array_join(F.array_sort(F.array_distinct(F.transform("r", lambda x: x["label"]))), ",").alias("sources"))
+def answers(v):
+    return contexts.answer_context(queries(v), passages(v), contexts.lecture_notes(summarised(v)))
 
 
-FMT = "CASE WHEN start_s >= 3600 THEN concat(lpad(CAST(CAST(floor(start_s / 3600) AS BIGINT) AS VARCHAR), 2, '0'), ':') ELSE '' END || lpad(CAST(CAST(floor(start_s / 60) AS BIGINT) % 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(CAST(floor(start_s) AS BIGINT) % 60 AS VARCHAR), 2, '0')"
-CONTEXT = f"SELECT query_id, string_agg(concat('[', label, ' ', {FMT}, '] ', text), chr(10) ORDER BY place) AS context, array_to_string(list_sort(list_distinct(list(label))), ',') AS sources FROM passages GROUP BY query_id"
+FMT = """CASE WHEN start_s >= 3600 THEN concat(lpad(CAST(CAST(floor(start_s / 3600) AS BIGINT) AS VARCHAR), 2, '0'), ':') ELSE '' END ||
+  lpad(CAST(CAST(floor(start_s / 60) AS BIGINT) % 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(CAST(floor(start_s) AS BIGINT) % 60 AS VARCHAR), 2, '0')"""
+CONTEXT = f"""SELECT query_id, concat_ws(chr(10) || chr(10), notes, passages) AS context, coalesce(sources, '') AS sources FROM q JOIN notes USING (project_id) LEFT JOIN (
+  SELECT query_id, string_agg(concat('[', label, ' ', {FMT}, '] ', text), chr(10) ORDER BY place) AS passages, array_to_string(list_sort(list_distinct(list(label))), ',') AS sources
+  FROM passages GROUP BY query_id) USING (query_id)"""
 
 
 @query("answer_context_table", f"WITH RECURSIVE {PASSAGES} {CONTEXT}")
 def _(v):
-    return answer_context_table(passages(v))
+    return answers(v)
 
 
-@query("ask", f"WITH RECURSIVE {PASSAGES}, c AS ({CONTEXT}) SELECT q.query_id, coalesce(sources, '') AS sources, coalesce(length(context), 0) AS context_chars FROM q LEFT JOIN c USING (query_id)")
+@query("ask", f"""WITH RECURSIVE {PASSAGES}, c AS ({CONTEXT})
+SELECT q.query_id, coalesce(sources, '') AS sources, coalesce(length(context), 0) AS context_chars FROM q LEFT JOIN c USING (query_id)""")
 def _(v):
-    found = queries(v).select("query_id").join(answer_context_table(passages(v)), "query_id", "left")
+    found = queries(v).select("query_id").join(answers(v), "query_id", "left")
     return found.select("query_id", F.coalesce("sources", F.lit("")).alias("sources"), F.coalesce(F.length("context"), F.lit(0)).cast("long").alias("context_chars"))
 
 

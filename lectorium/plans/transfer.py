@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import text as t
@@ -9,6 +11,9 @@ from ..operators import cards as c
 from ..operators import ledger
 from ..registry import query
 from ..sources import readers, sinks
+from ..sources.folders import shared_base
+from ..sources.timed_text import LectureFiles
+from .cleanup import MARKDOWN, SCANNED, raw_files
 from .retrieval import FMT
 
 
@@ -50,7 +55,8 @@ def _(v):
     return readers.storage_usage(inventory(v))
 
 
-@query("sink_transcript_exports", f"""SELECT transcript_id, 'txt' AS format, string_agg(text, chr(10) ORDER BY idx) AS content FROM segments GROUP BY 1
+@query("sink_transcript_exports", f"""WITH {MARKDOWN} SELECT transcript_id, 'md' AS format, markdown AS content FROM md
+UNION ALL SELECT transcript_id, 'txt' AS format, string_agg(text, chr(10) ORDER BY idx) AS content FROM segments GROUP BY 1
 UNION ALL SELECT transcript_id, 'segments', string_agg(concat('[', {FMT}, '] ', text), chr(10) ORDER BY idx) FROM segments GROUP BY 1
 UNION ALL SELECT transcript_id, 'json', concat('[', string_agg(CAST(json_object('start_s', start_s, 'end_s', end_s, 'text', text) AS VARCHAR), ',' ORDER BY idx), ']') FROM segments GROUP BY 1""")
 def _(v):
@@ -118,3 +124,13 @@ def summary_shape(df, max_tokens: int = 8000):
     topics = F.least(F.lit(12), F.greatest(F.lit(5), F.rint(F.col("source_words") / 1200).cast("long")))
     out = df.withColumn("topics", topics).withColumn("sections", F.col("topics") + 1).withColumn("words", F.col("sections") * (25 + F.col("bullets") * 22))
     return out.withColumn("cap", F.least(F.lit(max_tokens), 3 * F.col("words") + 1800)).drop("source_words", "bullets")
+
+
+@query("scan_lecture_files", f"WITH {SCANNED} SELECT * FROM scanned")
+def _(v):
+    """Every lecture exported to a folder as a file with times, and the folder read again."""
+    v.spark.dataSource.register(LectureFiles)
+    folder = f"{shared_base(v.spark)}/lectures-{uuid.uuid4()}"
+    files = raw_files(v).select(F.concat("path", F.lit(".txt")).alias("path"), F.col("value").alias("content"))
+    files.write.format("lecture_files").mode("overwrite").save(folder)
+    return v.spark.read.format("lecture_files").load(folder).withColumn("path", F.regexp_extract("path", r"([^/]*)\.txt$", 1))

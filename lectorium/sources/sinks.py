@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import file_slug, fmt_ts
+from ..operators.timed import segments_to_markdown
 
 
 def ordered(column: str, glue: str):
@@ -13,11 +14,12 @@ def ordered(column: str, glue: str):
 
 
 def transcript_exports(segments: DataFrame) -> DataFrame:
-    """transcript_id, format, content: plain text, text with times, and JSON."""
+    """transcript_id, format, content: plain text, text with times, JSON, and markdown with a heading every five minutes."""
     line = F.concat(F.lit("["), fmt_ts(F.col("start_s")), F.lit("] "), "text")
     rows = segments.select("transcript_id", "idx", "text", line.alias("line"), F.to_json(F.struct("start_s", "end_s", "text")).alias("json"))
     per = rows.groupBy("transcript_id").agg(ordered("text", "\n").alias("txt"), ordered("line", "\n").alias("segments"), F.concat(F.lit("["), ordered("json", ","), F.lit("]")).alias("json"))
-    return per.unpivot("transcript_id", ["txt", "segments", "json"], "format", "content")
+    per = per.join(segments_to_markdown(segments).withColumnRenamed("markdown", "md"), "transcript_id")
+    return per.unpivot("transcript_id", ["txt", "segments", "json", "md"], "format", "content")
 
 
 def plain_markdown(markdown):

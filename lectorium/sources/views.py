@@ -5,6 +5,8 @@ One definition serves both engines; where dialects differ there are two.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 BASE_TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations").split()
@@ -88,11 +90,11 @@ class Views:
             if name in BASE_TABLES:
                 df = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
             else:
-                sql = SPARK_VIEWS[name]
-                words = set(sql.replace("(", " ").replace(")", " ").split())
-                for other in [*BASE_TABLES, *SPARK_VIEWS]:
-                    if other in words and other != name:
-                        self[other].createOrReplaceTempView(other)
-                df = self.spark.sql(sql)
+                # tables are handed over by value, so a user's own views of these names stay as they are
+                sql = SPARK_VIEWS[name].replace("{", "{{").replace("}", "}}")
+                used = sorted(o for o in {*BASE_TABLES, *SPARK_VIEWS} - {name} if re.search(rf"\b(FROM|JOIN) {o}\b", sql))
+                for other in used:
+                    sql = re.sub(rf"\b(FROM|JOIN) {other}\b", rf"\1 {{{other}}}", sql)
+                df = self.spark.sql(sql, **{o: self[o] for o in used})
             self._known[name] = df
         return self._known[name]

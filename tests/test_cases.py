@@ -215,3 +215,14 @@ def test_more_scalars(spark):
                                                                  ("a\nb\nc\nd\ne\nlong line here", False, 0, True), ("short", False, 1, True), ("w " * 200, False, 1, False)])
 def test_review(spark, text, clipped, images, want):
     assert spark.range(1).select(cleanup.page_needs_review(F.lit(text), F.lit(clipped), F.lit(images)).alias("r")).first().r is want
+
+
+def test_views_leave_the_users_own_alone(spark):
+    from lectorium.sources.views import SPARK_VIEWS, Views
+
+    spark.range(3).createOrReplaceTempView("documents")
+    views = Views(spark, "/root/testdata/sf0.001")
+    for name in SPARK_VIEWS:
+        assert views[name].limit(1).count() == 1
+    assert spark.table("documents").count() == 3 and [t.name for t in spark.catalog.listTables() if t.isTemporary] == ["documents"]
+    spark.catalog.dropTempView("documents")
