@@ -5,16 +5,24 @@ their k-word shingles are winnowed (the smallest of every few neighbours) into a
 (template, place). A document's winnowed fingerprints vote, by template, for a diagonal: the distance between the
 place in the document and in the template. Around every diagonal with enough votes, a band of the alignment matrix of
 template and document words is filled (words match or are skipped on either side); the matched words give coverage
-of the template and the span in the document. Templates that are shorter than a shingle
+of the template and the span in the document. The votes that are asked for grow with the template (``share`` of its
+fingerprints), so a sentence that a long license has in common with others is no candidate. Where passages were put in
+or left out, a copy lies on several diagonals of which none reaches the coverage: those near each other are chained, the
+longest sequence of their matched words that rises in both texts. Templates that are shorter than a shingle
 and a window together are indexed by every shingle and must match whole.
 
+``TEMPLATES`` holds notices; ``read_templates`` takes full license texts from a folder.
+
 One row per document and matched template; a document without one has a single row with a null template. A null or
-empty text matches nothing. Repeated rows give repeated results; other columns are not read. Each row is handled on
-its own, without a shuffle; long texts cost in proportion to their length and their votes.
+empty text matches nothing. Repeated rows give repeated results; other columns are not read, and an empty table gives
+an empty result. Each row is handled on its own, without a shuffle; long texts cost in proportion to their length and
+their votes.
 """
 
 from __future__ import annotations
 
+import bisect
+import math
 import re
 from collections import defaultdict
 from collections.abc import Iterator
@@ -22,7 +30,8 @@ from dataclasses import dataclass
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import texts_in
 
@@ -64,14 +73,17 @@ WORD = re.compile(r"[^\W_]+(?:\.\d+)*")
 
 @dataclass(frozen=True)
 class Scan:
-    """Parameters: words in a shingle, shingles in a window, votes for a diagonal, half width of the band in words,
-    smallest matched share of a template in percent, and the most template words that are sent to the executors."""
+    """Parameters: words in a shingle, shingles in a window, votes for a diagonal (at least so many, and this share of the
+    template's fingerprints), half width of the band in words, smallest matched share of a template in percent, words that
+    may lie between two parts of a copy, and the most template words that are sent to the executors."""
 
     shingle: int = 3
     window: int = 4
     votes: int = 1
+    share: float = 0.03
     band: int = 8
     coverage: int = 80
+    gap: int = 400
     most_words: int = 1_000_000
 
 
@@ -89,6 +101,23 @@ def winnowed(words: list[str], s: Scan, every: bool = False) -> list[tuple[int,
     return [(hashes[i], i) for i in sorted(chosen)]
 
 
+def rising(pairs: set[tuple[int, int]]) -> list[tuple[int, int]]:
+    """A longest sequence of pairs in which both numbers rise."""
+    ordered = sorted(pairs, key=lambda p: (p[0], -p[1]))
+    ends: list[int] = []  # of the shortest ends, by length: places in ``ordered``
+    lasts: list[int] = []
+    before = [-1] * len(ordered)
+    for n, (_, j) in enumerate(ordered):
+        k = bisect.bisect_left(lasts, j)
+        before[n] = ends[k - 1] if k else -1
+        ends[k : k + 1], lasts[k : k + 1] = [n], [j]
+    out, n = [], ends[-1] if ends else -1
+    while n >= 0:
+        out.append(ordered[n])
+        n = before[n]
+    return out[::-1]
+
+
 class Index:
     """The templates' words and the postings of their fingerprints."""
 
@@ -99,12 +128,15 @@ class Index:
             raise ValueError("too many template words to send to every executor")
         self.postings = defaultdict(list)
         self.short = [len(w) < s.shingle + s.window for w in self.words]
+        self.votes = []
         for t, words in enumerate(self.words):
-            for h, i in winnowed(words, s, self.short[t]):
+            own = winnowed(words, s, self.short[t])
+            self.votes.append(max(s.votes, math.ceil(s.share * len(own))))
+            for h, i in own:
                 self.postings[h].append((t, i))
 
     def candidates(self, words: list[str]) -> dict[int, list[int]]:
-        """Diagonals with enough votes, by template, at least half a band apart."""
+        """Diagonals that have enough votes within half a band, by template, at least half a band apart."""
         votes: dict[tuple[int, int], int] = defaultdict(int)
         every = any(self.short)
         wanted = {i for _, i in winnowed(words, self.s)}
@@ -113,9 +145,17 @@ class Index:
                 if self.short[t] or i in wanted:
                     votes[t, i - j] += 1
         found: dict[int, list[int]] = defaultdict(list)
-        for (t, d), n in sorted(votes.items()):
-            if n >= self.s.votes and not (found[t] and d - found[t][-1] <= self.s.band // 2):
+        ordered, half = sorted(votes.items()), self.s.band // 2
+        ahead, near = 0, 0  # votes of the same template up to half a band further
+        for at, ((t, d), n) in enumerate(ordered):
+            if ahead <= at:
+                ahead, near = at, 0
+            while ahead < len(ordered) and ordered[ahead][0][0] == t and ordered[ahead][0][1] <= d + half:
+                near += ordered[ahead][1]
+                ahead += 1
+            if near >= self.votes[t] and not (found[t] and d - found[t][-1] <= half):
                 found[t].append(d)
+            near -= n
         return found
 
     def align(self, words: list[str], t: int, diagonal: int) -> list[tuple[int, int]]:
@@ -144,17 +184,33 @@ class Index:
                 i -= 1
         return pairs[::-1]
 
+    def chains(self, t: int, parts: list[tuple[int, list[tuple[int, int]]]]) -> Iterator[list[tuple[int, int]]]:
+        """Of parts on diagonals near each other, the longest sequence of pairs that rises in both places."""
+        gap, at = min(self.s.gap, len(self.words[t]) // 2), 0
+        while at < len(parts):
+            end = at + 1
+            while end < len(parts) and parts[end][0] - parts[end - 1][0] <= gap:
+                end += 1
+            if end - at > 1:
+                yield rising({p for _, pairs in parts[at:end] for p in pairs})
+            at = end
+
     def scan(self, text: str) -> list[tuple[str, float, int, int, int]]:
         """(template, coverage, matched words, start, end) of every match that reaches the least coverage; the
         character span runs from the first matched word to the last. Overlapping matches of a template: the best."""
         words, places = folded(text)
         out = []
         for t, diagonals in self.candidates(words).items():
-            matches = []
+            least = (100 if self.short[t] else self.s.coverage) * len(self.words[t])
+            matches, parts = [], []
             for d in diagonals:
                 pairs = self.align(words, t, d)
-                least = 100 if self.short[t] else self.s.coverage
-                if 100 * len(pairs) >= least * len(self.words[t]):
+                if 100 * len(pairs) >= least:
+                    matches.append((len(pairs), -pairs[0][1], pairs[-1][1]))
+                elif pairs:
+                    parts.append((d, pairs))
+            for pairs in self.chains(t, parts):
+                if 100 * len(pairs) >= least:
                     matches.append((len(pairs), -pairs[0][1], pairs[-1][1]))
             taken: list[tuple[int, int]] = []
             for n, first, last in sorted(matches, reverse=True):
@@ -164,6 +220,14 @@ class Index:
         return sorted(out, key=lambda m: (m[3], m[0]))
 
 
+def read_templates(spark: SparkSession, folder: str, s: Scan = Scan()) -> dict[str, str]:
+    """Full texts by file name; refused where they are more than may be sent to every executor."""
+    files = spark.read.text(folder, wholetext=True).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("name"), "value")
+    if files.agg(F.sum(F.size(F.split("value", r"\s+")))).first()[0] > s.most_words:
+        raise ValueError("too many template words to send to every executor")
+    return {r.name: r.value for r in files.collect()}
+
+
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, s: Scan = Scan()) -> DataFrame:
     """doc_id, template, coverage, matched_words, span_start, span_end (characters, end exclusive)."""
     sent = docs.sparkSession.sparkContext.broadcast(Index(TEMPLATES if templates is None else templates, s))

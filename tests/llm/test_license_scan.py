@@ -1,3 +1,8 @@
+import os
+import random
+
+import pytest
+
 from lectorium.llm import license_scan
 from lectorium.llm.license_scan import TEMPLATES, Index, Scan
 
@@ -67,3 +72,59 @@ def test_query_equals_a_scan_of_every_diagonal(spark, sf):
     found = {(r.doc_id, r.template) for r in op5_license_scan(spark, sf).collect()}
     assert {i for i, _ in found} == {i for i, _ in docs}
     assert {x for x in found if x[1]} == want and want
+
+
+def long_texts(n=3, size=1500):
+    """Long texts that share a tenth of their sentences, as licenses do."""
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 7)))
+    shared = [" ".join(word() for _ in range(12)) for _ in range(12)]
+    return {f"long {i}": ". ".join(rng.choice(shared) if k % 10 == 0 else " ".join(word() for _ in range(12)) for k in range(size // 12)) for i in range(n)}
+
+
+def edited(text, rng, changed):
+    return " ".join("changed" if rng.random() < changed else w for w in text.split())
+
+
+@pytest.mark.parametrize("changed", [0.0, 0.05, 0.12])
+def test_long_texts_with_passages_put_in_and_left_out(changed):
+    rng, texts = random.Random(1), long_texts()
+    index = Index(texts, Scan())
+    for name, body in texts.items():
+        words = edited(body, rng, changed).split()
+        split = words[:400] + ["inserted"] * 90 + words[400:800] + words[880:] + ["x"] * 50
+        found = index.scan("before it " + " ".join(split))
+        assert [m[0] for m in found] == [name] and 0.8 <= found[0][1] < 1.0
+        own, there = license_scan.folded(body)[0], license_scan.folded("before it " + " ".join(split))[0]
+        assert found[0][2] >= 0.99 * lcs(own, there)  # a band leaves out little of the best alignment
+
+
+def test_what_long_texts_have_in_common_is_no_match():
+    texts = long_texts()
+    index = Index(texts, Scan())
+    assert index.scan(" ".join(texts["long 0"].split()[:500])) == []  # a third of it
+    sentence = texts["long 0"].split(". ")[0]
+    assert index.candidates(license_scan.folded(sentence)[0]) == {}  # one sentence that others share: not even aligned
+
+
+def test_templates_from_a_folder(spark, documents, tmp_path):
+    for name, text in long_texts().items():
+        (tmp_path / name.replace(" ", "-")).write_text(text)
+    templates = license_scan.read_templates(spark, str(tmp_path))
+    assert sorted(templates) == ["long-0", "long-1", "long-2"]
+    rows = license_scan.scan(documents(["see " + templates["long-1"], "nothing"]), templates).collect()
+    assert [(r.doc_id, r.template, r.coverage) for r in sorted(rows, key=lambda r: r.doc_id)] == [(0, "long-1", 1.0), (1, None, None)]
+    with pytest.raises(ValueError, match="too many"):
+        license_scan.read_templates(spark, str(tmp_path), Scan(most_words=100))
+
+
+COMMON = "/usr/share/common-licenses"
+
+
+@pytest.mark.skipif(not os.path.isdir(COMMON), reason="no full license texts on this machine")
+def test_full_licenses_are_told_apart():
+    names = [n for n in ("Apache-2.0", "Artistic", "BSD", "GPL-2", "GPL-3", "LGPL-2.1", "MPL-2.0") if os.path.exists(f"{COMMON}/{n}")]
+    texts = {n: open(f"{COMMON}/{n}", encoding="utf-8").read() for n in names}
+    index = Index(texts, Scan())
+    for name, body in texts.items():
+        assert [m[0] for m in index.scan("Copyright somebody\n" + edited(body, random.Random(2), 0.03))] == [name]
