@@ -10,7 +10,8 @@ differ in how they avoid merging:
 
 The tables come from a tokenizer file whose path is a parameter and whose size bounds what is sent to the
 executors. Each row is handled on its own: no shuffle. A null text is empty: no tokens, and the empty text is
-decoded. Repeated rows give repeated results; other columns are not read.
+decoded. Repeated rows give repeated results; other columns are not read, and an empty table gives an empty result. A very
+long text is handled whole in its own task: pre-tokens one by one, a long one in n log n steps.
 """
 
 from __future__ import annotations

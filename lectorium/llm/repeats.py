@@ -18,7 +18,7 @@ With ``longest`` a second, longer window is looked for as well; a range found sa
 
 Texts are keyed by 128 hashed bits; rows get their results by key, so repeated rows, repeated ids and null ids need no
 special treatment. Null and empty texts, and texts shorter than a window, hold no window. Very long texts are hashed
-in chunks of ``CHUNK`` units. Ties between equal grams of a window go to the first.
+in chunks of ``CHUNK`` units. Ties between equal grams of a window go to the first. An empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -18,7 +18,8 @@ the rule, so the components are those of all pairs.
 
 Defined results: null, empty and blank texts have fingerprint zero and link like any other. Rows with equal texts
 share a fingerprint, so copies are never paired. A null id takes part but is never the smallest; a component of
-null ids only has a null id. Other columns are not read. An empty table gives an empty result.
+null ids only has a null id. Other columns are not read. A very long text is hashed in chunks of ``CHUNK`` shingles; for a
+similarity the shingles of the two texts of a pair are held. An empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -9,6 +9,10 @@ suffix of what was read that is repeated) mark the maximal spans of at least 35
 The reference is the corpus itself and grows with it, so its automata are not broadcast: each is built in the task
 to which its shard is dealt, and the documents' contexts come there with it. Overlapping contexts of one text are
 joined before they enter the automaton, so no place in the corpus counts twice.
+
+Defined results: null, blank and short texts hold no window and lose nothing; texts without words keep an empty text.
+Very long texts are hashed in chunks, and only their contexts travel. Repeated rows, and rows of repeated or null ids, get
+the result of their own text; other columns are not read. An empty table gives an empty result.
 """
 
 from __future__ import annotations
