@@ -33,7 +33,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of every group of linked texts the document with the smallest id stays; 5-word shingles, similarity of 0.8 or more.
 
-    Null, empty and blank texts are one group. Texts that share an id or have none stay if nothing links them.
+    Null, empty and blank texts are one group. Texts that share an id or have none stay if nothing links them. Of a very
+    long text all shingles count.
     """
     return simhash.keep_first(docs, width=5, distance=simhash.FARTHEST, similarity=0.8)
 
@@ -41,7 +42,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def repeated_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Byte strings of 200 or more (about 50 words of three letters) that stand elsewhere too are cut out.
 
-    Rows stay, whatever their ids; a document may end up empty, and a null text stays null.
+    Rows stay, whatever their ids; a document may end up empty, and a null text stays null. Very long texts are cut whole.
     """
     return _with_text(suffix_merge.remove_repeats(docs, suffix_merge.PASSAGES), docs.columns, "text")
 
@@ -49,13 +50,14 @@ def repeated_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as its source's repetition rate draws, in a global order.
 
-    A null source is a source of its own; rows without an id share the draw of the empty string.
+    A null source is a source of its own; a row without an id is drawn by a hash of the row. Texts, however long, are not
+    looked at.
     """
     return mixing.mix(docs).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every copy, with the text that they decode to; a null text has none."""
+    """Token ids of every copy, with the text that they decode to; a null text has none, a very long one all of its own."""
     return bpe.encode_decode(docs, tokenizer_path())
 
 
