@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectorium.llm import bpe, mixing, quality, simhash, suffix_merge
-from lectorium.llm.common import ensure_checkpoint_dir, table
+from lectorium.llm.common import ensure_checkpoint_dir, remove_folder, table
 from lectorium.llm.queries import tokenizer_path
 
 
@@ -74,8 +74,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage. Of the stages' folders only the one that these rows are read from is left."""
     docs, folder = table(spark, sf_dir, "documents"), f"{ensure_checkpoint_dir(spark)}/pipeline-{uuid.uuid4()}"
     for i, (_, stage) in enumerate(STAGES[:-1]):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{i}")
         docs = spark.read.parquet(f"{folder}/{i}")
+        if i:
+            remove_folder(spark, f"{folder}/{i - 1}")  # the next stage has been written from it
     return STAGES[-1][1](spark, docs, sf_dir)
