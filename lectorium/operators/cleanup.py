@@ -11,9 +11,10 @@ from ..functions.text import TOKEN
 MATH_SIGNS = "αβγδεζηθικλμνξπρστυφχψωΣΠΔΩΛΘΦΨΛ≤≥≠≈±∓×÷→←↔⇒∑∏∫∮√∞∂∇²³⁰¹⁴⁵⁶⁷⁸⁹₀₁₂₃₄₅₆₇₈₉"
 MATH_FORMS = r"[A-Za-z0-9)\]}]\s*[\^_]\s*[A-Za-z0-9{(]|\\frac|\\sum|\\alpha|\\theta"
 MATH = f"[{MATH_SIGNS}]|{MATH_FORMS}"
+#: What counts as a technical term of a course, and Roman numbers, which do not.
 TERM = r"^(?:[A-Z]{2,}[A-Za-z0-9]*|[A-Z][a-z]+(?:-[A-Z][a-z]+)+|[A-Z][a-z]{2,}[A-Z][A-Za-z]*)$"
-HYPHENATED, PIECE = r"[\p{L}\p{N}_]+(?:-[\p{L}\p{N}_]+)*", r"[\p{L}\p{N}_]+"
 ROMAN = "^[IVXL]+$"
+HYPHENATED, PIECE = r"[\p{L}\p{N}_]+(?:-[\p{L}\p{N}_]+)*", r"[\p{L}\p{N}_]+"
 
 
 def line_key(line: Column) -> Column:
