@@ -35,8 +35,9 @@ def top_lectures(pages: DataFrame, lectures: DataFrame, k: int, block: int = 204
     own = lambda n, *key: F.pmod(F.xxhash64(*key), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     vec = F.col("vec").cast("array<double>").alias("vec")
-    a = usable(pages).join(sizes, "project_id").select("project_id", *PAGE, vec, own("blocks", *PAGE).alias("block"), every("tiles").alias("tile"))
-    b = usable(lectures).join(sizes, "project_id").select("project_id", "transcript_id", vec, own("tiles", "transcript_id").alias("tile"), every("blocks").alias("block"))
+    named = lambda *columns: [F.col(c).alias(c) for c in columns]  # noqa: E731  names of their own: both sides may come from one table
+    a = usable(pages).join(sizes, "project_id").select(*named("project_id", *PAGE), vec, own("blocks", *PAGE).alias("block"), every("tiles").alias("tile"))
+    b = usable(lectures).join(sizes, "project_id").select(*named("project_id", "transcript_id"), vec, own("tiles", "transcript_id").alias("tile"), every("blocks").alias("block"))
 
     def best(mine: pa.Table, others: pa.Table) -> pa.Table:
         others = others.sort_by("transcript_id")

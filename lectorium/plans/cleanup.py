@@ -11,12 +11,14 @@ from ..registry import query
 from .retrieval import FMT
 
 KEY = r"CASE WHEN regexp_matches(k, '^[\d\s/|.:-]+$') THEN '#' ELSE k END"
-LINES = rf"""raw AS (SELECT deck, page_no, CAST(unnest(range(0, len(l))) AS INTEGER) AS pos, unnest(l) AS line FROM (SELECT deck, page_no, string_split(coalesce(text, ''), chr(10)) AS l FROM slide_pages)),
+LINES = rf"""raw AS (SELECT deck, page_no, CAST(unnest(range(0, len(l))) AS INTEGER) AS pos, unnest(l) AS line
+  FROM (SELECT deck, page_no, string_split(coalesce(text, ''), chr(10)) AS l FROM slide_pages)),
 lines AS (SELECT deck, page_no, pos, line, {KEY} AS key FROM (SELECT *, trim(regexp_replace(lower(line), '\s+', ' ', 'g')) AS k FROM raw)),
 common AS (SELECT deck, key, count(DISTINCT page_no) AS n FROM lines JOIN (SELECT deck, count(*) AS n_pages FROM slide_pages GROUP BY 1) USING (deck) WHERE key <> ''
   GROUP BY deck, key, n_pages HAVING count(DISTINCT page_no) > 0.05 * n_pages AND n_pages >= 3 AND (length(key) > 1 OR key = '#'))"""
 STRIPPED = f"""{LINES}, stripped AS (SELECT p.deck, p.page_no, coalesce(s.text, '') AS text FROM slide_pages p LEFT JOIN
-  (SELECT deck, page_no, string_agg(line, chr(10) ORDER BY pos) AS text FROM lines WHERE NOT EXISTS (SELECT 1 FROM common c WHERE c.deck = lines.deck AND c.key = lines.key) GROUP BY ALL) s USING (deck, page_no))"""
+  (SELECT deck, page_no, string_agg(line, chr(10) ORDER BY pos) AS text FROM lines WHERE NOT EXISTS (SELECT 1 FROM common c WHERE c.deck = lines.deck
+  AND c.key = lines.key) GROUP BY ALL) s USING (deck, page_no))"""
 
 
 def review_sql(text: str, images: str) -> str:
@@ -65,13 +67,15 @@ def _(v):
 
 
 @query("reading_order", """WITH b AS (SELECT page_id, greatest(4.0::DOUBLE, 0.6::DOUBLE * list_sort(list(CAST(y1 - y0 AS DOUBLE)))[len(list(y1)) // 2 + 1]) AS band FROM boxes GROUP BY 1)
-SELECT page_id, box_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY round_even((y0 + y1) / 2 / band, 0), x0, box_id, text, y1) AS INTEGER) AS place, text FROM boxes JOIN b USING (page_id)""")
+SELECT page_id, box_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY round_even((y0 + y1) / 2 / band, 0), x0, box_id, text, y1) AS INTEGER) AS place, text
+  FROM boxes JOIN b USING (page_id)""")
 def _(v):
     return op.reading_order(v["boxes"])
 
 
 @query("course_vocabulary", rf"""WITH s AS (SELECT project_id, doc_id, text FROM slide_pages WHERE kind = 'slides'),
-f AS (SELECT DISTINCT project_id, doc_id, unnest(list_concat(list_filter(regexp_extract_all(text, '{op.HYPHENATED}'), lambda x: contains(x, '-')), regexp_extract_all(text, '{op.PIECE}'))) AS term FROM s),
+f AS (SELECT DISTINCT project_id, doc_id, unnest(list_concat(list_filter(regexp_extract_all(text, '{op.HYPHENATED}'), lambda x: contains(x, '-')),
+  regexp_extract_all(text, '{op.PIECE}'))) AS term FROM s),
 df AS (SELECT project_id, term, count(*) AS df FROM f WHERE regexp_matches(term, '{op.TERM}') GROUP BY ALL HAVING count(*) >= 2 AND length(term) <= 30 AND NOT regexp_matches(term, '{op.ROMAN}')),
 low AS (SELECT DISTINCT project_id, unnest(regexp_extract_all(text, '{t.TOKEN}')) AS common FROM s),
 top AS (SELECT project_id, 1 AS tier, row_number() OVER (PARTITION BY project_id ORDER BY df DESC, term) AS place, term FROM df
@@ -84,7 +88,8 @@ def _(v):
     return op.course_vocabulary(v["slide_pages"], courses.crossJoin(F.broadcast(v["terms"])))  # six fixed terms
 
 
-@query("distinct_terms", "SELECT CAST(row_number() OVER (ORDER BY first, lower_term) AS INTEGER) AS rank, first_term AS term, 0 AS project_id FROM (SELECT lower(p_name) AS lower_term, arg_min(p_name, p_partkey) AS first_term, min(p_partkey) AS first FROM part GROUP BY 1) QUALIFY rank <= 25")
+@query("distinct_terms", """SELECT CAST(row_number() OVER (ORDER BY first, lower_term) AS INTEGER) AS rank, first_term AS term, 0 AS project_id
+  FROM (SELECT lower(p_name) AS lower_term, arg_min(p_name, p_partkey) AS first_term, min(p_partkey) AS first FROM part GROUP BY 1) QUALIFY rank <= 25""")
 def _(v):
     return op.distinct_terms(v["part"].selectExpr("0 as project_id", "0 as tier", "p_partkey as place", "p_name as term"), 25)
 
@@ -98,13 +103,15 @@ def raw_files(v):
     return v["segments"].groupBy("transcript_id").agg(joined.alias("value")).select(F.col("transcript_id").cast("string").alias("path"), "value")
 
 
-STAMPED = r"""raw AS (%s), l AS (SELECT CAST(transcript_id AS VARCHAR) AS path, unnest(range(0, len(x))) AS pos, unnest(x) AS line FROM (SELECT transcript_id, string_split(value, chr(10)) AS x FROM raw)),
+STAMPED = r"""raw AS (%s), l AS (SELECT CAST(transcript_id AS VARCHAR) AS path, unnest(range(0, len(x))) AS pos, unnest(x) AS line
+  FROM (SELECT transcript_id, string_split(value, chr(10)) AS x FROM raw)),
 s AS (SELECT *, CASE WHEN regexp_matches(line, '^\s*\[(?:\d+:)?\d{1,2}:\d{2}\]') THEN 3600 * coalesce(TRY_CAST(regexp_extract(line, '^\s*\[(\d+):\d{1,2}:\d{2}\]', 1) AS DOUBLE), 0)
   + 60 * CAST(regexp_extract(line, '(\d{1,2}):\d{2}\]', 1) AS DOUBLE) + CAST(regexp_extract(line, ':(\d{2})\]', 1) AS DOUBLE) END AS at_s FROM l WHERE trim(line) <> '')""" % RAW
 SCANNED = STAMPED + r""", g AS (SELECT *, sum(CASE WHEN at_s IS NOT NULL THEN 1 ELSE 0 END) OVER (PARTITION BY path ORDER BY pos) AS island FROM s),
 b AS (SELECT path, island, max(at_s) AS start, trim(string_agg(trim(regexp_replace(line, '^\s*\[[0-9:]+\]\s*', '')), chr(10) ORDER BY pos)) AS text FROM g GROUP BY ALL),
 scanned AS (SELECT path, CAST(row_number() OVER w - 1 AS INTEGER) AS idx, start, coalesce(lead(start) OVER w, start) AS "end", text, true AS ts,
-  CAST(coalesce(sum(length(text) + 1) OVER (PARTITION BY path ORDER BY island ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset" FROM b WINDOW w AS (PARTITION BY path ORDER BY island))"""
+  CAST(coalesce(sum(length(text) + 1) OVER (PARTITION BY path ORDER BY island ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset" FROM b
+  WINDOW w AS (PARTITION BY path ORDER BY island))"""
 
 
 @query("scan_timed_text", f"WITH {SCANNED} SELECT * FROM scanned")
@@ -127,7 +134,8 @@ def _(v):
     return timed.segment_offsets(v["segments"], "transcript_id", "idx").select("transcript_id", "idx", "offset")
 
 
-BUCKETS = "buckets AS (SELECT transcript_id, idx, text, bucket, lag(bucket) OVER (PARTITION BY transcript_id ORDER BY idx) IS DISTINCT FROM bucket AS heading FROM (SELECT *, CAST(floor(start_s / 300) AS BIGINT) AS bucket FROM segments))"
+BUCKETS = """buckets AS (SELECT transcript_id, idx, text, bucket, lag(bucket) OVER (PARTITION BY transcript_id ORDER BY idx) IS DISTINCT FROM bucket AS heading
+  FROM (SELECT *, CAST(floor(start_s / 300) AS BIGINT) AS bucket FROM segments))"""
 
 
 @query("time_buckets", f"WITH {BUCKETS} SELECT transcript_id, idx, bucket, heading FROM buckets")
@@ -145,7 +153,8 @@ def _(v):
     return timed.segments_to_markdown(v["segments"])
 
 
-RETIMED = """x AS (SELECT s.transcript_id, s.idx, s.text, CASE WHEN s.transcript_id % 3 <> 1 AND s.idx % 5 = 3 THEN s.start_s * 1.5::DOUBLE END AS at_s, CASE WHEN s.transcript_id % 3 = 0 AND s.idx % 4 <> 2 THEN s.start_s END AS old FROM segments s),
+RETIMED = """x AS (SELECT s.transcript_id, s.idx, s.text, CASE WHEN s.transcript_id % 3 <> 1 AND s.idx % 5 = 3 THEN s.start_s * 1.5::DOUBLE END AS at_s, CASE
+  WHEN s.transcript_id % 3 = 0 AND s.idx % 4 <> 2 THEN s.start_s END AS old FROM segments s),
 dur AS (SELECT transcript_id, max(CASE WHEN transcript_id % 3 = 0 THEN end_s END) AS duration FROM segments GROUP BY 1),
 r AS (SELECT transcript_id, idx, text, at_s IS NOT NULL AS ts, coalesce(at_s, old) AS raw, coalesce(duration, 0) AS duration FROM x LEFT JOIN dur USING (transcript_id)),
 n AS (SELECT *, max(raw) OVER b AS from_s, max(CASE WHEN raw IS NOT NULL THEN idx END) OVER b AS from_i, min(CASE WHEN raw IS NOT NULL THEN idx END) OVER f AS to_i,

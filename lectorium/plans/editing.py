@@ -17,7 +17,8 @@ from .listings import LINKED, NUMBERS, SUMMARISED, linked, summarised
 
 AL = r"[\p{L}\p{N}]"
 RULES = "SELECT id AS rule_id, p.project_id, find, repl, auto FROM terms, (SELECT DISTINCT project_id FROM segments) p"
-OCC = rf"""occ AS (SELECT r.rule_id, s.project_id, s.transcript_id, s.idx, CAST(i - 1 AS INTEGER) AS start, CAST(i - 1 + length(find) AS INTEGER) AS stop FROM (SELECT *, unnest(range(1, length(text) + 1)) AS i FROM segments) s JOIN ({RULES}) r USING (project_id)
+OCC = rf"""occ AS (SELECT r.rule_id, s.project_id, s.transcript_id, s.idx, CAST(i - 1 AS INTEGER) AS start, CAST(i - 1 + length(find) AS INTEGER) AS stop
+  FROM (SELECT *, unnest(range(1, length(text) + 1)) AS i FROM segments) s JOIN ({RULES}) r USING (project_id)
   WHERE substr(text, i, length(find)) = find AND NOT (i > 1 AND regexp_matches(substr(text, i - 1, 1), '{AL}')) AND NOT regexp_matches(substr(text, i + length(find), 1), '{AL}'))"""
 
 
@@ -75,7 +76,8 @@ def _(v):
 
 @query("apply_proposals", f"""WITH RECURSIVE {SETTLED}, a AS (SELECT transcript_id, idx, start, stop, repl, lag(stop, 1, 0) OVER (PARTITION BY transcript_id, idx ORDER BY start) AS prev,
     row_number() OVER (PARTITION BY transcript_id, idx ORDER BY start DESC) = 1 AS last FROM settled JOIN terms ON id = rule_id WHERE status = 'applied')
-SELECT transcript_id, idx, string_agg(concat(substr(text, prev + 1, start - prev), repl, CASE WHEN last THEN substr(text, stop + 1) ELSE '' END), '' ORDER BY start) AS text, CAST(count(*) AS INTEGER) AS n_applied
+SELECT transcript_id, idx, string_agg(concat(substr(text, prev + 1, start - prev), repl, CASE WHEN last THEN substr(text, stop + 1) ELSE '' END), ''
+  ORDER BY start) AS text, CAST(count(*) AS INTEGER) AS n_applied
 FROM a JOIN segments USING (transcript_id, idx) GROUP BY ALL""")
 def _(v):
     settled = e.settle_spans(occurrences(v))
@@ -111,7 +113,8 @@ def _(v):
 
 
 @query("locate_across_segments", """WITH j AS (SELECT transcript_id, strpos(string_agg(text, ' ' ORDER BY idx), 'the th') - 1 AS place FROM segments GROUP BY 1),
-s AS (SELECT transcript_id, idx, coalesce(sum(length(text) + 1) OVER (PARTITION BY transcript_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS lo, length(text) AS len FROM segments)
+s AS (SELECT transcript_id, idx, coalesce(sum(length(text) + 1) OVER (PARTITION BY transcript_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING
+  AND 1 PRECEDING), 0) AS lo, length(text) AS len FROM segments)
 SELECT transcript_id, idx, CAST(place - lo AS BIGINT) AS local FROM s JOIN j USING (transcript_id) WHERE place >= 0 AND place BETWEEN lo AND lo + len""")
 def _(v):
     return e.locate_across_segments(v["segments"], "the th")
@@ -138,11 +141,13 @@ CLOZE = f"(len({PARTS}) BETWEEN 1 AND 2 AND len(list_filter({PARTS}, lambda p: t
 CARDS = f"""w AS (SELECT run_id, pos, {KEY} AS key, CASE WHEN slide = 1 THEN 1 END AS slide, row_number() OVER (PARTITION BY run_id ORDER BY pos) AS n,
     CASE WHEN kind NOT IN ('qa', 'cloze') OR trim(front) = '' THEN 'malformed' WHEN kind = 'qa' AND trim(back) = '' THEN 'empty_back' WHEN kind = 'cloze' AND NOT {CLOZE} THEN 'bad_cloze'
       WHEN len(list_filter({FORMULAS}, lambda x: x NOT IN ('', 'x_0+1'))) > 0 THEN 'unverified_formula'
-      WHEN {KEY} = '' OR EXISTS (SELECT 1 FROM card_items o WHERE o.run_id = card_items.run_id AND o.pos = 0 AND o.run_id % 3 = 0 AND {KEY.replace('front', 'o.front')} = {KEY.replace('front', 'card_items.front')}) THEN 'duplicate' END AS r FROM card_items),
+      WHEN {KEY} = '' OR EXISTS (SELECT 1 FROM card_items o WHERE o.run_id = card_items.run_id AND o.pos = 0 AND o.run_id % 3 = 0
+  AND {KEY.replace('front', 'o.front')} = {KEY.replace('front', 'card_items.front')}) THEN 'duplicate' END AS r FROM card_items),
 y AS (SELECT run_id, 0 AS n, CAST(-1 AS BIGINT) AS pos, CAST([] AS VARCHAR[]) AS seen, 0 AS used, 0 AS accepted, 'start' AS reason, CAST(NULL AS INTEGER) AS slide FROM (SELECT DISTINCT run_id FROM w)
   UNION ALL SELECT w.run_id, w.n, w.pos, CASE WHEN q.why IS NULL THEN list_append(y.seen, w.key) ELSE y.seen END, y.used + CASE WHEN q.why IS NULL AND w.slide = 1 THEN 1 ELSE 0 END,
     y.accepted + CASE WHEN q.why IS NULL THEN 1 ELSE 0 END, q.why, w.slide
-  FROM y JOIN w ON w.run_id = y.run_id AND w.n = y.n + 1, LATERAL (SELECT coalesce(w.r, CASE WHEN list_contains(y.seen, w.key) THEN 'duplicate' END, CASE WHEN w.slide = 1 AND y.used >= 2 THEN 'page_cap' END) AS why) q WHERE y.accepted < 4)"""
+  FROM y JOIN w ON w.run_id = y.run_id AND w.n = y.n + 1, LATERAL (SELECT coalesce(w.r, CASE WHEN list_contains(y.seen, w.key) THEN 'duplicate' END, CASE
+  WHEN w.slide = 1 AND y.used >= 2 THEN 'page_cap' END) AS why) q WHERE y.accepted < 4)"""
 
 
 def verdicts(v):
@@ -158,7 +163,8 @@ def _(v):
     return verdicts(v)
 
 
-@query("cards", f"WITH RECURSIVE {CARDS} SELECT run_id, count(*) FILTER (reason IS NULL) AS n_new, count(*) FILTER (reason = 'duplicate') AS n_dup, count(*) FILTER (reason IS NOT NULL AND reason <> 'duplicate') AS n_bad FROM y WHERE n > 0 GROUP BY 1")
+@query("cards", f"""WITH RECURSIVE {CARDS} SELECT run_id, count(*) FILTER (reason IS NULL) AS n_new, count(*) FILTER (reason = 'duplicate') AS n_dup,
+  count(*) FILTER (reason IS NOT NULL AND reason <> 'duplicate') AS n_bad FROM y WHERE n > 0 GROUP BY 1""")
 def _(v):
     return verdicts(v).groupBy("run_id").agg(F.count_if(F.col("reason").isNull()).alias("n_new"), F.count_if(F.col("reason") == "duplicate").alias("n_dup"), F.count_if(F.col("reason") != "duplicate").alias("n_bad"))
 
@@ -173,7 +179,8 @@ def _(v):
     return v["card_items"].select("run_id", "pos", t.cloze_valid(F.col("front")).alias("ok"))
 
 
-@query("allowed_formulas", r"SELECT DISTINCT source, formula FROM (SELECT source, regexp_replace(unnest(regexp_extract_all(text, '\$([^$\n]{1,200})\$', 1)), '\s+', '', 'g') AS formula FROM documents WHERE doc_id % 5 <> 0) WHERE formula <> ''")
+@query("allowed_formulas", r"""SELECT DISTINCT source, formula
+  FROM (SELECT source, regexp_replace(unnest(regexp_extract_all(text, '\$([^$\n]{1,200})\$', 1)), '\s+', '', 'g') AS formula FROM documents WHERE doc_id % 5 <> 0) WHERE formula <> ''""")
 def _(v):
     return c.allowed_formulas(v["documents"].select("source", "text", (F.col("doc_id") % 5 == 0).alias("uncertain")), "source")
 
@@ -181,11 +188,15 @@ def _(v):
 ANSWERS = "SELECT conv_id AS answer_id, conv_id % 10 AS project_id, concat('See [L', conv_id % 12 + 1, ' 12:40] and (L', turn + 1, ', L', conv_id % 25 + 1, ') or [L3].') AS text FROM conversations"
 
 
-@query("citations", rf"""WITH {NUMBERS}, lab AS (SELECT project_id, transcript_id, concat('L', lecture_no) AS label FROM numbers), a AS (SELECT answer_id * 100 + row_number() OVER (PARTITION BY answer_id ORDER BY text) AS answer_id, project_id, text FROM ({ANSWERS})),
+@query("citations", rf"""WITH {NUMBERS}, lab AS (SELECT project_id, transcript_id, concat('L', lecture_no) AS label
+  FROM numbers), a AS (SELECT answer_id * 100 + row_number() OVER (PARTITION BY answer_id ORDER BY text) AS answer_id, project_id, text FROM ({ANSWERS})),
 x AS (SELECT answer_id, project_id, -1 AS grp, unnest(regexp_extract_all(text, '\[(L\d+(?: \d+:\d\d)?)\]', 1)) AS c FROM a
   UNION ALL SELECT answer_id, project_id, 0, unnest(string_split(regexp_extract(text, '\((L\d+(?:, ?L\d+)*)\)', 1), ', ')) FROM a),
-r AS (SELECT x.*, lab.label, transcript_id, CASE WHEN contains(c, ':') THEN CAST(regexp_extract(c, ' (\d+):', 1) AS BIGINT) * 60 + CAST(regexp_extract(c, ':(\d+)', 1) AS BIGINT) END AS at_seconds FROM x LEFT JOIN lab ON lab.project_id = x.project_id AND lab.label = string_split(c, ' ')[1])
-SELECT answer_id, label, transcript_id, at_seconds FROM r WHERE transcript_id IS NOT NULL AND NOT (grp = 0 AND EXISTS (SELECT 1 FROM r b WHERE b.answer_id = r.answer_id AND b.grp = 0 AND b.transcript_id IS NULL))""")
+r AS (SELECT x.*, lab.label, transcript_id, CASE
+  WHEN contains(c, ':') THEN CAST(regexp_extract(c, ' (\d+):', 1) AS BIGINT) * 60 + CAST(regexp_extract(c, ':(\d+)', 1) AS BIGINT) END AS at_seconds FROM x LEFT
+  JOIN lab ON lab.project_id = x.project_id AND lab.label = string_split(c, ' ')[1])
+SELECT answer_id, label, transcript_id, at_seconds FROM r WHERE transcript_id IS NOT NULL AND NOT (grp = 0 AND EXISTS (SELECT 1 FROM r b
+  WHERE b.answer_id = r.answer_id AND b.grp = 0 AND b.transcript_id IS NULL))""")
 def _(v):
     from pyspark.sql import Window
 
@@ -260,14 +271,16 @@ def _(v):
     return contexts.guide_context(contexts.lecture_notes(summarised(v)), joins.exam_pages(v["slide_pages"]))
 
 
-@query("compression_ratio", r"SELECT doc_id, n, round(n_chars / 6.0 / n, 4) AS ratio, n > 1.5 * 300 AS overshoot FROM (SELECT *, len(list_filter(regexp_split_to_array(translate(text, '#*`>|-', '      '), '[ \t\n\r\f]+'), lambda x: x <> '')) AS n FROM documents) WHERE n > 0")
+@query("compression_ratio", r"""SELECT doc_id, n, round(n_chars / 6.0 / n, 4) AS ratio, n > 1.5 * 300 AS overshoot
+  FROM (SELECT *, len(list_filter(regexp_split_to_array(translate(text, '#*`>|-', '      '), '[ \t\n\r\f]+'), lambda x: x <> '')) AS n FROM documents) WHERE n > 0""")
 def _(v):
     n = t.word_count(F.col("text")).cast("long")
     return v["documents"].select("doc_id", "n_chars", n.alias("n")).where("n > 0").select("doc_id", "n", F.round(F.col("n_chars") / 6.0 / F.col("n"), 4).alias("ratio"), (F.col("n") > 450).alias("overshoot"))
 
 
 @query("checklist_score", """WITH k AS (SELECT * FROM (VALUES ('greeting', 'the'), ('article', '(?i)de la'), ('digits', '[0-9]{2}')) AS k(name, pattern))
-SELECT doc_id, count(*) FILTER (regexp_matches(text, pattern)) AS found, count(*) AS total, coalesce(string_agg(name, ',' ORDER BY name) FILTER (NOT regexp_matches(text, pattern)), '') AS missing FROM documents, k GROUP BY doc_id""")
+SELECT doc_id, count(*) FILTER (regexp_matches(text, pattern)) AS found, count(*) AS total, coalesce(string_agg(name, ','
+  ORDER BY name) FILTER (NOT regexp_matches(text, pattern)), '') AS missing FROM documents, k GROUP BY doc_id""")
 def _(v):
     checks = {"greeting": "the", "article": "(?i)de la", "digits": "[0-9]{2}"}
     hits = {k: F.col("text").rlike(p) for k, p in checks.items()}
@@ -280,7 +293,8 @@ FRESH = "SELECT -1 - id AS id, deck, page_from, page_to + id % 2 AS page_to, tra
 
 @query("refresh_auto_links", f"""WITH f AS ({FRESH}), d AS (SELECT DISTINCT deck FROM f WHERE deck <> 'src3')
 SELECT id, deck, page_from, page_to, transcript_id, CAST(score AS DOUBLE) AS score, link_source FROM slide_links l WHERE link_source = 'manual' OR deck NOT IN (SELECT deck FROM d)
-UNION ALL SELECT id, deck, page_from, page_to, transcript_id, 0.9, 'auto' FROM f WHERE deck IN (SELECT deck FROM d) AND NOT EXISTS (SELECT 1 FROM slide_links m WHERE m.link_source = 'manual' AND m.deck = f.deck AND m.page_from = f.page_from AND m.page_to = f.page_to)""")
+UNION ALL SELECT id, deck, page_from, page_to, transcript_id, 0.9, 'auto' FROM f WHERE deck IN (SELECT deck FROM d) AND NOT EXISTS (SELECT 1 FROM slide_links m
+  WHERE m.link_source = 'manual' AND m.deck = f.deck AND m.page_from = f.page_from AND m.page_to = f.page_to)""")
 def _(v):
     links = v["slide_links"].withColumn("score", F.col("score").cast("double"))
     fresh = links.selectExpr("-1 - id as id", "deck", "page_from", "page_to + id % 2 as page_to", "transcript_id", "cast(0.9 as double) as score")

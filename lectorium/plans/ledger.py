@@ -41,7 +41,8 @@ def _(v):
     return cells(v)
 
 
-@query("cost_by_course", f"WITH {CELLS}, per AS (SELECT project_id, {TOTALS} FROM cells WHERE kind <> 'llm_ask' GROUP BY project_id) SELECT *, round(total / (max(total) OVER ()), 6) AS share FROM per WHERE total > 0")
+@query("cost_by_course", f"""WITH {CELLS}, per AS (SELECT project_id, {TOTALS} FROM cells WHERE kind <> 'llm_ask'
+  GROUP BY project_id) SELECT *, round(total / (max(total) OVER ()), 6) AS share FROM per WHERE total > 0""")
 def _(v):
     return op.cost_by_course(cells(v).where("kind <> 'llm_ask'"))
 

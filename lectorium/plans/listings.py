@@ -13,14 +13,17 @@ COURSES = "SELECT n_nationkey AS project_id, n_name AS course_name FROM nation"
 SHORT = r"coalesce(nullif(regexp_extract(title, '^.+?\s+[–—]\s+(.+)$', 1), ''), title)"
 RATED = "rated AS (SELECT project_id, transcript_id, CASE WHEN duration / 60 >= 10 THEN CAST(round_even(chars / (duration / 60), 0) AS BIGINT) END AS chars_per_min FROM lectures)"
 LOW = f"""{RATED},
-vals AS (SELECT project_id, chars_per_min, row_number() OVER (PARTITION BY project_id ORDER BY chars_per_min, transcript_id) AS rn, count(*) OVER (PARTITION BY project_id) AS n FROM rated WHERE chars_per_min > 0),
+vals AS (SELECT project_id, chars_per_min, row_number() OVER (PARTITION BY project_id ORDER BY chars_per_min, transcript_id) AS rn, count(*)
+  OVER (PARTITION BY project_id) AS n FROM rated WHERE chars_per_min > 0),
 med AS (SELECT project_id, chars_per_min AS median FROM vals WHERE rn = n // 2 + 1 AND n >= 3),
-low AS (SELECT r.project_id, transcript_id, chars_per_min, median, coalesce(chars_per_min > 0 AND chars_per_min < 0.55 * median, false) AS low_coverage FROM rated r LEFT JOIN med USING (project_id))"""
+low AS (SELECT r.project_id, transcript_id, chars_per_min, median, coalesce(chars_per_min > 0 AND chars_per_min < 0.55 * median, false) AS low_coverage FROM rated r
+  LEFT JOIN med USING (project_id))"""
 NUMBERS = "numbers AS (SELECT project_id, transcript_id, CAST(row_number() OVER (PARTITION BY project_id ORDER BY created_at, transcript_id) AS INTEGER) AS lecture_no FROM lectures)"
 #: Lectures that have a summary, with the newest; the given tables hold titles, so these stand for the notes too.
 SUMMARISED = f"""{NUMBERS}, newest AS (SELECT transcript_id, arg_max(title, (id, title)) AS title FROM summaries GROUP BY 1),
 summarised AS (SELECT project_id, transcript_id, lecture_no, concat('L', lecture_no) AS label, title FROM numbers JOIN newest USING (transcript_id)),
-notes AS (SELECT project_id, string_agg(concat('<lecture id="', label, '" title="', title, '">', chr(10), substr(title, 1, 9000), chr(10), '</lecture>'), chr(10) || chr(10) ORDER BY lecture_no) AS notes,
+notes AS (SELECT project_id, string_agg(concat('<lecture id="', label, '" title="', title, '">', chr(10), substr(title, 1, 9000), chr(10), '</lecture>'),
+  chr(10) || chr(10) ORDER BY lecture_no) AS notes,
   count(*) AS n_lectures FROM summarised GROUP BY 1)"""
 INT = lambda x: f"CAST({x} AS BIGINT)"
 
@@ -78,7 +81,8 @@ def _(v):
     return op.low_coverage(v["lectures"])
 
 
-@query("card_counts", f"SELECT transcript_id, count(*) AS n_cards, count(*) FILTER (status = 'active') AS n_active, count(*) FILTER (status = 'suspended') AS n_suspended FROM ({CARDS}) GROUP BY transcript_id")
+@query("card_counts", f"""SELECT transcript_id, count(*) AS n_cards, count(*) FILTER (status = 'active') AS n_active,
+  count(*) FILTER (status = 'suspended') AS n_suspended FROM ({CARDS}) GROUP BY transcript_id""")
 def _(v):
     return op.card_counts(cards(v))
 
@@ -101,7 +105,8 @@ def _(v):
     return listing(v)
 
 
-@query("lecture_detail", f"WITH {LISTING} SELECT g.*, course_name, coalesce({SHORT.replace('title', 'summary_title')}, 'untitled') AS display_title FROM listing g LEFT JOIN ({COURSES}) USING (project_id)")
+@query("lecture_detail", f"""WITH {LISTING} SELECT g.*, course_name, coalesce({SHORT.replace('title', 'summary_title')}, 'untitled') AS display_title FROM listing g
+  LEFT JOIN ({COURSES}) USING (project_id)""")
 def _(v):
     return listing(v).join(courses(v), "project_id", "left").withColumn("display_title", F.coalesce(op.short_title(F.col("summary_title")), F.lit("untitled")))
 
@@ -133,7 +138,8 @@ def _(v):
     return op.job_listing(v["jobs"], courses(v), v["summaries"])
 
 
-@query("job_board", """WITH last AS (SELECT coalesce('t' || CAST(transcript_id AS VARCHAR), 'j' || CAST(id AS VARCHAR)) AS key, kind, max(id) AS id, arg_max(status, id) AS status FROM jobs GROUP BY 1, 2),
+@query("job_board", """WITH last AS (SELECT coalesce('t' || CAST(transcript_id AS VARCHAR), 'j' || CAST(id AS VARCHAR)) AS key, kind, max(id) AS id, arg_max(status,
+  id) AS status FROM jobs GROUP BY 1, 2),
 r AS (SELECT *, CASE status WHEN 'running' THEN 4 WHEN 'queued' THEN 3 WHEN 'failed' THEN 2 WHEN 'interrupted' THEN 2 ELSE 1 END AS rank FROM last)
 SELECT key, arg_max(status, (rank, id)) AS status, count(*) AS n_steps, count(*) FILTER (status = 'done') AS n_done, max(id) AS last_id FROM r GROUP BY key""")
 def _(v):
@@ -179,7 +185,8 @@ def _(v):
     return op.dominant_language(v["documents"], "source")
 
 
-@query("previous_lectures", """WITH s AS (SELECT l.transcript_id, s.title AS prev_title, s.id AS summary_id, row_number() OVER (PARTITION BY l.transcript_id ORDER BY s.created_at DESC, s.id DESC) AS rank
+@query("previous_lectures", """WITH s AS (SELECT l.transcript_id, s.title AS prev_title, s.id AS summary_id, row_number() OVER (PARTITION BY l.transcript_id
+  ORDER BY s.created_at DESC, s.id DESC) AS rank
   FROM lectures l JOIN lectures o ON l.project_id = o.project_id AND l.transcript_id <> o.transcript_id JOIN summaries s ON s.transcript_id = o.transcript_id)
 SELECT transcript_id, prev_title, CAST(rank AS INTEGER) AS rank, summary_id FROM s WHERE rank <= 5""")
 def _(v):
@@ -199,7 +206,8 @@ def _(v):
     return linked(v).select("transcript_id", "deck", "page_no", "text", "score", "link_source", "rank")
 
 
-@query("manual_over_auto", f"""WITH {LINKED}, m AS (SELECT *, bool_or(link_source = 'manual') OVER (PARTITION BY transcript_id) AS has, count(*) FILTER (link_source <> 'manual') OVER (PARTITION BY transcript_id) AS n FROM linked)
+@query("manual_over_auto", f"""WITH {LINKED}, m AS (SELECT *, bool_or(link_source = 'manual')
+  OVER (PARTITION BY transcript_id) AS has, count(*) FILTER (link_source <> 'manual') OVER (PARTITION BY transcript_id) AS n FROM linked)
 SELECT transcript_id, deck, page_no, link_source, CASE WHEN has THEN n ELSE 0 END AS n_ignored FROM m WHERE link_source = 'manual' OR NOT has""")
 def _(v):
     return j.manual_over_auto(linked(v)).select("transcript_id", "deck", "page_no", "link_source", "n_ignored")

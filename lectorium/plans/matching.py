@@ -9,7 +9,8 @@ THRESHOLD, MARGIN = 0.45, 0.02
 
 SCORES = """scores AS (SELECT p.project_id, p.deck, p.page_no, l.transcript_id,
     list_sum(list_transform(list_zip(p.vec, l.uv), lambda z: z[1] * z[2])) AS score
-  FROM page_vectors p JOIN (SELECT project_id, transcript_id, list_transform(vec, lambda y: CAST(y AS DOUBLE) / sqrt(list_sum(list_transform(vec, lambda z: CAST(z AS DOUBLE) * z)))) AS uv FROM course_lecture_vectors) l USING (project_id))"""
+  FROM page_vectors p JOIN (SELECT project_id, transcript_id, list_transform(vec, lambda y: CAST(y AS DOUBLE) / sqrt(list_sum(list_transform(vec,
+  lambda z: CAST(z AS DOUBLE) * z)))) AS uv FROM course_lecture_vectors) l USING (project_id))"""
 BEST = f"""{SCORES},
 ranked AS (SELECT *, row_number() OVER w AS n, lead(score) OVER w AS nxt FROM scores
   WINDOW w AS (PARTITION BY project_id, deck, page_no ORDER BY score DESC, transcript_id)),
@@ -23,7 +24,8 @@ def runs_sql(source: str, name: str) -> str:
   FROM (SELECT *, CASE WHEN row_number() OVER (PARTITION BY deck ORDER BY page_no) = 1 THEN 0
       WHEN lag(transcript_id) OVER (PARTITION BY deck ORDER BY page_no) IS DISTINCT FROM transcript_id THEN 1 ELSE 0 END AS fresh FROM {source})),
 {name} AS (SELECT deck, run, min(page_no) AS page_from, max(page_no) AS page_to, any_value(transcript_id) AS transcript_id,
-    floor((2 * sum(CAST(round(score * 10000) AS BIGINT)) + count(score)) / (2.0 * count(score))) / 10000.0 AS score, count(*) AS n_pages, max(score) AS top_score FROM {name}_pages GROUP BY deck, run)"""
+    floor((2 * sum(CAST(round(score * 10000) AS BIGINT)) + count(score)) / (2.0 * count(score))) / 10000.0 AS score, count(*) AS n_pages, max(score) AS top_score
+  FROM {name}_pages GROUP BY deck, run)"""
 
 
 SMOOTHED = f"""{runs_sql("best", "r")},

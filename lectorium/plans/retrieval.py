@@ -30,7 +30,8 @@ def rank_sql(queries: str, docs: str) -> str:
     return f"""q AS ({queries}), d AS ({docs}),
 qt AS (SELECT project_id, query_id, token, count(*) AS tf FROM (SELECT project_id, query_id, unnest({TOKENS}) AS token FROM q) GROUP BY ALL),
 dt AS (SELECT project_id, doc_id, token, count(*) AS tf FROM (SELECT project_id, doc_id, unnest({TOKENS}) AS token FROM d) GROUP BY ALL),
-idf AS (SELECT project_id, token, ln((1 + n) / (1 + count(*))) + 1 AS idf FROM dt JOIN (SELECT project_id, CAST(count(*) AS DOUBLE) AS n FROM d GROUP BY 1) USING (project_id) GROUP BY project_id, token, n),
+idf AS (SELECT project_id, token, ln((1 + n) / (1 + count(*))) + 1 AS idf FROM dt JOIN (SELECT project_id, CAST(count(*) AS DOUBLE) AS n FROM d
+  GROUP BY 1) USING (project_id) GROUP BY project_id, token, n),
 qw AS (SELECT project_id, query_id, token, (1 + ln(tf)) * idf AS w FROM qt JOIN idf USING (project_id, token)),
 dw AS (SELECT project_id, doc_id, token, (1 + ln(tf)) * idf AS w FROM dt JOIN idf USING (project_id, token)),
 qn AS (SELECT project_id, query_id, sqrt(sum(w * w)) AS norm FROM qw GROUP BY ALL), dn AS (SELECT project_id, doc_id, sqrt(sum(w * w)) AS norm FROM dw GROUP BY ALL),
@@ -56,7 +57,8 @@ def _(v):
 
 
 @query("lexical_pages", f"""WITH {rank_sql(QUERIES, "SELECT project_id, doc_id, text FROM slide_pages WHERE kind = 'slides' AND length(text) >= 40")},
-n AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank, greatest(0.08, round(CAST(0.75 AS DOUBLE) * max(score) OVER (PARTITION BY query_id), 6)) AS least FROM ranked)
+n AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank, greatest(0.08, round(CAST(0.75 AS DOUBLE) * max(score)
+  OVER (PARTITION BY query_id), 6)) AS least FROM ranked)
 SELECT query_id, doc_id, round(score, 3) AS score, CAST(rank AS INTEGER) AS rank FROM n WHERE score >= least AND rank <= 12""")
 def _(v):
     return op.lexical_pages(queries(v), v["slide_pages"])
@@ -118,7 +120,8 @@ HITS = f"""{POSTINGS}, ph AS (SELECT query_id, len(w) AS n, unnest(range(0, len(
 hits AS (SELECT query_id, doc_id, pos - i AS place FROM postings JOIN ph USING (token) GROUP BY query_id, doc_id, pos - i, n HAVING count(*) = n),
 sizes AS (SELECT doc_id, count(*) AS dl FROM postings GROUP BY 1), tot AS (SELECT count(*) AS n_docs, avg(dl) AS avgdl FROM sizes),
 tfs AS (SELECT query_id, doc_id, count(*) AS tf, CAST(min(place) AS INTEGER) AS place FROM hits GROUP BY ALL), dfs AS (SELECT query_id, count(*) AS df FROM tfs GROUP BY 1),
-found AS (SELECT query_id, doc_id, tf, place, round(greatest(ln((n_docs - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)), 1e-6) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl)), 6) AS score FROM tfs JOIN dfs USING (query_id) JOIN sizes USING (doc_id), tot),
+found AS (SELECT query_id, doc_id, tf, place, round(greatest(ln((n_docs - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)),
+  1e-6) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl)), 6) AS score FROM tfs JOIN dfs USING (query_id) JOIN sizes USING (doc_id), tot),
 search AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM found)"""
 
 
@@ -158,7 +161,8 @@ FOUND = f"""s AS (SELECT transcript_id, arg_max({{'id': id, 'title': title, 'cre
 hit AS (SELECT transcript_id, s.id AS id, s.title AS title, s.created_at AS created_at, strpos({FOLD.replace('text', 's.title')}, 'lecture 1') AS place FROM s)"""
 
 
-@query("search_summaries", rf"WITH {FOUND} SELECT transcript_id, id, substr(regexp_replace(title, '[#*`>]', '', 'g'), greatest(place - 80, 1), 200) AS snippet FROM hit WHERE place > 0 ORDER BY created_at DESC, id DESC LIMIT 30")
+@query("search_summaries", rf"""WITH {FOUND} SELECT transcript_id, id, substr(regexp_replace(title, '[#*`>]', '', 'g'), greatest(place - 80, 1), 200) AS snippet
+  FROM hit WHERE place > 0 ORDER BY created_at DESC, id DESC LIMIT 30""")
 def _(v):
     return op.search_summaries(v["summaries"], "lecture 1")
 
@@ -166,10 +170,13 @@ def _(v):
 NEEDLES = f"SELECT * FROM ({PHRASES}) UNION ALL SELECT -1, 'Lecture 12' UNION ALL SELECT -2, 'course 3'"
 
 
-@query("search", f"""WITH {HITS.replace(PHRASES, NEEDLES)}, {SHOWN(10)}, newest AS (SELECT transcript_id, arg_max({{'id': id, 'title': title, 'created_at': created_at}}, (id, title, created_at)) AS s FROM summaries GROUP BY 1),
-said AS (SELECT query_id, transcript_id, idx, start_s FROM (SELECT transcript_id, idx, start_s, unnest(range(0, len(w))) AS pos, unnest(w) AS token FROM (SELECT transcript_id, idx, start_s, {WORDS} AS w FROM segments))
+@query("search", f"""WITH {HITS.replace(PHRASES, NEEDLES)}, {SHOWN(10)}, newest AS (SELECT transcript_id,
+  arg_max({{'id': id, 'title': title, 'created_at': created_at}}, (id, title, created_at)) AS s FROM summaries GROUP BY 1),
+said AS (SELECT query_id, transcript_id, idx, start_s FROM (SELECT transcript_id, idx, start_s, unnest(range(0, len(w))) AS pos, unnest(w) AS token
+  FROM (SELECT transcript_id, idx, start_s, {WORDS} AS w FROM segments))
   JOIN ph USING (token) GROUP BY query_id, transcript_id, idx, start_s, pos - i, n HAVING count(*) = n),
-titled AS (SELECT DISTINCT query_id, transcript_id, s FROM (SELECT transcript_id, s, unnest(range(0, len(w))) AS pos, unnest(w) AS token FROM (SELECT transcript_id, s, {WORDS.replace("text", "s.title")} AS w FROM newest))
+titled AS (SELECT DISTINCT query_id, transcript_id, s FROM (SELECT transcript_id, s, unnest(range(0, len(w))) AS pos, unnest(w) AS token
+  FROM (SELECT transcript_id, s, {WORDS.replace("text", "s.title")} AS w FROM newest))
   JOIN ph USING (token) GROUP BY query_id, transcript_id, s, pos - i, n HAVING count(*) = n)
 SELECT query_id, 'document' AS kind, doc_id AS ref_id, score, CAST(NULL AS DOUBLE) AS at, snippet FROM search JOIN shown USING (query_id, doc_id) WHERE rank <= 10
 UNION ALL SELECT query_id, 'lecture', transcript_id, 0, arg_min(start_s, idx), NULL FROM said GROUP BY query_id, transcript_id

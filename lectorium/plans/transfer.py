@@ -24,7 +24,8 @@ def _(v):
     return readers.scan_segments_json(rows.withColumn("segments", F.when(F.col("transcript_id") % 5 == 0, "{broken").otherwise(F.col("segments"))))
 
 
-@query("scan_model_responses", """SELECT conv_id * 100 + turn AS id, CAST(0 AS INTEGER) AS pos, CASE WHEN turn % 4 = 3 THEN NULL ELSE role END AS front, CASE WHEN turn % 4 = 3 THEN NULL ELSE lang END AS back, turn % 4 <> 3 AS ok
+@query("scan_model_responses", """SELECT conv_id * 100 + turn AS id, CAST(0 AS INTEGER) AS pos, CASE WHEN turn % 4 = 3 THEN NULL ELSE role END AS front, CASE
+  WHEN turn % 4 = 3 THEN NULL ELSE lang END AS back, turn % 4 <> 3 AS ok
 FROM (SELECT *, concat('b', turn) AS lang FROM conversations)""")
 def _(v):
     card = F.to_json(F.struct(F.col("role").alias("front"), F.concat(F.lit("b"), F.col("turn").cast("string")).alias("back")))
@@ -66,7 +67,8 @@ def _(v):
 MD = "concat('# ', title, chr(10), '> **', CAST(tokens_in AS VARCHAR), '** tokens of `', CAST(id AS VARCHAR), '`')"
 
 
-@query("sink_summary_exports", f"SELECT id, 'md' AS format, {MD} AS content FROM summaries UNION ALL SELECT id, 'txt', concat(title, chr(10), CAST(tokens_in AS VARCHAR), ' tokens of ', CAST(id AS VARCHAR)) FROM summaries")
+@query("sink_summary_exports", f"""SELECT id, 'md' AS format, {MD} AS content FROM summaries
+  UNION ALL SELECT id, 'txt', concat(title, chr(10), CAST(tokens_in AS VARCHAR), ' tokens of ', CAST(id AS VARCHAR)) FROM summaries""")
 def _(v):
     md = F.concat(F.lit("# "), "title", F.lit("\n> **"), F.col("tokens_in").cast("string"), F.lit("** tokens of `"), F.col("id").cast("string"), F.lit("`"))
     return sinks.summary_exports(v["summaries"].select("id", md.alias("markdown")))
@@ -92,18 +94,22 @@ def deck_cards(v):
     return v["card_items"].selectExpr("kind", "front", "back", "slide", "concat('Course ', project_id) as course", "concat('L', run_id) as lecture", "concat('u', run_id, '-', pos) as uid", "if(pos % 4 = 3, 'suspended', 'active') as status")
 
 
-@query("sink_deck_tsv", f"SELECT kind, uid, CASE WHEN kind = 'cloze' THEN concat({FLAT('front')}, chr(9), course, '::', lecture) ELSE concat({FLAT('front')}, chr(9), {FLAT('back')}, ' (slide ', slide, ')', chr(9), course, '::', lecture) END AS line FROM ({CARDS})")
+@query("sink_deck_tsv", f"""SELECT kind, uid, CASE WHEN kind = 'cloze' THEN concat({FLAT('front')}, chr(9), course, '::', lecture)
+  ELSE concat({FLAT('front')}, chr(9), {FLAT('back')}, ' (slide ', slide, ')', chr(9), course, '::', lecture) END AS line FROM ({CARDS})""")
 def _(v):
     return c.deck_lines(deck_cards(v))
 
 
-@query("sink_note_table", f"SELECT course || '::' || lecture AS deck, CAST(concat('0x', substr(sha256(course || '::' || lecture), 1, 8)) AS BIGINT) AS deck_id, substr(sha256(uid), 1, 10) AS guid, kind, front, back FROM ({CARDS})")
+@query("sink_note_table", f"""SELECT course || '::' || lecture AS deck, CAST(concat('0x', substr(sha256(course || '::' || lecture), 1, 8)) AS BIGINT) AS deck_id,
+  substr(sha256(uid), 1, 10) AS guid, kind, front, back FROM ({CARDS})""")
 def _(v):
     return c.note_table(deck_cards(v))
 
 
 @query("scalar_functions", rf"""SELECT p_partkey, substr(regexp_replace(trim(regexp_replace(lower(p_name), '[^\p{{L}}\p{{N}}_\s-]+', ' ', 'g')), '\s+', '-', 'g'), 1, 60) AS slug,
-  greatest(1, length(p_name) // 4) AS tokens, CASE WHEN p_size >= 60 THEN lpad(CAST(p_size // 3600 AS VARCHAR), 0, '0') || lpad(CAST(p_size // 60 % 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(p_size % 60 AS VARCHAR), 2, '0') ELSE '00:' || lpad(CAST(p_size AS VARCHAR), 2, '0') END AS stamp,
+  greatest(1, length(p_name) // 4) AS tokens, CASE
+  WHEN p_size >= 60 THEN lpad(CAST(p_size // 3600 AS VARCHAR), 0, '0') || lpad(CAST(p_size // 60 % 60 AS VARCHAR), 2,
+  '0') || ':' || lpad(CAST(p_size % 60 AS VARCHAR), 2, '0') ELSE '00:' || lpad(CAST(p_size AS VARCHAR), 2, '0') END AS stamp,
   round((p_partkey * 0.003::DOUBLE + 1000 * 0.15::DOUBLE + p_size * 0.6::DOUBLE) / 1000000, 6) AS cost FROM part""")
 def _(v):
     return v["part"].select(
