@@ -8,7 +8,7 @@ stored factors, takes the best share of the lane and ranks that exactly, in doub
 the best of all lanes are the answer. Since the share is one of each lane, recall does not fall as the table grows.
 
 The queries are a stated set, so work is queries times rows. Queries lie in full blocks, and each pair of a block and a
-lane is a group that Spark deals out: a row travels once for each block of queries (4,096, or 82,000 rows' worth), a
+lane is a group that Spark deals out: a row travels once for each block of queries (16,384, or 328,000 rows' worth), a
 query once for each lane. Nothing grows in a task, and only the fitted books are sent to all.
 
 Defined results: vectors that are null, zero, of another width than most or hold null or non-finite components take no
@@ -34,15 +34,15 @@ from .common import cut
 class Quantiser:
     """Parameters. The sample that books are fitted on is bounded by ``sample`` rows; everything else covers all rows."""
 
-    books: int = 12
+    books: int = 24
     words: int = 128
     sample: int = 8_000
     rounds: int = 8
     beam: int = 4
     lane: int = 8_192  # rows that meet a block of queries in one task
-    query_block: int = 4_096
+    query_block: int = 16_384
     tile: int = 256  # queries scored at a time
-    share: float = 0.1  # of a lane that is ranked exactly
+    share: float = 0.02  # of a lane that is ranked exactly
     least: int = 64
     seed: int = 11
 
