@@ -92,13 +92,16 @@ def folded(text: str) -> tuple[list[str], list[tuple[int, int]]]:
     return [w for w, _ in found], [s for _, s in found]
 
 
-def winnowed(words: list[str], s: Scan, every: bool = False) -> list[tuple[int, int]]:
-    """(hash, place) of the smallest shingle, the rightmost of equals, of every window."""
-    hashes = [xxhash.xxh64_intdigest(" ".join(words[i : i + s.shingle])) for i in range(len(words) - s.shingle + 1)]
-    if every or len(hashes) <= s.window:
-        return [(h, i) for i, h in enumerate(hashes)]
-    chosen = {min(range(i, i + s.window), key=lambda j: (hashes[j], -j)) for i in range(len(hashes) - s.window + 1)}
-    return [(hashes[i], i) for i in sorted(chosen)]
+def shingles(words: list[str], s: Scan) -> list[int]:
+    return [xxhash.xxh64_intdigest(" ".join(words[i : i + s.shingle])) for i in range(len(words) - s.shingle + 1)]
+
+
+def chosen(hashes: list[int], i: int, s: Scan) -> bool:
+    """Whether a shingle is the smallest, the rightmost of equals, of some window that it stands in."""
+    if len(hashes) <= s.window:
+        return True
+    starts = range(max(0, i - s.window + 1), min(i, len(hashes) - s.window) + 1)
+    return any(min(range(k, k + s.window), key=lambda j: (hashes[j], -j)) == i for k in starts)
 
 
 def rising(pairs: set[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -130,20 +133,22 @@ class Index:
         self.short = [len(w) < s.shingle + s.window for w in self.words]
         self.votes = []
         for t, words in enumerate(self.words):
-            own = winnowed(words, s, self.short[t])
+            hashes = shingles(words, s)
+            own = [i for i in range(len(hashes)) if self.short[t] or chosen(hashes, i, s)]
             self.votes.append(max(s.votes, math.ceil(s.share * len(own))))
-            for h, i in own:
-                self.postings[h].append((t, i))
+            for i in own:
+                self.postings[hashes[i]].append((t, i))
 
     def candidates(self, words: list[str]) -> dict[int, list[int]]:
         """Diagonals that have enough votes within half a band, by template, at least half a band apart."""
         votes: dict[tuple[int, int], int] = defaultdict(int)
-        every = any(self.short)
-        wanted = {i for _, i in winnowed(words, self.s)}
-        for h, i in winnowed(words, self.s, every):
-            for t, j in self.postings.get(h, ()):
-                if self.short[t] or i in wanted:
-                    votes[t, i - j] += 1
+        hashes = shingles(words, self.s)
+        for i, h in enumerate(hashes):
+            if met := self.postings.get(h):
+                mine = chosen(hashes, i, self.s)  # asked for the few shingles only that some template has
+                for t, j in met:
+                    if self.short[t] or mine:
+                        votes[t, i - j] += 1
         found: dict[int, list[int]] = defaultdict(list)
         ordered, half = sorted(votes.items()), self.s.band // 2
         ahead, near = 0, 0  # votes of the same template up to half a band further
