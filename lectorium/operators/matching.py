@@ -29,6 +29,10 @@ def top_lectures(pages: DataFrame, lectures: DataFrame, k: int, block: int = 204
     tile meet in one task as a product of two matrices that gives each page's k best of the tile; the best of all tiles
     are ranked. No other pair of a page and a lecture becomes a row. Vectors that are null or zero take no part.
     """
+    # equal numbers of different types have different hashes, so both sides need one type to meet in a task
+    own_course = pages.schema["project_id"].dataType
+    course = pages.select("project_id").union(lectures.select("project_id")).schema["project_id"].dataType
+    pages, lectures = (df.withColumn("project_id", F.col("project_id").cast(course)) for df in (pages, lectures))
     usable = lambda df: df.where(F.col("project_id").isNotNull() & F.exists("vec", lambda x: x != 0))
     dealt = lambda df, size, name: df.groupBy("project_id").agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias(name))
     sizes = dealt(pages, block, "blocks").join(dealt(lectures, tile, "tiles"), "project_id")  # courses that have both
@@ -54,7 +58,7 @@ def top_lectures(pages: DataFrame, lectures: DataFrame, k: int, block: int = 204
     schema = ", ".join(f"{c} {f.dataType.simpleString()}" for c, f in kinds.items()) + ", score double"
     key = ["project_id", "block", "tile"]
     met = a.groupBy(*key).cogroup(b.groupBy(*key)).applyInArrow(best, schema)
-    return vector_topk(met, k)
+    return vector_topk(met.withColumn("project_id", F.col("project_id").cast(own_course)), k)
 
 
 def _units(column: pa.ChunkedArray) -> np.ndarray:

@@ -38,6 +38,22 @@ def test_tiles_give_the_best_of_all_pairs(spark, block, tile):
     assert got == brute(pages, lectures, 3)
 
 
+@pytest.mark.parametrize("pages_kind,lectures_kind", [("long", "int"), ("int", "long")])
+def test_courses_of_different_types_meet(spark, pages_kind, lectures_kind):
+    """With several partitions a page finds the lectures of its course also if one side's number is an int, the other's a long."""
+    rng = random.Random(1)
+    lectures, pages = [(i % 5, i, v) for i, v in enumerate(vectors(rng, 30))], [(i % 5, i // 5, i % 5, v) for i, v in enumerate(vectors(rng, 60))]
+    p = spark.createDataFrame(pages, PAGES.replace("project_id long", f"project_id {pages_kind}"))
+    l = spark.createDataFrame(lectures, LECTURES.replace("project_id long", f"project_id {lectures_kind}"))  # noqa: E741
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = m.top_lectures(p, l, 3, 4, 3)
+        got = sorted((r.project_id, r.deck, r.page_no, r.transcript_id, round(r.score, 9), r["rank"]) for r in found.collect())
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert got == brute(pages, lectures, 3) and found.schema["project_id"].dataType.simpleString().replace("bigint", "long") == pages_kind
+
+
 def test_empty_tables(spark):
     pages, lectures = spark.createDataFrame([(0, 0, 0, [1.0])], PAGES), spark.createDataFrame([(0, 0, [1.0])], LECTURES)
     assert m.top_lectures(pages.limit(0), lectures, 2).collect() == [] and m.top_lectures(pages, lectures.limit(0), 2).collect() == []
