@@ -130,6 +130,6 @@ def scan_paged_text(docs: DataFrame, chars: int = 3000, gap: str = "\n\n") -> Da
             F.when(full | (a["text"] == ""), block).otherwise(F.concat(a["text"], F.lit(gap), block)).alias("text"),
         )
 
-    blocks = F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), gap), F.trim), lambda b: b != "")
+    blocks = F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), gap), lambda b: F.trim(b)), lambda b: b != "")
     pages = F.aggregate(blocks, page, step, lambda a: F.when(a["text"] != "", F.concat(a["done"], F.array(a["text"]))).otherwise(a["done"]))
     return docs.select("doc_id", F.posexplode(pages).alias("i", "text")).select("doc_id", (F.col("i") + 1).alias("page_no"), "text")

@@ -81,6 +81,12 @@ def test_paged_text_never_splits_a_block(spark):
     assert [(r.doc_id, r.page_no, r.text) for r in got] == [(1, 1, "aaaa\n\nbbbb"), (1, 2, "cccccccccccc"), (1, 3, "d")]
 
 
+def test_paged_text_trims_spaces_only(spark):
+    """A block keeps the digit that is its place among the blocks."""
+    docs = spark.createDataFrame([(1, "0 zero 0\n 1 one 1 \n22")], "doc_id long, text string")
+    assert [r.text for r in timed.scan_paged_text(docs, 100, "\n").collect()] == ["0 zero 0\n1 one 1\n22"]
+
+
 def segments(spark, *texts):
     return spark.createDataFrame([(0, 1, i, x) for i, x in enumerate(texts)], "project_id int, transcript_id int, idx int, text string")
 
