@@ -6,10 +6,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def link_pages_join(links: DataFrame, pages: DataFrame) -> DataFrame:
-    """Pages inside the range of a link of their deck, ranked per lecture: manual first, best score, deck, place."""
-    p = pages.select("deck", "page_no", "text", "kind")
-    joined = links.join(p, "deck").where("page_no between page_from and page_to")
+def link_pages_join(links: DataFrame, pages: DataFrame, stretch: int = 64) -> DataFrame:
+    """Pages inside the range of a link of their deck, ranked per lecture: manual first, best score, deck, place.
+
+    A link meets the stretches of ``stretch`` pages that its range touches, not all pages of its deck. Ranges are cut to the
+    pages that the deck has beforehand.
+    """
+    of = lambda page: F.floor(page / stretch)
+    ends = pages.groupBy("deck").agg(F.min("page_no").alias("__least"), F.max("page_no").alias("__most"))
+    lo, hi = F.greatest("page_from", "__least"), F.least("page_to", "__most")
+    cut = links.where("page_from <= page_to").join(ends, "deck").where(lo <= hi)
+    cut = cut.withColumn("__stretch", F.explode(F.sequence(of(lo), of(hi)))).drop("__least", "__most")
+    p = pages.select("deck", "page_no", "text", "kind", of(F.col("page_no")).alias("__stretch"))
+    joined = cut.join(p, ["deck", "__stretch"]).where("page_no between page_from and page_to").drop("__stretch")
     w = Window.partitionBy("transcript_id").orderBy(F.col("link_source") != "manual", F.desc("score"), "deck", "page_from", "page_no", "id")
     return joined.withColumn("rank", F.row_number().over(w))
 
