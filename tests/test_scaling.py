@@ -1,6 +1,6 @@
 """Steps that must not grow with the square of a deck, a text or an index: the same results, with less work on the way."""
 
-from lectorium.operators import joins
+from lectorium.operators import cleanup, joins
 
 
 def test_links_meet_their_pages_only(spark):
@@ -12,3 +12,13 @@ def test_links_meet_their_pages_only(spark):
     want = {(i, p) for i, deck, lo, hi in given for p in range(1, 400) if lo <= p <= hi and deck == "ab"[p % 2]}
     rows = [(r.id, r.page_no) for r in got.collect()]
     assert len(rows) == len(want) and set(rows) == want
+
+
+def test_boilerplate_is_counted_by_hashes_first(spark):
+    """No exchange carries a line before its hash is known to be frequent; repeated lines of a page count once."""
+    rows = [("d", i, f"Head\nline {i}\nline {i}" + ("\nx\nfoot" if i < 3 else "")) for i in range(5)] + [("e", 0, None), ("e", 1, "Head")]
+    pages = spark.createDataFrame(rows, "deck string, page_no int, text string")
+    got = {(r.deck, r.key, r.n) for r in cleanup.boilerplate_keys(pages, 0.5).collect()}
+    assert got == {("d", "head", 5), ("d", "foot", 3)}
+    early = cleanup.strip_boilerplate(pages.where("page_no < 2"), common=cleanup.boilerplate_keys(pages, 0.5))
+    assert {(r.deck, r.page_no, r.text) for r in early.collect()} == {("d", 0, "line 0\nline 0\nx"), ("d", 1, "line 1\nline 1\nx"), ("e", 0, ""), ("e", 1, "Head")}
