@@ -49,3 +49,15 @@ def test_few_pairs_are_scored(spark):
 def test_empty_tables(spark):
     queries, docs = corpus(spark, 1)
     assert search.tfidf_top(queries.limit(0), docs, 5).collect() == [] and search.tfidf_top(queries, docs.limit(0), 5).collect() == []
+
+
+def test_the_query_gives_every_pair(spark, monkeypatch):
+    """A query with more documents than fifty keeps them all."""
+    import lectorium.plans  # noqa: F401  (fills the registry)
+    from lectorium import registry
+    from lectorium.sources.views import Views
+
+    docs = spark.range(60).selectExpr("0 as project_id", "id as doc_id", "concat('common word', id) as text")
+    items = spark.createDataFrame([(0, "common thing")], "item_id long, text string")
+    monkeypatch.setattr(Views, "__getitem__", lambda self, name: {"benchmark": items, "slide_pages": docs}[name])
+    assert registry.QUERIES["tfidf_rank"](spark, "").count() == 60 and "QUALIFY" not in registry.SQL["tfidf_rank"]
