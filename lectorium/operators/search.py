@@ -2,20 +2,44 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import fold, folded_words, tokenize
-from ..sources.folders import materialised
+from ..sources.folders import materialised, sent, stored
 from .packing import pack
 
 K1, B = 1.2, 0.75
 #: Scores are given to six digits, so bounds within this of a score to beat still count.
 NEAR = 2e-6
+#: The most frequent tokens, whose weights are sent to all tasks.
+HEAD = 65_536
+#: So many different words of phrases are looked for inside the texts; more are joined.
+WORDS_AT_ONCE = 20_000
 
 
 def term_counts(docs: DataFrame, keys: list[str]) -> DataFrame:
-    return docs.select(*keys, F.explode(tokenize(F.col("text"))).alias("token")).groupBy(*keys, "token").agg(F.count(F.lit(1)).alias("tf"))
+    """keys, token, tf. Tokens are sorted and counted inside their row; only rows that share their keys meet in a shuffle."""
+    again = materialised(docs.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").drop("__n"))
+    if not again.count():
+        return _counted(docs, keys)
+    named = again.select(*[F.col(k).alias(f"__{k}") for k in keys])
+    same = reduce(and_, (F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys))
+    once, more = (_counted(docs.join(named, same, how), keys) for how in ("left_anti", "left_semi"))
+    return once.unionByName(more.groupBy(*keys, "token").agg(F.sum("tf").alias("tf")))
+
+
+def _counted(docs: DataFrame, keys: list[str]) -> DataFrame:
+    """The tokens of each row, once each, with their number: where a token begins in the row's sorted tokens, and the next."""
+    rows = docs.select(*keys, F.sort_array(tokenize(F.col("text"))).alias("__t")).select("*", F.size("__t").alias("__n"))
+    first = F.filter(F.transform("__t", lambda x, i: F.when((i == 0) | (x != F.get("__t", i - 1)), i)), lambda i: i.isNotNull())
+    rows = rows.select(*keys, "__t", "__n", first.alias("__at"))
+    told = F.transform("__at", lambda i, j: F.struct(F.get("__t", i).alias("token"), (F.coalesce(F.get("__at", j + 1), "__n") - i).cast("long").alias("tf")))
+    # an outer explode: a plain one would cut the texts a second time, to leave out empty rows beforehand
+    return rows.select(*keys, F.explode_outer(told).alias("__c")).where("__c is not null").select(*keys, "__c.token", "__c.tf")
 
 
 def document_frequency(docs: DataFrame, scope: str, doc: str) -> DataFrame:
@@ -30,18 +54,24 @@ def tfidf_weights(queries: DataFrame, docs: DataFrame, scope: str, query: str, d
     that a query of their scope has are kept. A cosine is the sum of qw * w over the tokens that both have.
     """
     n = docs.groupBy(scope).agg(F.count(F.lit(1)).alias("n"))
-    counts = materialised(term_counts(docs, [scope, doc]))
+    counts = stored(term_counts(docs, [scope, doc]))
     idf = counts.groupBy(scope, "token").agg(F.count(F.lit(1)).alias("df")).join(n, scope)
-    idf = materialised(idf.select(scope, "token", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf")))
+    idf = stored(idf.select(scope, "token", "df", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf")))
+    weight = ((1 + F.log("tf")) * F.col("idf")).alias("w")
 
-    def shares(counted: DataFrame, key: str, name: str) -> DataFrame:
-        weighed = counted.join(idf, [scope, "token"]).select(scope, key, "token", ((1 + F.log("tf")) * F.col("idf")).alias("w"))
-        norms = weighed.groupBy(scope, key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-        return weighed.join(norms, [scope, key]).select(scope, key, "token", (F.col("w") / F.col("norm")).alias(name))
+    def lengths(weighed: DataFrame, key: str) -> DataFrame:
+        return weighed.groupBy(scope, key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
 
-    q = materialised(shares(term_counts(queries, [scope, query]), query, "qw"))
-    d = shares(counts, doc, "w").join(q.select(scope, "token").distinct(), [scope, "token"], "left_semi")
-    return q, materialised(d)
+    asked = term_counts(queries, [scope, query]).join(idf, [scope, "token"])
+    asked = materialised(asked.select(scope, query, "token", "idf", weight))
+    q = materialised(asked.join(lengths(asked, query), [scope, query]).select(scope, query, "token", (F.col("w") / F.col("norm")).alias("qw")))
+    # the most frequent tokens make up most rows and are sent to them; only rows of the others travel to meet their weight
+    head = F.broadcast(materialised(idf.orderBy(F.desc("df"), scope, "token").limit(HEAD).select(scope, "token", "idf")))
+    rare = counts.join(head, [scope, "token"], "left_anti").join(idf, [scope, "token"])
+    weighed = counts.join(head, [scope, "token"]).select(scope, doc, weight).union(rare.select(scope, doc, weight))
+    known = sent(materialised(asked.select(scope, "token", "idf").distinct()))
+    d = counts.join(known, [scope, "token"]).select(scope, doc, "token", weight)
+    return q, stored(d.join(lengths(weighed, doc), [scope, doc]).select(scope, doc, "token", (F.col("w") / F.col("norm")).alias("w")))
 
 
 def cosines(pairs: DataFrame, q: DataFrame, d: DataFrame, scope: str, query: str, doc: str) -> DataFrame:
@@ -54,7 +84,7 @@ def cosines(pairs: DataFrame, q: DataFrame, d: DataFrame, scope: str, query: str
 def tfidf_rank(queries: DataFrame, docs: DataFrame, scope: str = "project_id", query: str = "query_id", doc: str = "doc_id") -> DataFrame:
     """Cosine of every query and document of a scope that share a token. For all pairs; ``tfidf_top`` looks for the best only."""
     q, d = tfidf_weights(queries, docs, scope, query, doc)
-    met = q.join(d, [scope, "token"]).groupBy(scope, query, doc)
+    met = d.join(sent(q), [scope, "token"]).groupBy(scope, query, doc)
     return met.agg(F.round(F.sum(F.col("qw") * F.col("w")), 6).alias("score"))
 
 
@@ -160,15 +190,37 @@ def phrase_search(postings: DataFrame, phrases: DataFrame, limit: int = 50) -> D
     return _ranked(phrase_hits(postings, phrases), sizes, totals, limit)
 
 
-def search_phrases(docs: DataFrame, phrases: DataFrame, limit: int = 50) -> DataFrame:
-    """The same over documents without an index: one pass counts their words, one keeps the places of the phrases' words."""
-    tokens = phrases.select(F.explode(folded_words(F.col("text"))).alias("token")).distinct()
+def text_hits(docs: DataFrame, phrases: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The hits of ``phrase_hits`` in texts without an index, and the size of each text in words: (doc_id, dl).
+
+    One pass over the texts says which words of the phrases each has. A second one looks for the rarest word of each phrase
+    and compares the words around it, inside the row. Nothing but these hits travels.
+    """
     words = folded_words(F.col("text"))
-    sized = docs.select("doc_id", F.size(words).alias("dl")).where("dl > 0")
-    totals = sized.groupBy("doc_id").agg(F.sum("dl").alias("dl")).agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))
-    postings = materialised(build_postings(docs).join(tokens, "token", "left_semi"))
-    hits = materialised(phrase_hits(postings, phrases))
-    sizes = docs.join(hits.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", F.size(words).alias("dl")).groupBy("doc_id").agg(F.sum("dl").alias("dl"))
+    asked = phrases.select("query_id", folded_words(F.col("text")).alias("__phrase")).where(F.size("__phrase") > 0)
+    tokens = materialised(asked.select(F.explode("__phrase").alias("token")).distinct())
+    if tokens.limit(WORDS_AT_ONCE + 1).count() > WORDS_AT_ONCE:
+        sizes = stored(docs.select("doc_id", F.size(words).alias("dl")))
+        return materialised(phrase_hits(stored(build_postings(docs).join(tokens, "token", "left_semi")), phrases)), sizes
+    known = F.array(*[F.lit(r.token) for r in tokens.collect()]).cast("array<string>")
+    read = docs.select("doc_id", words.alias("__words"))
+    sizes = stored(read.select("doc_id", F.size("__words").alias("dl"), F.array_intersect("__words", known).alias("has")))
+    seen = sizes.select(F.explode_outer("has").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("seen"))
+    placed = asked.select("query_id", "__phrase", F.posexplode("__phrase").alias("i", "token")).join(seen, "token")
+    rarest = materialised(placed.groupBy("query_id").agg(F.min_by(F.struct("token", "i", "__phrase"), F.struct("seen", "i")).alias("r")).select("query_id", "r.*"))
+    rare = [r.token for r in rarest.select("token").distinct().collect()]
+    places = F.filter(F.transform("__words", lambda w, i: F.when(w.isin(rare), F.struct(i.alias("pos"), w.alias("token")))), lambda x: x.isNotNull())
+    at = read.select("doc_id", "__words", F.explode_outer(places).alias("__at")).where("__at is not null").select("doc_id", "__words", "__at.*")
+    start = F.col("pos") - F.col("i")
+    met = at.join(sent(rarest), "token").where((start >= 0) & (F.slice("__words", F.greatest(start, F.lit(0)) + 1, F.size("__phrase")) == F.col("__phrase")))
+    return materialised(met.select("query_id", "doc_id", start.alias("place"))), sizes.select("doc_id", "dl")
+
+
+def search_phrases(docs: DataFrame, phrases: DataFrame, limit: int = 50) -> DataFrame:
+    """The same over documents without an index."""
+    hits, sizes = text_hits(docs, phrases)
+    sizes = sizes.where("dl > 0").groupBy("doc_id").agg(F.sum("dl").alias("dl"))
+    totals = sizes.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))
     return _ranked(hits, sizes, totals, limit)
 
 
@@ -196,7 +248,9 @@ def snippet(hits: DataFrame, docs: DataFrame, phrases: DataFrame, size: int = 12
     parts = [F.nullif(some(start, at - start), F.lit("")), hit, F.nullif(some(at + F.col("__n"), end - at - F.col("__n")), F.lit(""))]
     text = F.concat(F.when(start > 1, "…").otherwise(""), F.concat_ws(" ", *parts), F.when(F.size(words) >= end, "…").otherwise(""))
     n = phrases.select("query_id", F.size(folded_words(F.col("text"))).alias("__n"))
-    met = hits.join(n, "query_id").join(docs.select("doc_id", folded_words(F.col("text")).alias("__words")), "doc_id")
+    hits = materialised(hits)
+    mine = docs.join(sent(hits.select("doc_id").distinct()), "doc_id", "left_semi")  # so that only their texts travel
+    met = hits.join(n, "query_id").join(mine.select("doc_id", folded_words(F.col("text")).alias("__words")), "doc_id")
     return met.select("query_id", "doc_id", text.alias("snippet"))
 
 
@@ -228,11 +282,7 @@ def search(docs: DataFrame, segments: DataFrame, summaries: DataFrame, phrases:
     columns = ["query_id", "kind", "ref_id", "score", "at", "snippet"]
     found = materialised(search_phrases(docs, phrases, limit))
     shown = found.join(snippet(found, docs, phrases), ["query_id", "doc_id"]).select("query_id", F.lit("document").alias("kind"), F.col("doc_id").alias("ref_id"), "score", F.lit(None).cast("double").alias("at"), "snippet")
-    tokens = phrases.select(F.explode(folded_words(F.col("text"))).alias("token")).distinct()
-
-    def places(table: DataFrame) -> DataFrame:
-        return phrase_hits(materialised(build_postings(table).join(tokens, "token", "left_semi")), phrases)
-
+    places = lambda table: text_hits(table, phrases)[0]
     said = places(segments.select(F.struct("transcript_id", "idx", "start_s").alias("doc_id"), "text"))
     first = said.groupBy("query_id", "doc_id.transcript_id").agg(F.min_by("doc_id.start_s", "doc_id.idx").alias("at"))
     told = first.select("query_id", F.lit("lecture").alias("kind"), F.col("transcript_id").alias("ref_id"), F.lit(0.0).alias("score"), "at", F.lit(None).cast("string").alias("snippet"))
