@@ -65,11 +65,11 @@ def _(v):
 
 @query("stream_restale", f"WITH {RANGES} SELECT deck, page_from, page_to, transcript_id, score FROM s WHERE transcript_id IS NOT NULL")
 def _(v):
-    """Lectures are stored first; then vectors of pages arrive, and the courses that they touch are matched anew."""
+    """Lectures are stored first; then ids of pages arrive, and the courses that their vectors touch are matched anew."""
     sha = F.substring(F.sha2(F.concat_ws(",", "vec"), 256), 1, 16).alias("source_sha")
     kinds = [f"cast({c} as {k}) as {c}" for c, k in (("project_id", "long"), ("deck", "long"), ("page_no", "long"), ("transcript_id", "long"), ("vec", "array<double>"))]
     pages = v["page_vectors"].selectExpr("vec_id", "project_id", "deck", "page_no", "cast(null as long) as transcript_id", "vec").select("vec_id", *[F.expr(k) for k in kinds])
-    come = s.arriving(v.spark, f"{v.sf_dir}/embeddings.parquet").select("vec_id").join(pages, "vec_id").select(F.lit("page").alias("kind"), *pages.columns[1:], sha)
+    come = s.arriving(v.spark, f"{v.sf_dir}/embeddings.parquet").select("vec_id")
 
     def store(folder):
         courses = s.MatchedCourses(v.spark, f"{folder}/courses", THRESHOLD, MARGIN)
@@ -77,7 +77,10 @@ def _(v):
         courses.apply(None, lectures.select("*", sha), 0, "lectures")
         return courses
 
-    return s.stream_restale(come, store).select("deck", "page_from", "page_to", "transcript_id", "score")
+    def content(named):
+        return named.join(pages, "vec_id").select(F.lit("page").alias("kind"), *pages.columns[1:], sha, "__batch")
+
+    return s.stream_restale(come, store, content=content).select("deck", "page_from", "page_to", "transcript_id", "score")
 
 
 @query("stale_texts", "SELECT doc_id AS ref_id, substr(sha256(text), 1, 16) AS source_sha FROM documents WHERE length(text) >= 40 AND doc_id % 3 <> 0")

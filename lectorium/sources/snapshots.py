@@ -48,6 +48,10 @@ class Snapshots:
     def names(self, name: str) -> list[str]:
         return sorted(s.getPath().getName() for s in self._files.listStatus(self._path(name))) if self.exists(name) else []
 
+    def drop(self, name: str) -> None:
+        """Delete what no manifest names."""
+        self._files.delete(self._path(name), True)
+
     def last(self, version: int | None = None) -> Manifest:
         """The manifest of a version, or the last one; an empty one where there is none."""
         known = [int(n) for n in self.names("manifests") if n.isdigit()]

@@ -13,6 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..functions.text import job_eta, job_progress, job_speed
 from ..operators import upkeep
@@ -326,6 +327,7 @@ class MatchedCourses:
     PAGES = "project_id long, deck long, page_no long, vec array<double>, source_sha string"
     LECTURES = "project_id long, transcript_id long, vec array<double>, source_sha string"
     LINKS = "project_id long, deck long, page_from long, page_to long, transcript_id long, score double, link_source string"
+    CHANGES = "kind string, project_id long, deck long, page_no long, transcript_id long, vec array<double>, source_sha string"
 
     def __init__(self, spark: SparkSession, folder: str, threshold: float = 0.60, margin: float = 0.02, buckets: int = 64):
         self.spark, self.folder, self.threshold, self.margin = spark, folder, threshold, margin
@@ -356,6 +358,43 @@ class MatchedCourses:
             table.change(mine, lambda current, mine=mine, key=key: self._stored(current, mine, key), (name, n))
         self.links.change(courses, lambda current: self._matched(current, courses), (name, n))
 
+    def keep(self, batch: DataFrame, n: int, name: str = "vectors") -> None:
+        """Write down batch ``n`` of a stream for ``catch_up``; one that comes again takes the place of its first try."""
+        batch.write.mode("overwrite").parquet(f"{self.steps.folder}/kept-{name}/__batch={n}")
+
+    def catch_up(self, schema: StructType, name: str = "vectors", content: Callable[[DataFrame], DataFrame] | None = None) -> None:
+        """Apply all kept batches that have not been applied, as one: of a page or lecture that came in several the last counts.
+
+        So a course is matched once, however many batches touch it. What is applied is written down first under its last
+        number: a try that failed half way is ended with the same rows before later batches are looked at.
+        """
+        kept, taken = f"kept-{name}", f"taken-{name}"
+        whole = lambda top, start: {int(n.removeprefix(start)) for n in self.steps.names(top) if self.steps.exists(f"{top}/{n}/_SUCCESS")}
+        done, come = self.links.snapshots.last().tags.get(name, -1), whole(kept, "__batch=")
+        ends = whole(taken, "") | ({max(come)} if come else set())
+        for end in sorted(n for n in ends if n > done):
+            at = f"{self.steps.folder}/{taken}/{end}"
+            if not self.steps.exists(f"{taken}/{end}/_SUCCESS"):
+                reader = self.spark.read.schema(StructType([*schema, StructField("__batch", LongType())])).option("basePath", f"{self.steps.folder}/{kept}")
+                rows = reader.parquet(*[f"{self.steps.folder}/{kept}/__batch={n}" for n in sorted(come) if done < n <= end])
+                self._newest(rows if content is None else content(rows)).write.mode("overwrite").parquet(at)
+            rows = self.spark.read.schema(self.CHANGES).parquet(at)
+            pages = rows.where("kind = 'page'").select("project_id", "deck", "page_no", "vec", "source_sha")
+            lectures = rows.where("kind = 'lecture'").select("project_id", "transcript_id", "vec", "source_sha")
+            self.apply(pages, lectures, end, name)
+            done = end
+        for n in sorted(come):
+            if n <= done:
+                self.steps.drop(f"{kept}/__batch={n}")
+        self.steps.drop(taken)
+
+    def _newest(self, rows: DataFrame) -> DataFrame:
+        """The last row of each page and lecture."""
+        only = lambda kind, c: F.when(F.col("kind") == kind, F.col(c)).cast("long").alias(c)
+        key = ["kind", F.col("project_id").cast("long").alias("project_id"), only("page", "deck"), only("page", "page_no"), only("lecture", "transcript_id")]
+        last = rows.groupBy(*key).agg(F.max_by(F.struct("vec", "source_sha"), "__batch").alias("__row"))
+        return last.select("kind", "project_id", "deck", "page_no", "transcript_id", F.col("__row.vec").cast("array<double>").alias("vec"), "__row.source_sha")
+
     def _stored(self, current: DataFrame, rows: DataFrame, key: list[str]) -> DataFrame:
         kept = current.join(rows.select(*key), key, "left_anti")
         return kept.unionByName(rows.where("vec is not null").select(*current.columns).dropDuplicates(key))
@@ -371,18 +410,18 @@ class MatchedCourses:
         return upkeep.refresh_auto_links(current, fresh.select(*current.columns), decks.union(gone).distinct())
 
 
-def stream_restale(changes: DataFrame, store: Callable[[str], MatchedCourses], name: str = "vectors", folder: str | None = None) -> DataFrame:
+def stream_restale(
+    changes: DataFrame, store: Callable[[str], MatchedCourses], name: str = "vectors", folder: str | None = None, content: Callable[[DataFrame], DataFrame] | None = None
+) -> DataFrame:
     """Links of all courses after a stream of vectors (kind page or lecture, the keys, vec, source_sha): only courses of changed content are matched.
 
-    ``store`` makes the stored courses of the stream's folder.
+    A batch is only written down; when all that is there has been read, the courses that its batches touch are matched, once
+    each, so the work does not grow with batches times stored pages. ``store`` makes the stored courses of the stream's folder.
+    With ``content`` the stream may name its changes only, in columns of its own: it turns all that have come since the last
+    matching into the columns above, once, and keeps ``__batch``.
     """
     folder = folder or shared_folder(changes.sparkSession, name)
     courses = store(folder)
-
-    def step(batch: DataFrame, n: int, _: str) -> None:
-        pages = batch.where("kind = 'page'").select("project_id", "deck", "page_no", "vec", "source_sha")
-        lectures = batch.where("kind = 'lecture'").select("project_id", "transcript_id", "vec", "source_sha")
-        courses.apply(pages, lectures, n, name)
-
-    each_batch(changes, name, step, folder=folder)
+    each_batch(changes, name, lambda batch, n, _: courses.keep(batch, n, name), folder=folder)
+    courses.catch_up(changes.schema, name, content)
     return courses.links.read()

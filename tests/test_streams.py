@@ -208,3 +208,69 @@ def test_a_batch_that_failed_half_way_ends_alike(spark, tmp_path, monkeypatch):
         courses.apply(pages, lectures, 0)
         want = matching.match_pages(pages.select("project_id", "deck", "page_no", "vec"), lectures.select("project_id", "transcript_id", "vec"))
         assert rows_of(courses.links.read().select("deck", "page_from", "page_to", "transcript_id")) == rows_of(want.select("deck", "page_from", "page_to", "transcript_id"))
+
+
+def links_and_match(spark, links, rows):
+    """Links of a stream of changes, and those of all that the last row of each page and lecture says."""
+    live = spark.createDataFrame([r for r in {r[:5]: r for r in rows}.values() if r[5] is not None], CHANGES)
+    pages, lectures = live.where("kind = 'page'").select("project_id", "deck", "page_no", "vec"), live.where("kind = 'lecture'").select("project_id", "transcript_id", "vec")
+    columns = ["deck", "page_from", "page_to", "transcript_id", "score"]
+    return rows_of(links.select(*columns)), rows_of(matching.match_pages(pages, lectures, 0.6, 0.02).select(*columns))
+
+
+def test_a_run_of_many_batches_matches_once(spark, tmp_path, monkeypatch):
+    """Six batches of one file; pages come again with other vectors, are taken away, and come back."""
+    rng, path, folder = random.Random(10), str(tmp_path / "changes.parquet"), str(tmp_path / "run")
+    first = vectors(rng, 1) + vectors(rng, 2)
+    moved = [r[:5] + ([rng.gauss(0, 1) for _ in range(8)], "moved") for r in first if r[0] == "page" and r[2] == 4]
+    gone = [r[:5] + (None, None) for r in first if r[0] == "page" and r[2] in (2, 5)]
+    back = [r for r in first if r[0] == "page" and r[2] == 5][:4]
+    files, matched = [first[:20], first[20:], moved, gone, back, moved[:3]], []
+    for rows in files:
+        lay(spark, path, rows, CHANGES)
+    monkeypatch.setattr(s, "match_pages", lambda *a: matched.append(1) or matching.match_pages(*a))
+    store = lambda folder: s.MatchedCourses(spark, f"{folder}/courses", buckets=16)
+
+    def run():
+        return s.stream_restale(s.arriving(spark, path, files=1), store, folder=folder)
+
+    got, want = links_and_match(spark, run(), sum(files, []))
+    assert got == want and got
+    assert len(matched) == 1
+    lay(spark, path, moved[:2], CHANGES)  # nothing new
+    assert links_and_match(spark, run(), sum(files, []))[0] == want
+    names = s.Snapshots(spark, f"{folder}/courses/steps").names
+    assert names("kept-vectors") == [] and names("taken-vectors") == []  # what has been applied is not held twice
+
+
+def test_content_is_looked_up_once_a_run(spark, tmp_path):
+    """The stream names rows by an id of its own; their vectors come from a table."""
+    rows, path, asked = vectors(random.Random(11), 1), str(tmp_path / "ids.parquet"), []
+    table = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], f"id long, {CHANGES}")
+    for n in range(3):
+        lay(spark, path, [(i,) for i in range(n, len(rows), 3)], "id long")
+
+    def content(named):
+        asked.append(1)
+        return named.join(table, "id").drop("id")
+
+    store = lambda folder: s.MatchedCourses(spark, f"{folder}/courses", buckets=4)
+    links = s.stream_restale(s.arriving(spark, path, files=1), store, folder=str(tmp_path / "run"), content=content)
+    got, want = links_and_match(spark, links, rows)
+    assert got == want and got and len(asked) == 1
+
+
+def test_a_run_that_failed_half_way_is_ended_before_later_batches(spark, tmp_path, monkeypatch):
+    """The vectors of the first run are stored, its links are not; the next run has a batch of another course."""
+    rng, path, folder = random.Random(12), str(tmp_path / "changes.parquet"), str(tmp_path / "run")
+    files = [vectors(rng, 1), vectors(rng, 2)]
+    store = lambda folder: s.MatchedCourses(spark, f"{folder}/courses", buckets=16)
+    run = lambda: s.stream_restale(s.arriving(spark, path, files=1), store, folder=folder)
+    lay(spark, path, files[0], CHANGES)
+    monkeypatch.setattr(s.MatchedCourses, "_matched", lambda *_: 1 / 0)
+    with pytest.raises(Exception, match="division by zero"):
+        run()
+    monkeypatch.undo()
+    lay(spark, path, files[1], CHANGES)
+    got, want = links_and_match(spark, run(), sum(files, []))
+    assert got == want and {r[0] for r in got} == {2, 3, 4, 5}
